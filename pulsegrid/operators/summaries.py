@@ -16,7 +16,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     A mergeable sketch brackets each quantile to about ``4 / accuracy`` of its group; only the distinct values in
     the bracket are then ranked. The sketch error is bounded, so the bracket always holds the wanted ranks.
     """
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).alias("__v"))
+    if not keys:
+        whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, accuracy)
+        return whole.drop("__all")
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("__v"))
     slack = 2.0 / accuracy
     lows = [max(0.0, q - slack) for q in probs]
     highs = [min(1.0, q + slack) for q in probs]
@@ -36,7 +39,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         *keys, "__n", F.col("__q.i").alias("__i"), F.col("__q.lo").alias("__lo"), F.col("__q.hi").alias("__hi"), F.col("__q.pos").alias("__pos")
     )
     packed = sketch.select(*keys, F.array(*bounds).alias("__qs"))
-    located = rows.join(packed, list(keys), "inner") if keys else rows.crossJoin(packed)
+    located = rows.join(packed, list(keys), "inner")
     # a row counts as "below" for some quantiles and is a candidate for others; both are mergeable counts
     tagged = located.select(
         *keys,
