@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pulsegrid import schemas
 from pulsegrid import vocabulary as V
 from pulsegrid.functions import stats as S
+from pulsegrid.session import ship_package
 
 _TREES_PER_TASK = 20
 _SPACE = float(2**64)
@@ -64,6 +65,7 @@ def fit_forest(augmented: DataFrame, trees: int = V.TREES, sample: int = V.TREE_
     Each tree takes the ``sample`` rows with the smallest hash for that tree. A hash threshold twice as wide as
     needed keeps the exploded rows near ``2 * sample * trees`` per target whatever the training size.
     """
+    ship_package(augmented.sparkSession)
     sizes = augmented.groupBy("target").agg(F.count("*").alias("__n"))
     sized = augmented.join(sizes, "target")
     bound = F.when(F.col("__n") <= 4 * sample, F.lit(1.0)).otherwise(F.lit(2.0 * sample) / F.col("__n"))
@@ -102,6 +104,7 @@ def score(rows: DataFrame, nodes: DataFrame, sample: int = V.TREE_SAMPLE, slice_
     Rows are grouped by (target, time slice), so a hot target is spread over its slices; each group meets the
     nodes of its own target only (a forest is at most trees * 2 * sample nodes, a fixed size per target).
     """
+    ship_package(rows.sparkSession)
     sliced = rows.withColumn("__slice", F.floor(F.col("t") / slice_seconds))
     pairs = sliced.select("target", "__slice").distinct()
     forests = nodes.join(pairs, "target")

@@ -1 +1,6 @@
 """Named queries over the driver tables, each with its SQL counterpart."""
+
+from pulsegrid.plans import aggregates, scans  # noqa: F401
+from pulsegrid.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
