@@ -13,14 +13,16 @@ from pulsegrid.functions import stats as S
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 2000) -> DataFrame:
     """Exact quantiles (linear interpolation) of groups of any size, as columns ``q0, q1, ...`` plus ``n``.
 
-    A mergeable sketch brackets each quantile to about ``4 / accuracy`` of its group; only the distinct values in
-    the bracket are then ranked. The sketch error is bounded, so the bracket always holds the wanted ranks.
+    A mergeable sketch brackets each quantile to about ``8 / accuracy`` of its group; only the distinct values in
+    the bracket are then ranked. The bracket is four times the error bound of the sketch, so it holds the wanted
+    ranks (a miss would raise). Groups of at most ``10 * accuracy`` rows are ranked whole.
     """
     if not keys:
         whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, accuracy)
         return whole.drop("__all")
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("__v"))
-    slack = 2.0 / accuracy
+    slack = 4.0 / accuracy
+    small = F.col("__n") <= 10 * accuracy
     lows = [max(0.0, q - slack) for q in probs]
     highs = [min(1.0, q + slack) for q in probs]
     points = F.array(*[F.lit(p) for p in [*lows, *highs]])
@@ -29,8 +31,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     bounds = [
         F.struct(
             F.lit(i).alias("i"),
-            (F.lit(float("-inf")) if lows[i] <= 0 else F.col("__b")[i]).alias("lo"),
-            (F.lit(float("inf")) if highs[i] >= 1 else F.col("__b")[m + i]).alias("hi"),
+            (F.lit(float("-inf")) if lows[i] <= 0 else F.when(small, F.lit(float("-inf"))).otherwise(F.col("__b")[i])).alias("lo"),
+            (F.lit(float("inf")) if highs[i] >= 1 else F.when(small, F.lit(float("inf"))).otherwise(F.col("__b")[m + i])).alias("hi"),
             (F.lit(float(q)) * (F.col("__n") - 1)).alias("pos"),
         )
         for i, q in enumerate(probs)
@@ -61,6 +63,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         F.max(F.when((start <= k1) & (k1 < F.col("__end")), F.col("__v"))).alias("__z"),
     )
     interpolated = picked.withColumn("__x", F.col("__a") + (F.col("__pos") - F.floor("__pos")) * (F.col("__z") - F.col("__a")))
+    missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
+    interpolated = interpolated.withColumn("__x", F.when(F.col("__x").isNull(), missed).otherwise(F.col("__x")))
     wide = [F.max(F.when(F.col("__i") == i, F.col("__x"))).alias(f"q{i}") for i in range(m)]
     return interpolated.groupBy(*keys).agg(F.max("__n").alias("n"), *wide)
 

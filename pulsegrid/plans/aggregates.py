@@ -70,7 +70,7 @@ def _(spark, sf):
 def psi_sql(expected: str, actual: str, key: str, value: str) -> str:
     """PSI per key of two sub-selects with columns key and value."""
     return f"""ex AS ({expected}), ac AS ({actual}),
-  ed AS (SELECT {key}, list_sort(list_distinct(quantile_cont({value}, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM ex GROUP BY 1),
+  ed AS (SELECT {key}, list_sort(list_distinct(quantile_cont({value}, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]::DOUBLE[]))) AS e FROM ex GROUP BY 1),
   inn AS (SELECT {key}, len(e) AS k, CASE WHEN len(e) >= 3 THEN e[2:len(e) - 1] ELSE [] END AS inner_e FROM ed),
   spine AS (SELECT {key}, k, unnest(generate_series(0, greatest(k - 2, 0))) AS bin FROM inn),
   be AS (SELECT {key}, len(list_filter(inner_e, lambda x: x <= {value})) AS bin, count(*) AS n FROM ex JOIN inn USING ({key}) GROUP BY 1, 2),
@@ -190,7 +190,7 @@ def _(spark, sf):
 @query("A15_false_alerts_per_day", f"""WITH {HOURLY}, d AS (SELECT target, t // 86400 AS day, count(*) AS hours, count(*) FILTER (error > 3) AS opens, max((error > 5)::INT) AS fixed FROM m GROUP BY 1, 2)
   SELECT target, sum(hours)::BIGINT AS hours, count(*) AS days, sum(opens)::BIGINT AS opens, round(sum(opens) / (sum(hours) / 24.0), 3) AS per_day, sum(fixed)::BIGINT AS threshold_days FROM d GROUP BY 1""")
 def _(spark, sf):
-    d = T.hourly(spark, sf).groupBy("target", F.expr("t div 86400").alias("day")).agg(F.count("*").alias("hours"), F.count_if("error > 3").alias("opens"), F.max(F.expr("int(error > 5)")).alias("fixed"))
+    d = T.hourly(spark, sf).groupBy("target", F.expr("t div 86400").alias("day")).agg(F.count("*").alias("hours"), F.count_if(F.col("error") > 3).alias("opens"), F.max(F.expr("int(error > 5)")).alias("fixed"))
     return d.groupBy("target").agg(
         F.sum("hours").alias("hours"), F.count("*").alias("days"), F.sum("opens").alias("opens"), F.round(F.sum("opens") / (F.sum("hours") / 24.0), 3).alias("per_day"), F.sum("fixed").alias("threshold_days")
     )
@@ -285,5 +285,5 @@ def _(spark, sf):
 @query("A22_ready_share", """WITH g AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS ready, count(*) FILTER (o_orderstatus <> 'P') AS desired FROM orders GROUP BY 1)
   SELECT o_custkey, CASE WHEN desired > 0 THEN round(ready / desired, 3) ELSE 0.0 END::DOUBLE AS share FROM g""")
 def _(spark, sf):
-    g = read(spark, sf, "orders").groupBy("o_custkey").agg(F.count_if("o_orderstatus = 'F'").alias("ready"), F.count_if("o_orderstatus <> 'P'").alias("desired"))
+    g = read(spark, sf, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("ready"), F.count_if(F.col("o_orderstatus") != "P").alias("desired"))
     return g.select("o_custkey", inventory.ready_share(F.col("ready"), F.col("desired")).alias("share"))
