@@ -225,3 +225,16 @@ def top_feature_text(metrics: DataFrame) -> DataFrame:
     return feature.select("t", "node", "feature").join(z.select("t", "node", F.col("value").alias("z")), ["t", "node"], "left")
 
 
+
+
+def notifications(firing: DataFrame, group: list[str], wait: int, repeat: int, step: int) -> DataFrame:
+    """Ticks at which a group is notified: ``wait`` after it starts, then every ``repeat`` while it lasts.
+
+    Firing: one row per alert, tick and group. A tick without any alert of the group ends it.
+    """
+    ticks = firing.groupBy(*group, "t").agg(F.count("*").alias("alerts"))
+    held = detect.hold_for(ticks, group, 0, step).drop("state")
+    age = F.col("t") - F.col("active_since") - wait
+    due = F.floor(age / repeat)
+    before = F.when(age - step >= 0, F.floor((age - step) / repeat)).otherwise(-1)
+    return held.where((age >= 0) & (due > before)).withColumn("repeat_no", due).withColumnRenamed("active_since", "since")
