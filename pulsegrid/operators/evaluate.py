@@ -21,7 +21,7 @@ def slots(days: DataFrame, catalogue: Sequence[tuple[str, str, float]], keys: Se
     starts = F.when(last >= V.REPLAY_WARM, F.sequence(F.lit(V.REPLAY_WARM), last.cast("int"), F.lit(V.REPLAY_SPACING))).otherwise(F.array().cast("array<int>"))
     positioned = days.select(*keys, F.posexplode(starts).alias("slot", "start"))
     size = len(catalogue)
-    entry = F.array(*[F.struct(F.lit(n).alias("fault"), F.lit(f).alias("feature"), F.lit(float(e)).alias("effect")) for n, f, e in catalogue])
+    entry = F.array(*[F.struct(F.lit(n).alias("fault"), F.lit(f).alias("feature"), F.lit(float(e)).alias("fault_effect")) for n, f, e in catalogue])
     levels = F.array(*[F.lit(x) for x in V.REPLAY_INTENSITIES])
     chosen = positioned.withColumn("__c", entry[F.col("slot") % size])
     intensity = F.when(F.col("__c.feature") == "app_containers", 1.0).otherwise(levels[F.floor(F.col("slot") / size) % 3])
@@ -52,7 +52,7 @@ def injected(x: Column, names: Sequence[str], bounds: Sequence[tuple[float, floa
     step = F.col("offset") - V.REPLAY_WARM
     inside = (step >= 0) & (step < V.REPLAY_LENGTH)
     ramp = F.when(F.col("feature").isin(*RAMPED), F.least(F.lit(1.0), (step + 1) / V.REPLAY_RAMP)).otherwise(F.lit(1.0))
-    push = F.when(inside, F.col("effect") * F.col("intensity") * ramp).otherwise(0.0)
+    push = F.when(inside, F.col("fault_effect") * F.col("intensity") * ramp).otherwise(0.0)
     lift = F.when(inside, F.col("intensity") * ramp).otherwise(0.0)
     out = []
     for i, name in enumerate(names):
@@ -71,7 +71,7 @@ def match_faults(replayed: DataFrame, keys: Sequence[str], rules: Sequence[tuple
     """One row per injected fault: first opening inside the fault window, diagnosis, fixed thresholds.
 
     Faults whose detector was already active just before the injection are left out. Input rows carry offset, x,
-    active, opened, top_feature, fault, feature, intensity, effect.
+    active, opened, top_feature, fault, feature, intensity, fault_effect.
     """
     end = V.REPLAY_WARM + V.REPLAY_LENGTH + V.GRACE_CYCLES
     seen = F.col("opened") & (F.col("offset") >= V.REPLAY_WARM) & (F.col("offset") < end)
@@ -81,13 +81,13 @@ def match_faults(replayed: DataFrame, keys: Sequence[str], rules: Sequence[tuple
         F.max(F.when(F.col("offset") == V.REPLAY_WARM - 1, F.col("active").cast("int"))).alias("__before"),
         F.min(F.when(seen, F.col("offset"))).alias("__hit"),
         F.min_by("top_feature", F.when(seen, F.col("offset"))).alias("__top"),
-        F.first("fault").alias("fault"), F.first("feature").alias("feature"), F.first("intensity").alias("intensity"), F.first("effect").alias("effect"),
+        F.first("fault").alias("fault"), F.first("feature").alias("feature"), F.first("intensity").alias("intensity"), F.first("fault_effect").alias("fault_effect"),
     )
     out = facts.where(F.coalesce("__before", F.lit(0)) == 0).join(fixed.select(*keys, "__fx"), list(keys), "left")
     hit = F.col("__hit").isNotNull()
     by_rule = F.coalesce(F.col("__fx") < V.REPLAY_LENGTH + V.GRACE_CYCLES, F.lit(False))
     return out.select(
-        *keys, "fault", "feature", "intensity", F.round(F.col("effect") * F.col("intensity"), 2).alias("effect"),
+        *keys, "fault", "feature", "intensity", F.round(F.col("fault_effect") * F.col("intensity"), 2).alias("effect"),
         hit.cast("int").alias("detected"),
         F.when(hit, (F.col("__hit") - V.REPLAY_WARM) * V.SCORE_STEP).alias("delay_s"),
         F.when(hit, F.col("__top")).alias("top_feature"),
@@ -242,3 +242,25 @@ def quiet_reasons(ready: Column, warmup: Column, maintenance_until: Column, acti
         (yes(active), "anomaly"), (yes(alerting), "alert"), (S.in_backup_slot(now), "backup_slot"),
     ]
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in checks]))
+
+
+def rolling_folds(rows: DataFrame, step: int = V.SCORE_STEP, train_days: int = V.TRAIN_HOURS // 24, min_rows: int = V.REPLAY_MIN_ROWS) -> DataFrame:
+    """Rolling-origin folds of (target, t, x): columns day, role (train or test).
+
+    Each row replays its own day and, at every other cycle, trains the next ``train_days`` days; folds with too few
+    rows on either side are skipped. The rows grow by a constant factor only.
+    """
+    day = F.floor(F.col("t") / V.DAY)
+    first = rows.groupBy("target").agg(F.floor(F.min("t") / V.DAY).alias("__first"), F.floor(F.max("t") / V.DAY).alias("__last"))
+    # even cycles counted from the start of the training window; windows start on whole days
+    even = F.pmod(F.floor((F.col("t") % V.DAY) / step) + (day % 2) * (V.DAY // step), F.lit(2))
+    roles = [F.struct(day.alias("day"), F.lit("test").alias("role"))]
+    for ahead in range(1, train_days + 1):
+        start = (day + ahead - train_days) % 2 * (V.DAY // step)
+        keep = F.pmod(even + start, F.lit(2)) == 0
+        roles.append(F.when(keep, F.struct((day + ahead).alias("day"), F.lit("train").alias("role"))))
+    spread = rows.withColumn("__f", F.explode(F.array_compact(F.array(*roles)))).select(*rows.columns, "__f.*")
+    inside = spread.join(first, "target").where((F.col("day") >= F.col("__first") + train_days) & (F.col("day") <= F.col("__last"))).drop("__first", "__last")
+    sizes = inside.groupBy("target", "day").agg(F.count_if(F.col("role") == "train").alias("__a"), F.count_if(F.col("role") == "test").alias("__b"))
+    enough = sizes.where((F.col("__a") >= min_rows) & (F.col("__b") >= min_rows)).select("target", "day")
+    return inside.join(enough, ["target", "day"], "left_semi").select(*rows.columns, "day", "role")

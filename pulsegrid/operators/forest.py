@@ -51,7 +51,8 @@ def _grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tupl
             nodes.append([node, -1, -1, 0.0, -1, -1, len(rows), depth])
             continue
         feature = int(rng.choice(open_features))
-        split = float(rng.uniform(low[feature], high[feature]))
+        # strictly below the maximum, so that both sides keep at least one row
+        split = float(min(rng.uniform(low[feature], high[feature]), np.nextafter(high[feature], low[feature])))
         nodes.append([node, 0, feature, split, -1, -1, len(rows), depth])
         goes_left = part[:, feature] <= split
         stack.append((rows[~goes_left], depth + 1, node, 1))
@@ -107,7 +108,7 @@ def score(rows: DataFrame, nodes: DataFrame, sample: int = V.TREE_SAMPLE, slice_
     ship_package(rows.sparkSession)
     sliced = rows.withColumn("__slice", F.floor(F.col("t") / slice_seconds))
     pairs = sliced.select("target", "__slice").distinct()
-    forests = nodes.join(pairs, "target")
+    forests = nodes.join(pairs, "target").withColumnsRenamed({"target": "__owner", "__slice": "__part"})
     schema = f"{rows._jdf.schema().toDDL()}, score double"
     names = rows.columns
 
@@ -140,7 +141,7 @@ def score(rows: DataFrame, nodes: DataFrame, sample: int = V.TREE_SAMPLE, slice_
         base = _average_path(np.array([psi]))[0]
         return left[names].assign(score=np.power(2.0, -(depth / count) / base))
 
-    return sliced.groupBy("target", "__slice").cogroup(forests.groupBy("target", "__slice")).applyInPandas(walk, schema)
+    return sliced.groupBy("target", "__slice").cogroup(forests.groupBy("__owner", "__part")).applyInPandas(walk, schema)
 
 
 def thresholds(scored: DataFrame, percentile: float = V.IF_PERCENTILE, ratio: float = 0.5) -> DataFrame:

@@ -10,13 +10,19 @@ from pulsegrid.plans import rules as R
 from pulsegrid.plans import tables as T
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.tables import COUNTER, EV, HOURLY, read
+from pulsegrid.session import cut
 
 HOUR = 3600
 
 
-def metrics(spark, sf):
-    """The hourly matrix and the event counters read as the metrics of the alert rules, one tick per hour."""
-    m = T.hourly(spark, sf).join(T.counters(spark, sf), ["target", "t"])
+COUNTERS = ("node_cpu_seconds_total", "pfe_agent_verifications_total")
+
+
+def metrics(spark, sf, names):
+    """The hourly matrix and the event counters read as the named metrics of the alert rules, one tick per hour."""
+    m = T.hourly(spark, sf)
+    if set(names) & set(COUNTERS):
+        m = m.join(T.counters(spark, sf).withColumnRenamed("value", "counter"), ["target", "t"])
     node, t = F.col("target"), F.col("t")
     click, error, purchase, signup, view = (F.col(f) for f in T.FEATURES)
     flag = lambda c: c.cast("double")
@@ -24,6 +30,8 @@ def metrics(spark, sf):
     url = F.when(node == "node-0", F.lit("https://10.0.0.1:32252/")).otherwise(F.concat(F.lit("https://"), node, F.lit(".example.com/")))
 
     def sample(name, value, when=None, **labels):
+        if name not in names:
+            return None
         pairs = [x for k, v in labels.items() for x in (F.lit(k), v if not isinstance(v, str) else F.lit(v))]
         row = F.struct(F.lit(name).alias("name"), F.create_map(*pairs).cast("map<string,string>").alias("labels"), value.cast("double").alias("value"))
         return row if when is None else F.when(when, row)
@@ -34,7 +42,7 @@ def metrics(spark, sf):
         sample("up", flag(view > 0), (node == "node-0") & (click > 0), job="aiops-engine"),
         sample("up", flag(signup > 0), (node == "node-1") & (view > 0), job="remediation-agent"),
         sample("up", flag(purchase > 0), job="cadvisor", node=node),
-        sample("node_cpu_seconds_total", F.col("value") * 360, mode="idle", node=node, cpu="0"),
+        sample("node_cpu_seconds_total", F.col("counter") * 360, mode="idle", node=node, cpu="0"),
         sample("node_memory_MemAvailable_bytes", view * 10 + 5, node=node),
         sample("node_memory_MemTotal_bytes", F.lit(100.0), node=node),
         sample("node_filesystem_avail_bytes", click * 10 + 4, **root),
@@ -54,7 +62,7 @@ def metrics(spark, sf):
         sample("pfe_sync_statut", flag(purchase > 0), node=node),
         sample("pfe_argocd_app", F.least(F.lit(1.0), signup * 0.5), application=app, nom=node),
         sample("pfe_agent_last_action_timestamp_seconds", t - click * 600, node=node, action="restart", outcome=F.when(node == "node-0", "simulee").otherwise("succes")),
-        sample("pfe_agent_verifications_total", F.col("value"), action=node, result=F.when(node == "node-3", "resolu").otherwise("persistant")),
+        sample("pfe_agent_verifications_total", F.col("counter"), action=node, result=F.when(node == "node-3", "resolu").otherwise("persistant")),
         sample("pfe_agent_suspended", flag(view == 0), node=node),
         sample("pfe_agent_node_reachable", flag(click > 0), node=node),
         sample("pfe_backup_last_status", flag(error < 2), node=node),
@@ -65,7 +73,8 @@ def metrics(spark, sf):
         sample("pfe_backup_restore_test_status", flag(error < 3), node=node),
         sample("pfe_backup_restore_test_last_success_timestamp_seconds", t - click * 345600, node=node),
     ]
-    return m.select("t", F.explode(F.array_compact(F.array(*samples))).alias("s")).select("s.name", "s.labels", "t", "s.value")
+    wanted = [x for x in samples if x is not None]
+    return m.select("t", F.explode(F.array_compact(F.array(*wanted))).alias("s")).select("s.name", "s.labels", "t", "s.value")
 
 
 _NODE = "'node=\"' || target || '\"'"
@@ -132,7 +141,7 @@ def _held(name: str) -> str:
 def _register(number: int, rule: R.Rule) -> None:
     @query(f"R{number}_{rule.name}", f"WITH {COUNTER}, {_held(rule.name)} SELECT series, t, round(value, 6) AS value, active_since, state FROM {rule.name}")
     def _(spark, sf):
-        states = R.evaluate(rule, metrics(spark, sf), HOUR)
+        states = R.evaluate(rule, metrics(spark, sf, rule.reads), R.Grid(HOUR))
         return states.select("series", "t", F.round("value", 6).alias("value"), "active_since", "state")
 
 
@@ -146,7 +155,8 @@ _SHOWN = ("NoeudInjoignable", "RamElevee", "AnomalieAIOps", "ServeurVideDetecte"
   k AS (SELECT *, regexp_extract(series, 'node="([^"]*)"', 1) AS node FROM a), down AS (SELECT DISTINCT t, node FROM k WHERE alertname = 'NoeudInjoignable' AND state = 'firing')
   SELECT alertname, series, t, state FROM k WHERE alertname = 'NoeudInjoignable' OR severity = 'info' OR (t, node) NOT IN (SELECT (t, node) FROM down)""")
 def _(spark, sf):
-    alerts = R.evaluate_all(metrics(spark, sf), HOUR, [R.BY_NAME[n] for n in _SHOWN])
+    shown = [R.BY_NAME[n] for n in _SHOWN]
+    alerts = R.evaluate_all(cut(metrics(spark, sf, {x for r in shown for x in r.reads})), R.Grid(HOUR), shown)
     return R.inhibit(alerts).select("alertname", "series", "t", "state")
 
 
@@ -157,7 +167,8 @@ def _(spark, sf):
   n AS (SELECT *, t - since - 30 AS age FROM i)
   SELECT alertname, node, t, since, alerts, age // 14400 AS repeat_no FROM n WHERE age >= 0 AND age // 14400 > CASE WHEN age >= 3600 THEN (age - 3600) // 14400 ELSE -1 END""")
 def _(spark, sf):
-    alerts = R.evaluate_all(metrics(spark, sf), HOUR, [R.BY_NAME[n] for n in ("AnomalieAIOps", "ServeurVideDetecte", "CollecteurArrete")])
+    shown = [R.BY_NAME[n] for n in ("AnomalieAIOps", "ServeurVideDetecte", "CollecteurArrete")]
+    alerts = R.evaluate_all(cut(metrics(spark, sf, {x for r in shown for x in r.reads})), R.Grid(HOUR), shown)
     mailed = R.mail_route(alerts).where("state = 'firing'").withColumn("node", L.label(F.col("labels"), "node"))
     sent = R.notifications(mailed, ["alertname", "node"], 30, 4 * HOUR, HOUR)
     return sent.select("alertname", "node", "t", "since", "alerts", "repeat_no")
@@ -269,10 +280,16 @@ def _gauge(metrics_df, name, *by):
     return rows.select(*[L.label(F.col("labels"), b).alias(b) for b in by], "value")
 
 
+_BOARD = (
+    "pfe_backup_last_status", "pfe_backup_last_success_timestamp_seconds", "pfe_backup_offsite_last_success_timestamp_seconds",
+    "pfe_backup_restore_test_status", "pfe_backup_restore_test_last_success_timestamp_seconds",
+)
+
+
 @query("B1_backup_board", f"""WITH {HOURLY} SELECT target AS node, max((error < 2)::INT)::DOUBLE AS status, CASE WHEN target <> 'node-1' THEN max(t - error * 72000) END AS last_success,
   CASE WHEN target NOT IN ('node-1', 'node-2') THEN max(t - view * 72000) END AS last_copy, max((error < 3)::INT)::DOUBLE AS restore_status, max(t - click * 345600) AS last_restore FROM m GROUP BY target""")
 def _(spark, sf):
-    m = metrics(spark, sf)
+    m = cut(metrics(spark, sf, _BOARD))
     gauges = {
         "status": _gauge(m, "pfe_backup_last_status", "node"), "last_success": _gauge(m, "pfe_backup_last_success_timestamp_seconds", "node"),
         "last_copy": _gauge(m, "pfe_backup_offsite_last_success_timestamp_seconds", "node"), "restore_status": _gauge(m, "pfe_backup_restore_test_status", "node"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import blocks, detect, features, lifecycle
+from pulsegrid.session import cut
 from pulsegrid.vocabulary import INF
 
 HOUR = 3600
@@ -54,20 +55,24 @@ EV = """ev AS (SELECT event_id, epoch_us(ts) // 1000000 AS t, epoch_us(ts) AS us
   'node-' || (user_id % 4) AS target, event_type AS feature, value, props FROM events)"""
 
 
-def hourly(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts per (target, hour) and feature, one row for every hour of a target."""
-    ev = events(spark, sf).select("target", (F.expr("t div 3600") * HOUR).alias("t"), "feature")
+def hourly(spark: SparkSession, sf: str, step: int = HOUR) -> DataFrame:
+    """Counts per (target, step) and feature, one row for every step of a target."""
+    ev = events(spark, sf).select("target", (F.expr(f"t div {step}") * step).alias("t"), "feature")
     counts = ev.groupBy("target", "t").agg(*[F.count_if(F.col("feature") == f).cast("double").alias(f) for f in FEATURES])
     span = ev.groupBy("target").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    spine = span.select("target", F.explode(F.sequence("a", "b", F.lit(HOUR).cast("long"))).alias("t"))
+    spine = span.select("target", F.explode(F.sequence("a", "b", F.lit(step).cast("long"))).alias("t"))
     return spine.join(counts, ["target", "t"], "left").fillna(0.0, list(FEATURES))
 
 
-HOURLY = f"""{EV},
-m0 AS (SELECT target, t // 3600 * 3600 AS t, {", ".join(f"count(*) FILTER (feature = '{f}') AS {f}" for f in FEATURES)} FROM ev GROUP BY 1, 2),
-sp AS (SELECT target, unnest(generate_series(min(t), max(t), 3600)) AS t FROM m0 GROUP BY target),
+def matrix_sql(step: int = HOUR) -> str:
+    return f"""{EV},
+m0 AS (SELECT target, t // {step} * {step} AS t, {", ".join(f"count(*) FILTER (feature = '{f}') AS {f}" for f in FEATURES)} FROM ev GROUP BY 1, 2),
+sp AS (SELECT target, unnest(generate_series(min(t), max(t), {step})) AS t FROM m0 GROUP BY target),
 m AS (SELECT sp.target, sp.t, {", ".join(f"coalesce({f}, 0)::DOUBLE AS {f}" for f in FEATURES)} FROM sp LEFT JOIN m0 USING (target, t))"""
 
+
+HOURLY = matrix_sql()
+
 SPEC_SQL = "spec(ord, feature, lo, hi, min_effect, direction) AS (VALUES " + ", ".join(
     f"({i}, '{s[0]}', {s[1]}::DOUBLE, {s[2]}::DOUBLE, {s[3]}::DOUBLE, '{s[4]}')" for i, s in enumerate(SPEC)
 ) + ")"
@@ -129,7 +134,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latched(spark: SparkSession, sf: str) -> DataFrame:
-    scores = scored(spark, sf).select("target", "t", "z_max", "effect", "top_feature", "top_z")
+    scores = cut(scored(spark, sf).select("target", "t", "z_max", "effect", "top_feature", "top_z"))
     return detect.hysteresis(scores, ["target"], ["t"], "z_max", Z_HIGH, Z_LOW, VOTE_K, VOTE_N, LAM, width=5 * 86400)
 
 
