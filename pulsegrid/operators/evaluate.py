@@ -118,26 +118,32 @@ def replay_grid(series: DataFrame, keys: Sequence[str], value: str = "z_max", wi
     from pulsegrid.session import cut
 
     indexed = cut(blocks.with_index(series, keys, ["t"], "idx", width))
-    out = None
+    smooth = None
     for lam in V.GRID_LAMBDA:
-        smooth = detect.smooth_and_vote(indexed, keys, value, F.lit(float("inf")), F.lit(float("-inf")), lam, 1).drop("__above", "__below")
-        settings = smooth.withColumn("__g", F.explode(F.filter(grid(), lambda g: g["lam"] == lam))).select(*smooth.columns, "__g.*")
-        for k, n in V.GRID_VOTE:
-            part = settings.where((F.col("k") == k) & (F.col("n") == n))
-            by = [*keys, "setting"]
-            haloed = blocks.row_halo(part, "idx", 4096, n)
-            lastn = Window.partitionBy(*by, blocks.BLOCK).orderBy("idx").rowsBetween(-(n - 1), 0)
-            above = F.sum((F.col("smoothed") > F.col("z_high")).cast("int")).over(lastn)
-            below = F.sum((F.col("smoothed") < F.col("z_low")).cast("int")).over(lastn)
-            signal = F.when(above >= k, 1).when(below == n, 0)
-            voted = blocks.own_rows(haloed.withColumn("__signal", signal))
-            was = blocks.running(voted, by, ["t"], {"__was": blocks.Run("last", F.col("__signal"), inclusive=False)}, width)
-            opened = (F.col("__signal") == 1) & (F.coalesce("__was", F.lit(0)) == 0)
-            done = was.groupBy(*by, "lam", "k", "n", "z_high", "z_low").agg(
-                F.count_if(opened).alias("opens"), F.greatest((F.max("t") - F.min("t")) / 86400.0, F.lit(1e-6)).alias("days")
-            )
-            out = done if out is None else out.unionByName(done)
-    return out
+        one = detect.smooth_and_vote(indexed, keys, value, F.lit(float("inf")), F.lit(float("-inf")), lam, 1).drop("__above", "__below")
+        one = one.select(*keys, "t", "idx", "smoothed", F.lit(lam).alias("lam"))
+        smooth = one if smooth is None else smooth.unionByName(one)
+    settings = smooth.withColumn("__g", F.explode(F.filter(grid(), lambda g: g["lam"] == F.col("lam"))))
+    settings = settings.select(*keys, "t", "idx", "smoothed", "__g.*")
+    by = [*keys, "setting"]
+    frames = sorted({n for _, n in V.GRID_VOTE})
+    series_of = Window.partitionBy(*by, blocks.BLOCK).orderBy("idx")
+    above, below = (F.col("smoothed") > F.col("z_high")).cast("int"), (F.col("smoothed") < F.col("z_low")).cast("int")
+    counted = {}
+    for n in frames:
+        lastn = series_of.rowsBetween(-(n - 1), 0)
+        counted[f"__a{n}"], counted[f"__b{n}"] = F.sum(above).over(lastn), F.sum(below).over(lastn)
+    haloed = blocks.row_halo(settings, "idx", 4096, max(frames)).withColumns(counted)
+    signal = F
+    for n in frames:
+        mine = F.col("n") == n
+        signal = signal.when(mine & (F.col(f"__a{n}") >= F.col("k")), 1).when(mine & (F.col(f"__b{n}") == n), 0)
+    voted = cut(blocks.own_rows(haloed.withColumn("__signal", signal)).drop(*counted, "smoothed", "idx"))
+    was = blocks.running(voted, by, ["t"], {"__was": blocks.Run("last", F.col("__signal"), inclusive=False)}, width)
+    opened = (F.col("__signal") == 1) & (F.coalesce("__was", F.lit(0)) == 0)
+    return was.groupBy(*by, "lam", "k", "n", "z_high", "z_low").agg(
+        F.count_if(opened).alias("opens"), F.greatest((F.max("t") - F.min("t")) / 86400.0, F.lit(1e-6)).alias("days")
+    )
 
 
 def rank_grid(results: DataFrame) -> DataFrame:

@@ -99,6 +99,19 @@ def _average_path(n: np.ndarray) -> np.ndarray:
     return out
 
 
+def _walk(points, roots, feature, split, below, above, ends) -> np.ndarray:
+    """Mean path length of every point over all trees at once (points x trees, one step per level)."""
+    at = np.tile(roots, (len(points), 1))
+    row = np.arange(len(points))[:, None]
+    while True:
+        f = feature[at]
+        inner = f >= 0
+        if not inner.any():
+            return ends[at].mean(axis=1)
+        goes_up = points[row, np.where(inner, f, 0)] > split[at]
+        at = np.where(inner, np.where(goes_up, above[at], below[at]), at)
+
+
 def score(rows: DataFrame, nodes: DataFrame, sample: int = V.TREE_SAMPLE, slice_seconds: int = 3 * 86400) -> DataFrame:
     """Isolation score of every row (target, t, x, ...): 2^(-mean path / c(psi)).
 
@@ -117,29 +130,17 @@ def score(rows: DataFrame, nodes: DataFrame, sample: int = V.TREE_SAMPLE, slice_
             return left[names].assign(score=[])
         if not len(right):
             return left[names].assign(score=np.nan)
+        order = np.lexsort((right["node"].to_numpy(), right["tree"].to_numpy()))
+        column = {c: right[c].to_numpy()[order] for c in ("tree", "feature", "split", "left", "right", "size", "depth")}
+        _, roots, sizes = np.unique(column["tree"], return_index=True, return_counts=True)
+        offset = np.repeat(roots, sizes)
+        feature, split = column["feature"], column["split"]
+        below, above = column["left"] + offset, column["right"] + offset
+        ends = column["depth"] + _average_path(column["size"])
+        base = _average_path(np.array([column["size"][roots].max()]))[0]
         points = np.vstack(left["x"].to_numpy())
-        depth = np.zeros(len(points))
-        count = 0
-        psi = 2
-        for _, tree in right.groupby("tree", sort=True):
-            tree = tree.sort_values("node")
-            feature, split = tree["feature"].to_numpy(), tree["split"].to_numpy()
-            children = np.stack([tree["left"].to_numpy(), tree["right"].to_numpy()])
-            size = tree["size"].to_numpy()
-            ends = tree["depth"].to_numpy() + _average_path(size)
-            psi = max(psi, int(size[0]))
-            at = np.zeros(len(points), dtype=int)
-            while True:
-                inner = np.flatnonzero(feature[at] >= 0)
-                if not len(inner):
-                    break
-                here = at[inner]
-                right_side = (points[inner, feature[here]] > split[here]).astype(int)
-                at[inner] = children[right_side, here]
-            depth += ends[at]
-            count += 1
-        base = _average_path(np.array([psi]))[0]
-        return left[names].assign(score=np.power(2.0, -(depth / count) / base))
+        mean = np.concatenate([_walk(points[i : i + 4096], roots, feature, split, below, above, ends) for i in range(0, len(points), 4096)])
+        return left[names].assign(score=np.power(2.0, -mean / base))
 
     return sliced.groupBy("target", "__slice").cogroup(forests.groupBy("__owner", "__part")).applyInPandas(walk, schema)
 

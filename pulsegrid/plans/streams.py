@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import audit, blocks, decisions, detect, lifecycle
+from pulsegrid.operators import audit, decisions, lifecycle
 from pulsegrid.plans import tables as T
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.tables import EV, HOURLY, SCORED, latch_sql, read
-from pulsegrid.plans.windows import SUPPRESSED
+from pulsegrid.plans.windows import SUPPRESSED, suppressed
+from pulsegrid.session import cut
 from pulsegrid.sources import logs
 from pulsegrid.streaming import jobs, processors
 
@@ -69,12 +70,7 @@ def _(spark, sf):
 
 @query("S8_event_log", _EVENTS_SQL)
 def _(spark, sf):
-    rows = blocks.with_index(T.latched(spark, sf), ["target"], ["t"], "idx", 5 * 86400)
-    quiet = (F.col("idx") < 20) | F.floor((F.col("t") % 86400) / HOUR).between(2, 7)
-
-
-    fused = detect.suppress_opening(rows.withColumnRenamed("active", "wants"), ["target"], ["t"], F.col("wants"), quiet, 5 * 86400)
-    events = lifecycle.anomaly_events(fused.withColumns({"if_effective": F.lit(False), "z_active": F.col("wants")}), width=5 * 86400)
+    events = lifecycle.anomaly_events(cut(suppressed(spark, sf)).withColumns({"if_effective": F.lit(False), "z_active": F.col("wants")}), width=5 * 86400)
     return logs.event_rows(events.withColumn("top_z", F.round("top_z", 6)))
 
 
