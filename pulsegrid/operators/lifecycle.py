@@ -226,7 +226,7 @@ def drift(recent: DataFrame, reference: DataFrame, suspended: DataFrame | None =
 def forecast(samples: DataFrame, keys: Sequence[str], now: Column | int, hours: float = V.FORECAST_HOURS, t: str = "t", y: str = "value"):
     """Hours to saturation per resource from the last hours of its series (at least 30 points)."""
     base = now if isinstance(now, Column) else F.lit(now)
-    recent = samples.where((F.col(t) > base - int(hours * 3600)) & (F.col(t) <= base))
+    recent = samples.where((F.col(t) >= base - int(hours * 3600)) & (F.col(t) <= base))
     first = recent.groupBy(*keys).agg(F.min(t).alias("__t0"))
     points = recent.join(first, list(keys)).select(*keys, ((F.col(t) - F.col("__t0")) / 3600.0).alias("t"), F.col(y).alias("y"))
     fitted = summaries.theil_sen(points, keys).where(F.col("n") >= V.FORECAST_MIN_POINTS)

@@ -120,7 +120,7 @@ def _(spark, sf):
     return value.select("target", F.round("psi", 6).alias("psi"), "drift")
 
 
-@query("M11_saturation_forecast", f"""WITH {HOURLY}, f AS (SELECT target, feature, t, value FROM (UNPIVOT m ON click, view INTO NAME feature VALUE value) WHERE t > {T.END} - 360000 AND t <= {T.END}),
+@query("M11_saturation_forecast", f"""WITH {HOURLY}, f AS (SELECT target, feature, t, value FROM (UNPIVOT m ON click, view INTO NAME feature VALUE value) WHERE t >= {T.END} - 360000 AND t <= {T.END}),
   p AS (SELECT target, feature, (t - min(t) OVER (PARTITION BY target, feature)) / 3600.0::DOUBLE AS x, value AS y FROM f),
   sl AS (SELECT a.target, a.feature, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM p a JOIN p b ON a.target = b.target AND a.feature = b.feature AND a.x < b.x GROUP BY 1, 2),
   ic AS (SELECT p.target, p.feature, slope, quantile_cont(y - slope * x, 0.5) AS b0, avg(y) AS my, max(x) AS lx FROM p JOIN sl USING (target, feature) GROUP BY 1, 2, 3),
