@@ -25,18 +25,13 @@ def target_node(alertname: Column, node: Column, supervisor: Column) -> Column:
     return F.when(alertname == "MoteurAIOpsArrete", supervisor).otherwise(node)
 
 
-def _with_single_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    # a global aggregate has exactly one row, so the broadcast is bounded
-    return df.withColumn("__one", F.lit(1)).join(F.broadcast(row.withColumn("__one", F.lit(1))), "__one", "left").drop("__one")
-
-
 def plan(alerts: DataFrame, nodes: DataFrame, applications: DataFrame, api: str = "server", disk_cleanup: bool = False) -> DataFrame:
     """Planned action of every alert: columns plan_node, action (null = none), arg, reason, verify_node.
 
     Alerts: alertname, node, application, job, source, feature, z. Nodes: name, app, monitoring, k3s, ord.
     Applications: application, components. The policies are ordered rules; the first that applies wins.
     """
-    located = _with_single_row(_with_single_row(alerts, control_node(nodes)), monitoring_node(nodes))
+    located = alerts.withColumns({"control": control_node(nodes).scalar(), "supervisor": monitoring_node(nodes).scalar()})
     located = located.withColumn("__target", target_node(F.col("alertname"), F.col("node"), F.col("supervisor")))
     known = nodes.select(F.col("name").alias("__target"), F.col("app").alias("__hosts"), F.lit(True).alias("__known"))
     joined = located.join(known, "__target", "left").join(applications, "application", "left")

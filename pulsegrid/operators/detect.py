@@ -142,9 +142,13 @@ def warmup_cycle(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
 
 
 def plateau(
-    df: DataFrame, keys: Sequence[str], features: Sequence[tuple[str, float]], window_rows: int = V.REGIME_WINDOW, index: str = "idx"
-) -> DataFrame:
-    """True where the last ``window_rows`` rows are complete and every feature stays within its minimum effect."""
+    df: DataFrame, keys: Sequence[str], features: Sequence[tuple[str, float]], window_rows: int = V.REGIME_WINDOW, index: str = "idx",
+    entering: Sequence[str] = (),
+) -> DataFrame:
+    """True where the last ``window_rows`` rows are complete and every feature stays within its minimum effect.
+
+    For each boolean column in ``entering``, adds whether it became true at this row (same pass).
+    """
     haloed = blocks.row_halo(df, index, max(1024, window_rows), window_rows)
     frame = Window.partitionBy(*keys, blocks.BLOCK).orderBy(index).rowsBetween(-(window_rows - 1), 0)
     stable = F.col(index) >= window_rows - 1
@@ -152,20 +156,24 @@ def plateau(
         if effect > 0:
             low, high = F.percentile(name, F.lit(0.05)).over(frame), F.percentile(name, F.lit(0.95)).over(frame)
             stable = stable & (high - low <= effect)
-    return blocks.own_rows(haloed.withColumn("plateau", stable))
+    before = Window.partitionBy(*keys, blocks.BLOCK).orderBy(index)
+    entered = [F.coalesce(F.col(c) & ~F.coalesce(F.lag(c).over(before), F.lit(False)), F.lit(False)).alias(f"{c}_entered") for c in entering]
+    return blocks.own_rows(haloed.select("*", stable.alias("plateau"), *entered))
 
 
 def first_run(df: DataFrame, keys: Sequence[str], rules: Sequence[tuple[str, float, int]], ts: str = "t", width: int = blocks.DEFAULT_WIDTH):
-    """Earliest time at which any rule (feature, threshold, rows) has exceeded its threshold for that many rows."""
-    hits = df
-    conditions = []
-    for i, (feature, threshold, rows) in enumerate(rules):
-        hits = run_length(hits, keys, [ts], F.col(feature) > threshold, f"__run{i}", width)
-        conditions.append(F.col(f"__run{i}") >= rows)
-    any_rule = conditions[0]
-    for c in conditions[1:]:
-        any_rule = any_rule | c
-    return hits.where(any_rule).groupBy(*keys).agg(F.min(ts).alias("first_run"))
+    """Earliest time at which any rule (feature, threshold, rows) has exceeded its threshold for that many rows.
+
+    A run reaches d rows exactly where the last d rows all exceed, so all rules share one pass over a short halo.
+    """
+    indexed = blocks.with_index(df, keys, [ts], "__idx", width)
+    haloed = blocks.row_halo(indexed, "__idx", 4096, max(rows for _, _, rows in rules))
+    series = Window.partitionBy(*keys, blocks.BLOCK).orderBy("__idx")
+    hit = F.lit(False)
+    for feature, threshold, rows in rules:
+        above = F.sum((F.col(feature) > threshold).cast("int")).over(series.rowsBetween(-(rows - 1), 0))
+        hit = hit | (above == rows)
+    return blocks.own_rows(haloed.withColumn("__hit", hit)).where("__hit").groupBy(*keys).agg(F.min(ts).alias("first_run"))
 
 
 def first_in_window(

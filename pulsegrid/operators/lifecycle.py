@@ -302,15 +302,9 @@ def regime_candidates(
     names = [s[0] for s in spec]
     wide = detections.select("target", "t", "active", "median", *[F.col("x")[i].alias(n) for i, n in enumerate(names)])
     indexed = blocks.with_index(wide, keys, ["t"], "idx", width)
-    flat = detect.plateau(indexed, keys, [(s[0], s[3]) for s in spec], rows)
-    aged = blocks.running(
-        flat.withColumn("__off", F.when(~F.col("active"), F.col("t"))), keys, ["t"], {"__last_off": blocks.Run("last", F.col("__off"))}, width
-    ).drop("__off")
-    began = blocks.running(
-        aged.withColumn("__a", F.col("active").cast("int")), keys, ["t"], {"__p": blocks.Run("last", F.col("__a"), inclusive=False)}, width
-    )
-    opened = F.col("active") & (F.coalesce("__p", F.lit(0)) == 0)
-    began = blocks.running(began.withColumn("__o", F.when(opened, F.col("t"))), keys, ["t"], {"start": blocks.Run("last", F.col("__o"))}, width)
+    flat = detect.plateau(indexed, keys, [(s[0], s[3]) for s in spec], rows, entering=["active"])
+    opened = F.when(F.col("active_entered"), F.col("t"))
+    began = blocks.running(flat, keys, ["t"], {"start": blocks.Run("last", opened)}, width)
     safe = F.lit(True)
     for name, critical in ((s[0], s[5]) for s in spec):
         if critical != V.INF:

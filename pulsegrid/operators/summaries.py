@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import stats as S
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 2000) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 20_000) -> DataFrame:
     """Exact quantiles (linear interpolation) of groups of any size, as columns ``q0, q1, ...`` plus ``n``.
 
     A mergeable sketch brackets each quantile to about ``8 / accuracy`` of its group; only the distinct values in

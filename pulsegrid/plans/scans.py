@@ -10,6 +10,7 @@ from pulsegrid.operators import audit, detect, evaluate, features, series, summa
 from pulsegrid.plans import tables as T
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.tables import END, EV, FEATURES, HOUR, HOURLY, LONG, MID, read
+from pulsegrid.session import cut
 from pulsegrid.sources import exposition, logs
 
 MONTH = 31 * 86400
@@ -33,7 +34,8 @@ _SERIES = f"{EV}, s AS (SELECT user_id, t, arg_max(value, us) AS value FROM ev G
 
 def _user_series(spark, sf):
     ev = T.events(spark, sf).select("user_id", "t", "us", "value")
-    return series.dedupe_last(ev, ["user_id", "t"], "us").select("user_id", "t", "value")
+    # read four times below (ticks and samples, rows and summaries): deduplicated once
+    return cut(series.dedupe_last(ev, ["user_id", "t"], "us").select("user_id", "t", "value"))
 
 
 @query("S2_range_read", f"WITH {_SERIES}, {_grid_sql(86400, 86400, 'user_id')} SELECT user_id, t, value FROM got WHERE value IS NOT NULL")
@@ -231,7 +233,7 @@ def _(spark, sf):
     spec = features.spec_table(
         spark, {"node-0": ("node", one("view", "error")), "node-1": ("node", one("click", "signup")), "node-2": ("node", one("purchase")), "node-3": ("node", one("error"))}
     )
-    long = _means(spark, sf).select("target", "t", "feature", "value")
+    long = cut(_means(spark, sf).select("target", "t", "feature", "value"))
     return features.project(long, spec, ["signup"]).select("target", "t", "ord", "feature", F.round("value", 6).alias("value"))
 
 

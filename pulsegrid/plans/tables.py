@@ -58,8 +58,9 @@ EV = """ev AS (SELECT event_id, epoch_us(ts) // 1000000 AS t, epoch_us(ts) AS us
 def hourly(spark: SparkSession, sf: str, step: int = HOUR) -> DataFrame:
     """Counts per (target, step) and feature, one row for every step of a target."""
     ev = events(spark, sf).select("target", (F.expr(f"t div {step}") * step).alias("t"), "feature")
-    counts = ev.groupBy("target", "t").agg(*[F.count_if(F.col("feature") == f).cast("double").alias(f) for f in FEATURES])
-    span = ev.groupBy("target").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    # one scan of the events: the counts are small and everything downstream reads them again
+    counts = cut(ev.groupBy("target", "t").agg(*[F.count_if(F.col("feature") == f).cast("double").alias(f) for f in FEATURES]))
+    span = counts.groupBy("target").agg(F.min("t").alias("a"), F.max("t").alias("b"))
     spine = span.select("target", F.explode(F.sequence("a", "b", F.lit(step).cast("long"))).alias("t"))
     return spine.join(counts, ["target", "t"], "left").fillna(0.0, list(FEATURES))
 

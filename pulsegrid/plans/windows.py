@@ -9,6 +9,7 @@ from pulsegrid.operators.blocks import Run
 from pulsegrid.plans import tables as T
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.tables import COUNTER, EV, HOURLY, LATCH, SCORED, SMOOTH, read
+from pulsegrid.session import cut
 
 KEY, ORDER, WIDE = ["target"], ["t"], 5 * 86400
 
@@ -107,7 +108,7 @@ _EPISODES = """st AS (SELECT *, v >= 3 AS fl, lag(t) OVER w AS pt, lag(v) OVER w
 
 def _holed(spark, sf):
     ev = T.events(spark, sf).select("target", (F.expr("t div 3600") * 3600).alias("t"), "feature")
-    return ev.groupBy("target", "t").agg(F.count_if(F.col("feature") != "view").alias("v"))
+    return cut(ev.groupBy("target", "t").agg(F.count_if(F.col("feature") != "view").alias("v")))
 
 
 @query("W10_episodes", f'WITH {_HOLES}, {_EPISODES} SELECT target, start, "end", rows FROM eps')

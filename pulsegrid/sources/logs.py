@@ -43,9 +43,7 @@ def valid_scores(raw: DataFrame, minimum: int = MIN_LOG_ROWS) -> DataFrame:
         F.col("epoch").try_cast("double").alias("epoch"),
         F.col("zscore_max").try_cast("double").alias("zscore_max"),
     ).where("epoch is not null and zscore_max is not null")
-    enough = parsed.agg((F.count("*") >= minimum).alias("__ok")).where("__ok").withColumn("__one", F.lit(1))
-    # the other side is a global aggregate: at most one row
-    return parsed.withColumn("__one", F.lit(1)).join(F.broadcast(enough.select("__one")), "__one", "left_semi").drop("__one")
+    return parsed.where(parsed.agg(F.count("*")).scalar() >= minimum)
 
 
 def read_detection_csv(spark: SparkSession, path: str) -> DataFrame:
