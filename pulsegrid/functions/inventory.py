@@ -21,25 +21,28 @@ def other_ports(text: Column) -> Column:
 
 def classify(probe: Column, systems: list[str], min_ram: int, min_disk: int) -> tuple[Column, Column]:
     """(state, reason) of a probed server; the first rule that applies wins."""
-    containers = F.filter(F.split(F.coalesce(probe["conteneurs"], F.lit("")), " "), lambda c: c != "")
+    listed = F.coalesce(probe["conteneurs"], F.lit(""))
+    containers = F.array_sort(F.array_distinct(F.filter(F.split(listed, " "), lambda c: c != "")))
+    expected = "|".join(str(p) for p in V.EMPTY_SERVER_PORTS)
+    busy_port = F.coalesce(probe["services_ecoute"], F.lit("")).rlike(rf"(?:^| )(?!0*(?:{expected})(?: |$))[0-9]+(?: |$)")
     system = F.lower(F.coalesce(probe["systeme"], F.lit("")))
-    ports = other_ports(probe["services_ecoute"])
+    ports = F.array_join(other_ports(probe["services_ecoute"]).cast("array<string>"), ", ")
     ram = F.coalesce(probe["ram_mo"], F.lit(0))
     disk = F.coalesce(probe["disque_libre_go"], F.lit(0))
     version = F.trim(F.coalesce(probe["k3s_version"], F.lit("")))
     yes = lambda c: F.coalesce(c, F.lit(False))
     text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     rules = [
-        (F.array_contains(containers, "mon-prometheus"), "supervision", text("runs the monitoring stack")),
+        (listed.rlike("(?:^| )mon-prometheus(?: |$)"), "supervision", text("runs the monitoring stack")),
         (yes(probe["k3s_serveur"]), "controle", F.trim(text("k3s control node ", version))),
         (yes(probe["k3s_agent"]), "applicatif", F.trim(text("k3s agent ", version))),
         (~system.isin([s.lower() for s in systems]), "incompatible", text("system ", F.coalesce(F.nullif(system, F.lit("")), F.lit("unknown")))),
         (ram < min_ram, "incompatible", text(ram.cast("string"), f" MB of memory (minimum {min_ram})")),
         (disk < min_disk, "incompatible", text(disk.cast("string"), f" GB free (minimum {min_disk})")),
         (~yes(probe["sudo"]), "incompatible", text("no passwordless sudo")),
-        (F.size(containers) > 0, "occupe", text("running containers: ", F.array_join(F.array_sort(F.array_distinct(containers)), ", "))),
+        (F.trim(listed) != "", "occupe", text("running containers: ", F.array_join(containers, ", "))),
         (yes(probe["pfe_runbook"]), "occupe", text("already equipped, without k3s")),
-        (F.size(ports) > 0, "occupe", text("listening ports: ", F.array_join(ports.cast("array<string>"), ", "))),
+        (busy_port, "occupe", text("listening ports: ", ports)),
     ]
     state, reason = F, F
     for condition, name, why in rules:

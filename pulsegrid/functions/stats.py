@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -54,22 +55,10 @@ def c_n(n: Column) -> Column:
     return F.when(n > 2, general).when(n == 2, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def choose(n: Column, i: Column) -> Column:
-    """Binomial coefficient as a running product."""
-    return F.aggregate(
-        F.when(i >= 1, F.sequence(F.lit(1), i)).otherwise(F.array().cast("array<int>")),
-        F.lit(1.0),
-        lambda acc, j: acc * (n - i + j).cast("double") / j.cast("double"),
-    )
-
-
-def kofn_probability(p: Column, k: Column, n: Column) -> Column:
+def kofn_probability(p: Column, k: int, n: int) -> Column:
     """Chance that at least k of n independent points exceed, each with probability p."""
-    return F.aggregate(
-        F.sequence(k, n),
-        F.lit(0.0),
-        lambda acc, i: acc + choose(n, i) * F.pow(p, i.cast("double")) * F.pow(F.lit(1.0) - p, (n - i).cast("double")),
-    )
+    terms = [F.lit(float(math.comb(n, i))) * F.pow(p, F.lit(float(i))) * F.pow(F.lit(1.0) - p, F.lit(float(n - i))) for i in range(k, n + 1)]
+    return reduce(lambda a, b: a + b, terms)
 
 
 def hours_to_saturation(

@@ -18,6 +18,11 @@ _TREES_PER_TASK = 20
 _SPACE = float(2**64)
 
 
+def _tasks(df: DataFrame) -> int:
+    """Partitions for Python work: an explicit number keeps small inputs from being coalesced into one task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def unit_hash(*parts: Column) -> Column:
     """Uniform number in [0, 1[ fixed by its inputs, so retries and reruns draw the same."""
     return (F.xxhash64(*parts).cast("double") + F.lit(2.0**63)) / F.lit(_SPACE)
@@ -66,7 +71,7 @@ def fit_forest(augmented: DataFrame, trees: int = V.TREES, sample: int = V.TREE_
     Each tree takes the ``sample`` rows with the smallest hash for that tree. A hash threshold twice as wide as
     needed keeps the exploded rows near ``2 * sample * trees`` per target whatever the training size.
     """
-    ship_package(augmented.sparkSession)
+    ship_package()
     sizes = augmented.groupBy("target").agg(F.count("*").alias("__n"))
     sized = augmented.join(sizes, "target")
     bound = F.when(F.col("__n") <= 4 * sample, F.lit(1.0)).otherwise(F.lit(2.0 * sample) / F.col("__n"))
@@ -87,7 +92,8 @@ def fit_forest(augmented: DataFrame, trees: int = V.TREES, sample: int = V.TREE_
         return pd.DataFrame(out, columns=["target", "tree", "node", "feature", "split", "left", "right", "size", "depth"])
 
     batch = F.floor(F.col("tree") / _TREES_PER_TASK).alias("__batch")
-    return chosen.select("target", "tree", "__r", "x", batch).groupBy("target", "__batch").applyInPandas(build, schemas.FOREST_NODES)
+    spread = chosen.select("target", "tree", "__r", "x", batch).repartition(_tasks(augmented), "target", "__batch")
+    return spread.groupBy("target", "__batch").applyInPandas(build, schemas.FOREST_NODES)
 
 
 def _average_path(n: np.ndarray) -> np.ndarray:
@@ -118,7 +124,7 @@ def score(rows: DataFrame, nodes: DataFrame, sample: int = V.TREE_SAMPLE, slice_
     Rows are grouped by (target, time slice), so a hot target is spread over its slices; each group meets the
     nodes of its own target only (a forest is at most trees * 2 * sample nodes, a fixed size per target).
     """
-    ship_package(rows.sparkSession)
+    ship_package()
     sliced = rows.withColumn("__slice", F.floor(F.col("t") / slice_seconds))
     pairs = sliced.select("target", "__slice").distinct()
     forests = nodes.join(pairs, "target").withColumnsRenamed({"target": "__owner", "__slice": "__part"})
@@ -142,7 +148,9 @@ def score(rows: DataFrame, nodes: DataFrame, sample: int = V.TREE_SAMPLE, slice_
         mean = np.concatenate([_walk(points[i : i + 4096], roots, feature, split, below, above, ends) for i in range(0, len(points), 4096)])
         return left[names].assign(score=np.power(2.0, -mean / base))
 
-    return sliced.groupBy("target", "__slice").cogroup(forests.groupBy("__owner", "__part")).applyInPandas(walk, schema)
+    n = _tasks(rows)
+    left, right = sliced.repartition(n, "target", "__slice"), forests.repartition(n, "__owner", "__part")
+    return left.groupBy("target", "__slice").cogroup(right.groupBy("__owner", "__part")).applyInPandas(walk, schema)
 
 
 def thresholds(scored: DataFrame, percentile: float = V.IF_PERCENTILE, ratio: float = 0.5) -> DataFrame:

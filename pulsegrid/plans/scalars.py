@@ -78,7 +78,7 @@ def _(spark, sf):
     p = F.col("l_discount")
     return read(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey",
-        F.round(S.kofn_probability(p, F.lit(3), F.lit(4)), 8).alias("three_of_four"), F.round(S.kofn_probability(p, F.lit(5), F.lit(8)), 8).alias("five_of_eight"),
+        F.round(S.kofn_probability(p, 3, 4), 8).alias("three_of_four"), F.round(S.kofn_probability(p, 5, 8), 8).alias("five_of_eight"),
     )
 
 

@@ -54,21 +54,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers (once per application)."""
-    import os
-    import zipfile
+def ship_package() -> None:
+    """Send the functions of this package to the Python workers by value, so that it need not be installed there."""
+    import pulsegrid
+    from pyspark import cloudpickle
 
-    context = spark.sparkContext
-    if getattr(context, "_pulsegrid_shipped", False):
-        return
-    root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="pulsegrid-"), "pulsegrid.zip")
-    with zipfile.ZipFile(path, "w") as archive:
-        for folder, _, files in os.walk(root):
-            for name in files:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    archive.write(full, os.path.join("pulsegrid", os.path.relpath(full, root)))
-    context.addPyFile(path)
-    context._pulsegrid_shipped = True
+    if "pulsegrid" not in cloudpickle.list_registry_pickle_by_value():
+        cloudpickle.register_pickle_by_value(pulsegrid)

@@ -17,7 +17,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def keyed(rows: DataFrame, keys: list[str], processor: DocumentProcessor) -> DataFrame:
     """Apply a processor to a stream, one state document per key."""
     spark = rows.sparkSession
-    ship_package(spark)
+    ship_package()
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return rows.groupBy(*keys).transformWithStateInPandas(processor, processor.schema, "Append", "None")
 

@@ -14,7 +14,7 @@ def one(spark, *cols):
 
 
 def test_constants(spark):
-    r = one(spark, S.c_n(F.lit(256)), S.c_n(F.lit(2)), S.c_n(F.lit(1)), S.kofn_probability(F.lit(0.1), F.lit(3), F.lit(4)), S.mad_floor(F.lit(0.0), F.lit(50.0)))
+    r = one(spark, S.c_n(F.lit(256)), S.c_n(F.lit(2)), S.c_n(F.lit(1)), S.kofn_probability(F.lit(0.1), 3, 4), S.mad_floor(F.lit(0.0), F.lit(50.0)))
     assert r[0] == pytest.approx(10.2448, abs=1e-3) and (r[1], r[2]) == (1.0, 0.0)
     assert r[3] == pytest.approx(4 * 0.1**3 * 0.9 + 0.1**4)
     assert r[4] == pytest.approx(0.5)
