@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid import vocabulary as V
-from pulsegrid.operators import vector
+from pulsegrid.operators import blocks, vector
 
 
 def set_epoch(name: Column) -> Column:
@@ -97,10 +97,8 @@ def free_servers(inventory: DataFrame) -> DataFrame:
     return inventory.agg(F.count_if((F.col("state") == "vide") & (F.coalesce("name", F.lit("")) == "")).alias("free"))
 
 
-def extend_announcement(df: DataFrame, keys: Sequence[str], until: str, ts: str = "t", width: int = 6 * 3600) -> DataFrame:
+def extend_announcement(df: DataFrame, keys: Sequence[str], until: str, ts: str = "t", width: int = blocks.DEFAULT_WIDTH) -> DataFrame:
     """End of maintenance in force at each announcement: a later one never shortens it."""
-    from pulsegrid.operators import blocks
-
     return blocks.running(df, keys, [ts], {"until_in_force": blocks.Run("max", F.col(until))}, width)
 
 

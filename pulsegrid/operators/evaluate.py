@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid import vocabulary as V
 from pulsegrid.functions import stats as S
-from pulsegrid.operators import detect
+from pulsegrid.operators import blocks, detect
+from pulsegrid.session import cut
 
 
 def slots(days: DataFrame, catalogue: Sequence[tuple[str, str, float]], keys: Sequence[str], rows: str = "n") -> DataFrame:
@@ -109,26 +110,21 @@ def grid() -> Column:
     )
 
 
-def replay_grid(series: DataFrame, keys: Sequence[str], value: str = "z_max", width: int = 6 * 3600) -> DataFrame:
-    """Openings of every calibration setting on a real score series: columns setting, lam, k, n, z_high, opens, days.
+def _grid_latch(indexed: DataFrame, keys: Sequence[str], value: str, high: Column, low: Column, width: int) -> DataFrame:
+    """Latch signal (1 opens, 0 closes) of every calibration setting at every row, with the setting's columns.
 
-    Smoothing depends on lambda only and is computed once per lambda; votes and latches then run per setting.
+    Smoothing depends on lambda only and is computed once per lambda; the votes of all settings share one pass.
     """
-    from pulsegrid.operators import blocks
-    from pulsegrid.session import cut
-
-    indexed = cut(blocks.with_index(series, keys, ["t"], "idx", width))
     smooth = None
     for lam in V.GRID_LAMBDA:
         one = detect.smooth_and_vote(indexed, keys, value, F.lit(float("inf")), F.lit(float("-inf")), lam, 1).drop("__above", "__below")
-        one = one.select(*keys, "t", "idx", "smoothed", F.lit(lam).alias("lam"))
+        one = one.withColumn("lam", F.lit(lam))
         smooth = one if smooth is None else smooth.unionByName(one)
-    settings = smooth.withColumn("__g", F.explode(F.filter(grid(), lambda g: g["lam"] == F.col("lam"))))
-    settings = settings.select(*keys, "t", "idx", "smoothed", "__g.*")
+    settings = smooth.withColumn("__g", F.explode(F.filter(grid(), lambda g: g["lam"] == F.col("lam")))).select(*indexed.columns, "smoothed", "__g.*")
     by = [*keys, "setting"]
     frames = sorted({n for _, n in V.GRID_VOTE})
     series_of = Window.partitionBy(*by, blocks.BLOCK).orderBy("idx")
-    above, below = (F.col("smoothed") > F.col("z_high")).cast("int"), (F.col("smoothed") < F.col("z_low")).cast("int")
+    above, below = (F.col("smoothed") > high).cast("int"), (F.col("smoothed") < low).cast("int")
     counted = {}
     for n in frames:
         lastn = series_of.rowsBetween(-(n - 1), 0)
@@ -138,14 +134,67 @@ def replay_grid(series: DataFrame, keys: Sequence[str], value: str = "z_max", wi
     for n in frames:
         mine = F.col("n") == n
         signal = signal.when(mine & (F.col(f"__a{n}") >= F.col("k")), 1).when(mine & (F.col(f"__b{n}") == n), 0)
-    voted = cut(blocks.own_rows(haloed.withColumn("__signal", signal)).drop(*counted, "smoothed", "idx"))
-    was = blocks.running(voted, by, ["t"], {"__was": blocks.Run("last", F.col("__signal"), inclusive=False)}, width)
-    opened = (F.col("__signal") == 1) & (F.coalesce("__was", F.lit(0)) == 0)
-    return was.groupBy(*by, "lam", "k", "n", "z_high", "z_low").agg(
+    return cut(blocks.own_rows(haloed.withColumn("signal", signal)).drop(*counted, "smoothed"))
+
+
+_SETTING = ("lam", "k", "n", "z_high", "z_low")
+
+
+def replay_grid(series: DataFrame, keys: Sequence[str], value: str = "z_max", width: int = 6 * 3600) -> DataFrame:
+    """Openings of every calibration setting on a real score series: columns setting, lam, k, n, z_high, opens, days."""
+    indexed = cut(blocks.with_index(series.select(*keys, "t", value), keys, ["t"], "idx", width))
+    voted = _grid_latch(indexed, keys, value, F.col("z_high"), F.col("z_low"), width).drop("idx", value)
+    by = [*keys, "setting"]
+    was = blocks.running(voted, by, ["t"], {"__was": blocks.Run("last", F.col("signal"), inclusive=False)}, width)
+    opened = (F.col("signal") == 1) & (F.coalesce("__was", F.lit(0)) == 0)
+    return was.groupBy(*by, *_SETTING).agg(
         F.count_if(opened).alias("opens"), F.greatest((F.max("t") - F.min("t")) / 86400.0, F.lit(1e-6)).alias("days")
     )
 
 
+def grid_faults(stream: DataFrame, events: DataFrame, limits: dict[str, int], keys: Sequence[str] = ("target",), step: int = V.SCORE_STEP, width: int = 6 * 3600):
+    """Feasibility of every setting on a fault stream: no false alarm, and each fault seen within its limit.
+
+    Stream: keys, t (row number), z_max, score, relevant, threshold, low_threshold. Events: keys, name, start, end (row
+    numbers). The forest detector keeps the thresholds of its model; only its smoothing and votes vary.
+    """
+    keys = list(keys)
+    by = [*keys, "setting"]
+    indexed = blocks.with_index(stream, keys, ["t"], "idx", width)
+    for k, n in V.GRID_VOTE:
+        indexed = detect.k_of_n(indexed, keys, F.col("relevant"), k, n, f"__rel{n}")
+    indexed = cut(indexed)
+    z = _grid_latch(indexed, keys, "z_max", F.col("z_high"), F.col("z_low"), width)
+    forest = _grid_latch(indexed, keys, "score", F.col("threshold"), F.col("low_threshold"), width)
+    pair = z.withColumnRenamed("signal", "__z").join(forest.select(*by, "t", F.col("signal").alias("__f")), [*by, "t"])
+    states = blocks.running(pair, by, ["t"], {"__zn": blocks.Run("last", F.col("__z")), "__fn": blocks.Run("last", F.col("__f"))}, width)
+    voted = F
+    for _, n in V.GRID_VOTE:
+        voted = voted.when(F.col("n") == n, F.col(f"__rel{n}"))
+    on = lambda c: F.coalesce(c, F.lit(0)) == 1
+    active = on(F.col("__zn")) | (on(F.col("__fn")) & voted)
+    fused = cut(states.select(*by, "t", active.cast("int").alias("__a")))
+    was = blocks.running(fused, by, ["t"], {"__was": blocks.Run("last", F.col("__a"), inclusive=False)}, width)
+    opens = cut(was.where((F.col("__a") == 1) & (F.coalesce("__was", F.lit(0)) == 0)).select(*by, "t"))
+
+    spans = events.withColumn("setting", F.explode(F.transform(grid(), lambda g: g["setting"]))).withColumn("__end", F.col("end") + V.GRACE_CYCLES)
+    seen = detect.first_in_window(spans, opens, by, "start", "__end", width=width).withColumn("delay", (F.col("first_hit") - F.col("start")) * step)
+    per_fault = [F.max(F.when(F.col("name") == n, F.col("delay"))).alias(f"__d{i}") for i, n in enumerate(limits)]
+    delays = seen.groupBy(*by).agg(*per_fault)
+    lone = detect.covered_by(opens, spans, by, "start", "__end", width=width).groupBy(*by).agg(F.count_if(~F.col("covered")).alias("false_alarms"))
+    in_time = F.lit(True)
+    for i, limit in enumerate(limits.values()):
+        in_time = in_time & F.coalesce(F.col(f"__d{i}") <= limit, F.lit(False))
+    joined = delays.join(lone, by, "left").fillna(0, ["false_alarms"])
+    return joined.select(*by, F.array(*[F.col(f"__d{i}").cast("int") for i in range(len(limits))]).alias("delays"), "false_alarms", ((F.col("false_alarms") == 0) & in_time).alias("feasible"))
+
+
+def calibrate(real: DataFrame, stream: DataFrame, events: DataFrame, limits: dict[str, int], width: int = 6 * 3600) -> DataFrame:
+    """All settings of a target with alerts per day on its real log and feasibility on the fault stream; best first."""
+    quiet = replay_grid(real, ["target"], "z_max", width).withColumn("alerts_per_day", F.col("opens") / F.col("days"))
+    return rank_grid(quiet.join(grid_faults(stream, events, limits, width=width), ["target", "setting"]))
+
+
 def rank_grid(results: DataFrame) -> DataFrame:
     """Feasible settings first, then fewest alerts per day, then the smallest total delay (a missing one counts 9999)."""
     total = F.aggregate(F.transform("delays", lambda d: F.coalesce(F.nullif(d, F.lit(0)), F.lit(V.MISSING_DELAY))), F.lit(0).cast("long"), lambda a, b: a + b.cast("long"))

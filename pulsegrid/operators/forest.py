@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pulsegrid import schemas
 from pulsegrid import vocabulary as V
@@ -128,7 +129,7 @@ def score(rows: DataFrame, nodes: DataFrame, sample: int = V.TREE_SAMPLE, slice_
     sliced = rows.withColumn("__slice", F.floor(F.col("t") / slice_seconds))
     pairs = sliced.select("target", "__slice").distinct()
     forests = nodes.join(pairs, "target").withColumnsRenamed({"target": "__owner", "__slice": "__part"})
-    schema = f"{rows._jdf.schema().toDDL()}, score double"
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
     names = rows.columns
 
     def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -35,10 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    return tempfile.mkdtemp(prefix="pulsegrid-")
+    return spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pulsegrid-")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,7 +46,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+    if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
