@@ -42,15 +42,17 @@ def time_block(ts: str, width: int) -> Column:
     return F.floor(F.col(ts) / F.lit(width)).cast("long")
 
 
-def width_for(df: DataFrame, keys: Sequence[str], ts: str, max_rows: int = 1_000_000, probe: int = 3600) -> int:
-    """Block width keeping the densest series block under ``max_rows``; one small aggregate job.
+def width_for(
+    df: DataFrame, keys: Sequence[str], ts: str, max_rows: int = 1_000_000, probe: int = 3600, widest: int = DEFAULT_WIDTH
+) -> int:
+    """Block width keeping the densest series block near ``max_rows``; one small aggregate job.
 
-    Counts rows per (keys, probe slice) with map-side combine and narrows the width when a slice is too dense.
+    Counts rows per (keys, probe slice) with map-side combine and narrows the width when a slice is too dense, so a
+    series holding a third of all rows gets as many blocks as it needs while sparse ones keep wide blocks.
     """
-    densest = (
-        df.groupBy(*keys, time_block(ts, probe).alias(BLOCK)).count().agg(F.max("count").alias("m")).first()["m"] or 1
-    )
-    return max(1, min(DEFAULT_WIDTH, int(probe * max_rows / densest)))
+    slices = df.groupBy(*keys, time_block(ts, probe).alias(BLOCK)).count()
+    densest = slices.agg(F.max("count").alias("m")).first()["m"] or 1
+    return max(1, min(widest, int(probe * max_rows / densest)))
 
 
 def running(

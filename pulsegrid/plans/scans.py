@@ -42,7 +42,7 @@ def _user_series(spark, sf):
 def _(spark, sf):
     s = _user_series(spark, sf)
     ticks = series.tick_grid(s, ["user_id"], 86400)
-    return series.asof(ticks, s, ["user_id"], ["value"], 86400, width=86400).where("value is not null").select("user_id", "t", "value")
+    return series.asof(ticks, s, ["user_id"], ["value"], 86400, width=T.width(s, ["user_id"])).where("value is not null").select("user_id", "t", "value")
 
 
 @query("S3_paged_range_read", f"WITH {EV} SELECT user_id, t, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM ev GROUP BY 1, 2")
@@ -347,7 +347,7 @@ def _(spark, sf):
 def _(spark, sf):
     s = _user_series(spark, sf)
     ticks = series.tick_grid(s, ["user_id"], 6 * HOUR)
-    return series.asof(ticks, s, ["user_id"], ["value"], 5 * HOUR, width=86400).select("user_id", "t", "value", "age")
+    return series.asof(ticks, s, ["user_id"], ["value"], 5 * HOUR, width=T.width(s, ["user_id"])).select("user_id", "t", "value", "age")
 
 
 _WINDOWS = f"{EV}, e AS (SELECT user_id, t, event_id FROM ev WHERE feature = 'error'), w AS (SELECT user_id, t AS t0, t + 7200 AS t1 FROM ev WHERE feature = 'purchase')"
@@ -358,7 +358,7 @@ def _(spark, sf):
     ev = T.events(spark, sf)
     points = ev.where("feature = 'error'").select("user_id", "t", "event_id")
     spans = ev.where("feature = 'purchase'").select("user_id", (F.col("t") - 15).alias("a"), (F.col("t") + 7800).alias("b"))
-    return detect.covered_by(points, spans, ["user_id"], "a", "b", width=86400)
+    return detect.covered_by(points, spans, ["user_id"], "a", "b", width=T.width(ev, ["user_id"]))
 
 
 @query("J8_first_hit", f"""WITH {_WINDOWS} SELECT user_id, t0, (SELECT min(e.t) FROM e WHERE e.user_id = w.user_id AND e.t BETWEEN w.t0 AND w.t1 + 3600) - t0 AS delay FROM w""")
@@ -366,7 +366,7 @@ def _(spark, sf):
     ev = T.events(spark, sf)
     hits = ev.where("feature = 'error'").select("user_id", "t")
     spans = ev.where("feature = 'purchase'").select("user_id", F.col("t").alias("t0"), (F.col("t") + 7200 + HOUR).alias("t1"))
-    found = detect.first_in_window(spans, hits, ["user_id"], "t0", "t1", width=86400)
+    found = detect.first_in_window(spans, hits, ["user_id"], "t0", "t1", width=T.width(ev, ["user_id"]))
     return found.select("user_id", "t0", (F.col("first_hit") - F.col("t0")).alias("delay"))
 
 
@@ -437,7 +437,7 @@ def _(spark, sf):
     ev = T.events(spark, sf).select("event_id", "user_id", F.col("us").alias("t"), "feature", "value")
     alerts = ev.where("feature = 'error'").select("event_id", "user_id", "t")
     found = ev.where("feature <> 'error'").select("user_id", "t", F.col("feature").alias("top_feature"), F.col("value").alias("z"))
-    out = series.asof(alerts, found, ["user_id"], ["top_feature", "z"], width=86400 * 1_000_000)
+    out = series.asof(alerts, found, ["user_id"], ["top_feature", "z"], width=T.width(ev, ["user_id"], hour=HOUR * 1_000_000))
     return out.select("event_id", F.coalesce("top_feature", F.lit("")).alias("feature"), "z")
 
 

@@ -108,7 +108,7 @@ def _(spark, sf):
     name, node = F.lit("RamElevee").alias("alertname"), F.col("user_id").cast("string").alias("node")
     actions = ev.where("feature = 'purchase'").select(name, node, "t", "event_id")
     firing = ev.where("feature = 'error'").select(name, node, F.col("t").alias("start"), (F.col("t") + 7200).alias("end"))
-    return decisions.verify(actions, firing, width=86400).select("event_id", "verification")
+    return decisions.verify(actions, firing, width=T.width(ev, ["user_id"])).select("event_id", "verification")
 
 
 @query("T8_snapshot_carry", f"""WITH {EV}, d AS (SELECT 'n' || user_id AS node, t, max(feature) AS services, bool_or(feature <> 'error') AS ok FROM ev GROUP BY 1, 2)
@@ -137,6 +137,6 @@ def _(spark, sf):
 def _(spark, sf):
     ev = T.events(spark, sf).where("feature = 'signup'").groupBy("user_id", "t").agg(F.max("value").alias("v"))
     announced = ev.withColumn("until", F.col("t") + F.col("v") * HOUR)
-    return audit.extend_announcement(announced, ["user_id"], "until", width=86400).select("user_id", "t", F.round("until_in_force", 4).alias("until_in_force"))
+    return audit.extend_announcement(announced, ["user_id"], "until", width=T.width(announced, ["user_id"])).select("user_id", "t", F.round("until_in_force", 4).alias("until_in_force"))
 
 

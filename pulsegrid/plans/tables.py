@@ -33,6 +33,11 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def width(df: DataFrame, keys: list[str], ts: str = "t", hour: int = HOUR) -> int:
+    """Block width for raw events: a day, or less where one series is dense (``hour`` in the unit of ``ts``)."""
+    return blocks.width_for(df, keys, ts, probe=hour, widest=24 * hour)
+
+
 def micros(ts: str) -> Column:
     """Microseconds since the epoch of a timestamp without zone, whatever the session zone."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")

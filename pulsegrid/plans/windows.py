@@ -32,9 +32,10 @@ _USER_COUNTER = f"""{EV}, uc AS (SELECT user_id, t, count(*) OVER (PARTITION BY
 @query("W2_increase", f"WITH {_USER_COUNTER}, {_increase_sql('cc', 'user_id', 86400)} SELECT user_id, t, CASE WHEN elapsed > 0 THEN inc END::DOUBLE AS increase FROM inc")
 def _(spark, sf):
     ev = T.events(spark, sf).select("user_id", "t", "us", F.expr("t div 604800").alias("week"))
-    counted = blocks.running(ev, ["user_id", "week"], ["t", "us"], {"value": Run("count", F.lit(1))}, 86400)
+    wide = T.width(ev, ["user_id"])
+    counted = blocks.running(ev, ["user_id", "week"], ["t", "us"], {"value": Run("count", F.lit(1))}, wide)
     counter = counted.groupBy("user_id", "t").agg(F.max("value").cast("double").alias("value"))
-    return series.counter_increase(counter, ["user_id"], 86400, width=86400).select("user_id", "t", "increase")
+    return series.counter_increase(counter, ["user_id"], 86400, width=wide).select("user_id", "t", "increase")
 
 
 @query("W3_ewma", f"WITH RECURSIVE {SMOOTH} SELECT target, rn.t, round(smoothed, 6) AS smoothed FROM sm JOIN rn USING (target, rn)")
@@ -153,7 +154,7 @@ def _(spark, sf):
   SELECT user_id, event_id, i < floor(n * 0.8::DOUBLE) AS is_train FROM r""")
 def _(spark, sf):
     rows = T.events(spark, sf).select("user_id", "event_id", F.col("us").alias("t"))
-    indexed = blocks.with_index(rows, ["user_id"], ["t"], "i", 86400 * 1_000_000)
+    indexed = blocks.with_index(rows, ["user_id"], ["t"], "i", T.width(rows, ["user_id"], hour=3600 * 1_000_000))
     sizes = rows.groupBy("user_id").agg(F.count("*").alias("n"))
     return indexed.join(sizes, "user_id").select("user_id", "event_id", (F.col("i") < F.floor(F.col("n") * F.lit(0.8))).alias("is_train"))
 
@@ -193,7 +194,7 @@ def _(spark, sf):
   SELECT o_custkey, o_orderkey, n::BIGINT AS failures, n >= 3 AS suspends FROM r""")
 def _(spark, sf):
     orders = read(spark, sf, "orders").select("o_custkey", "o_orderkey", T.days("o_orderdate").alias("t"), "o_orderstatus")
-    runs = decisions.failure_runs(orders, ["o_custkey"], ["t", "o_orderkey"], F.col("o_orderstatus") == "F", width=365)
+    runs = decisions.failure_runs(orders, ["o_custkey"], ["t", "o_orderkey"], F.col("o_orderstatus") == "F", width=T.width(orders, ["o_custkey"], hour=30))
     return runs.select("o_custkey", "o_orderkey", "failures", "suspends")
 
 
@@ -206,7 +207,7 @@ def _(spark, sf):
     spans = ev.where("feature = 'purchase'").select(
         "user_id", F.explode(F.array(F.lit("error"), F.lit("click"), F.lit("view"))).alias("detector"), "event_id", F.col("t").alias("t0"), (F.col("t") + 3720).alias("t1")
     )
-    found = detect.first_in_window(spans, hits, ["user_id", "detector"], "t0", "t1", width=86400)
+    found = detect.first_in_window(spans, hits, ["user_id", "detector"], "t0", "t1", width=T.width(ev, ["user_id"]))
     return found.select("event_id", "detector", (F.col("first_hit") - F.col("t0")).alias("delay"))
 
 

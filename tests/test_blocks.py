@@ -91,6 +91,15 @@ def test_counter_increase_resets_and_window(spark):
     assert got[215][0] == 1
 
 
+def test_dense_counters_give_the_same_increase(data):
+    _, df = data
+    counter = df.withColumnRenamed("v", "value")
+    wide = series.counter_increase(counter, ["k"], 300, "x", width=10_000)
+    narrow = series.counter_increase(counter, ["k"], 300, "x", width=60)
+    pick = lambda d: d.select("k", "t", F.round("x", 6).alias("x"))
+    assert pick(wide).exceptAll(pick(narrow)).count() == 0 and narrow.count() == counter.count()
+
+
 def test_episodes_holes_and_trailing(spark):
     points = [(0, 1), (15, 1), (30, 0), (45, 1), (200, 1), (215, 0), (230, 1), (245, 1)]
     df = spark.createDataFrame([("n", t, v) for t, v in points], "k string, t long, v int")
