@@ -9,7 +9,7 @@ from pulsegrid.functions import inventory, labels as L
 from pulsegrid.operators import audit, detect, evaluate, features, series, summaries, vector
 from pulsegrid.plans import tables as T
 from pulsegrid.plans.registry import query
-from pulsegrid.plans.tables import END, EV, FEATURES, HOUR, HOURLY, LONG, MID, read
+from pulsegrid.plans.tables import END, EV, FEATURES, HOUR, HOURLY, MID, read
 from pulsegrid.session import cut
 from pulsegrid.sources import exposition, logs
 
