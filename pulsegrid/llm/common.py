@@ -40,12 +40,12 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def with_columns(docs: DataFrame, make: Callable[[], Callable[[list[bytes]], list]], fields: list[T.StructField], keep: list[str] | None = None, column: str = "text", rows: int = 1000) -> DataFrame:
+def with_columns(docs: DataFrame, make: Callable[[], Callable[[list[bytes]], list]], fields: list[T.StructField], keep: list[str] | None = None, column: str = "text", rows: int = 1000, size: int = 8_000_000) -> DataFrame:
     """``docs`` with columns computed from whole texts, inside the tasks that read them (no shuffle).
 
     ``make`` is called once per task and gives a function from a list of UTF-8 texts (null: empty) to one array per
     field. ``keep`` names the input columns that stay (default all). Texts are handed over at most ``rows`` at a time
-    and in pieces of about 8 MB, which bounds a worker's memory; a longer text makes a piece of its own.
+    and in pieces of about ``size`` bytes, which bounds a worker's memory; a longer text makes a piece of its own.
     """
     keep = docs.columns if keep is None else keep
     inner = fresh("_text", keep)
@@ -55,7 +55,7 @@ def with_columns(docs: DataFrame, make: Callable[[], Callable[[list[bytes]], lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for whole in batches:
-            for batch in pieces(whole, inner, rows):
+            for batch in pieces(whole, inner, rows, size):
                 work = work or make()
                 texts = [x or b"" for x in batch.column(inner).cast(pa.binary()).to_pylist()]
                 made = work(texts)
