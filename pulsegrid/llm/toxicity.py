@@ -3,7 +3,7 @@
 Labels are known per document, so words get theirs first: a word type counts as toxic if, among texts that differ, it
 stands in many different surroundings (previous and next word) in toxic documents and hardly ever in others;
 counting surroundings keeps families of near copies from making a word look frequent. Its occurrences in toxic documents
-are the labelled tokens. The chain sees the word, its ending and both neighbours. A document's score is a logistic fit
+are the labelled tokens. The chain sees the word, its beginning and both neighbours. A document's score is a logistic fit
 on what the forward-backward marginals sum to: the chance that any word is toxic and the expected number of toxic words.
 
 The model is fitted on at most ``SAMPLE`` labelled documents; scoring covers every whole text. Words are compared in
@@ -29,15 +29,16 @@ from pulsegrid.llm.chain import Chain, calibrated, fit, logistic
 from pulsegrid.llm.common import with_columns
 from pulsegrid.llm.labelled import remainder, sample
 
-SAMPLE = 4000
+SAMPLE = 3000
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
-#: A toxic type: its surroundings in toxic documents at least so many, and at least so many times those in others (per document).
-LEAST_SURROUNDINGS, LEAST_RATIO = 6, 8.0
-#: Buckets of word endings; types in fewer surroundings than this share one number.
-ENDINGS, LEAST_KNOWN = 4096, 4
+#: A toxic type: at least so many surroundings in toxic documents, so many times what the other documents let expect, and
+#: so many standard deviations more.
+LEAST_SURROUNDINGS, LEAST_RATIO, LEAST_EXCESS = 6, 4.0, 10.0
+#: Buckets of word beginnings; types in fewer surroundings than this share one number.
+BEGINNINGS, LEAST_KNOWN = 8192, 4
 #: Documents of each kind that the chain itself is fitted on.
-CHAIN_DOCS = 600
+CHAIN_DOCS = 300
 KEPT_WORDS = 400_000
 _marks = bytes(b for b in range(33, 128) if not chr(b).isalnum())
 
@@ -73,7 +74,8 @@ class ToxicTagger:
             for a, w, b in zip([b"", *own], own, [*own[1:], b""]):
                 around[toxic][w].add(hash_of(a + b" " + b))
         per = y.sum() / max(1, len(y) - y.sum())  # toxic documents for each other one
-        lexicon = {w for w, s in around[1].items() if w and len(s) >= LEAST_SURROUNDINGS and len(s) >= LEAST_RATIO * per * (len(around[0].get(w, ())) + 1)}
+        expected = {w: per * (len(around[0].get(w, ())) + 1) for w in around[1]}
+        lexicon = {w for w, s in around[1].items() if w and len(s) >= max(LEAST_SURROUNDINGS, LEAST_RATIO * expected[w]) and len(s) - expected[w] >= LEAST_EXCESS * expected[w] ** 0.5}
         counts = {w: len(around[0].get(w, ())) + len(around[1].get(w, ())) for w in around[0].keys() | around[1].keys()}
         known = {w: i + 1 for i, w in enumerate(sorted(w for w, n in counts.items() if n >= LEAST_KNOWN and w))}
         model = cls(None, None, known, float(y.mean()), sorted(lexicon))
@@ -82,20 +84,20 @@ class ToxicTagger:
         x, first = model.features([words[i] for i in chosen])
         tags = np.array([toxic and w in lexicon for i in chosen for w in words[i] for toxic in (bool(y[i]),)], dtype=np.int64)
         if len(tags):
-            model.chain = fit(x, tags, first, model.size)
+            model.chain = fit(x, tags, first, model.size, steps=60, rate=0.3, ridge=1e-8)
             model.finish()
             model.scale = calibrated(model.summary([r[1] for r in found]), y)
         return model
 
     @property
     def size(self) -> int:
-        return 3 * (len(self.known) + 1) + ENDINGS
+        return 3 * (len(self.known) + 1) + BEGINNINGS
 
     def features(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """(words, 4) feature numbers (word, ending, previous, next) and the marks of first words."""
+        """(words, 4) feature numbers (word, beginning, previous, next) and the marks of first words."""
         counts = [len(w) for w in words]
         ids = np.array([self.known.get(w, 0) for own in words for w in own], dtype=np.int64)
-        ends = np.array([ending(w) for own in words for w in own], dtype=np.int64)
+        ends = np.array([beginning(w) for own in words for w in own], dtype=np.int64)
         first = np.zeros(len(ids), dtype=bool)
         first[np.r_[0, np.cumsum(counts)[:-1]].astype(int)] = True
         n = len(self.known) + 1
@@ -131,7 +133,7 @@ class ToxicTagger:
                     if row is None:
                         w = plain(words[i])
                         at = self.known.get(w, 0)
-                        rows[i] = row = (at, float(own[at] + ends[ending(w)]))
+                        rows[i] = row = (at, float(own[at] + ends[beginning(w)]))
                         if len(seen) < KEPT_WORDS and len(words[i]) <= 40:
                             seen[words[i]] = row
             if rows:
@@ -201,8 +203,8 @@ def hash_of(x: bytes) -> int:
     return zlib.crc32(x)
 
 
-def ending(word: bytes) -> int:
-    return zlib.crc32(word[-4:]) % ENDINGS
+def beginning(word: bytes) -> int:
+    return zlib.crc32(word[:6]) % BEGINNINGS
 
 
 def scored_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
