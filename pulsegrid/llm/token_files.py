@@ -97,26 +97,34 @@ def write_token_files(docs: DataFrame, path: str, source: str, pattern: str, voc
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks below ``path``, each with ``start``: how many ids come before it in the whole set."""
-    blocks = spark.read.schema(SCHEMA).parquet(path)
-    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each file
-    before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return blocks.join(before, "part").withColumn("start", F.col("before") + F.col("first")).drop("before")
+    """The blocks below ``path``."""
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
+def part_starts(blocks: DataFrame) -> DataFrame:
+    """(part, before): how many ids come before each part in the whole set; a row for each part."""
+    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    return totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
 
 def documents_of(blocks: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the blocks, from their packed ids."""
+    """doc_id, start, n_tokens, ids_crc32 of every document in the blocks, from their packed ids.
+
+    Blocks are unpacked where they are read; only the documents' rows meet the parts' places.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                start, bits, n, doc_ids, ends, payload = (batch.column(c)[row].as_py() for c in ("start", "bits", "n_ids", "doc_ids", "ends", "payload"))
+                part, first, bits, n, doc_ids, ends, payload = (batch.column(c)[row].as_py() for c in ("part", "first", "bits", "n_ids", "doc_ids", "ends", "payload"))
                 ids = unpack(payload, bits, 0, n).astype("<u4")
                 begins = [0, *ends[:-1]]
                 sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc_ids, [start + a for a in begins], [b - a for a, b in zip(begins, ends)], sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                columns = (doc_ids, [first + a for a in begins], [b - a for a, b in zip(begins, ends)], sums)
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(ends), pa.int32()), *(pa.array(x, pa.int64()) for x in columns)], names=["part", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
-    return blocks.select("start", "bits", "n_ids", "doc_ids", "ends", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = blocks.mapInArrow(run, "part int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    return rows.join(part_starts(blocks), "part").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_file_rows(docs: DataFrame, source: str, pattern: str, vocabulary: int, path: str | None = None) -> DataFrame:
