@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable
 
 import numpy as np
@@ -35,11 +35,13 @@ FOLDS, HELD_OUT = 4, 2
 #: A toxic type: at least so many surroundings in toxic documents, so many times what the other documents let expect, and
 #: so many standard deviations more.
 LEAST_SURROUNDINGS, LEAST_RATIO, LEAST_EXCESS = 6, 4.0, 10.0
-#: Buckets of word beginnings; types in fewer surroundings than this share one number.
+#: Buckets of word beginnings; types in fewer documents than this share one number.
 BEGINNINGS, LEAST_KNOWN = 8192, 4
 #: Documents of each kind that the chain itself is fitted on.
 CHAIN_DOCS = 300
 KEPT_WORDS = 400_000
+#: Documents whose words are held as arrays at once while fitting.
+SLICE = 100
 _marks = bytes(b for b in range(33, 128) if not chr(b).isalnum())
 
 
@@ -69,15 +71,25 @@ class ToxicTagger:
         if len(set(y.tolist())) < 2:
             return cls(None, None, {}, float(y.mean()) if len(y) else 0.0)
         words = [[plain(w) for w in r[1].split()] for r in found]
-        around: tuple[dict[bytes, set], dict[bytes, set]] = (defaultdict(set), defaultdict(set))
-        for own, toxic in zip(words, y.tolist()):
-            for a, w, b in zip([b"", *own], own, [*own[1:], b""]):
-                around[toxic][w].add(hash_of(a + b" " + b))
+        around: tuple[dict[bytes, set], dict[bytes, set]] = ({}, defaultdict(set))
+        spread: Counter[bytes] = Counter()
+        for kind in (1, 0):  # toxic documents first: of the others only candidates' surroundings are kept
+            for own, toxic in zip(words, y.tolist()):
+                if toxic == kind:
+                    spread.update(set(own))
+                    for a, w, b in zip([b"", *own], own, [*own[1:], b""]):
+                        if kind or w in around[0]:
+                            around[kind][w].add(hash_of(a + b" " + b))
+            if kind:
+                around[0].update({w: set() for w, s in around[1].items() if w and len(s) >= LEAST_SURROUNDINGS})
         per = y.sum() / max(1, len(y) - y.sum())  # toxic documents for each other one
-        expected = {w: per * (len(around[0].get(w, ())) + 1) for w in around[1]}
-        lexicon = {w for w, s in around[1].items() if w and len(s) >= max(LEAST_SURROUNDINGS, LEAST_RATIO * expected[w]) and len(s) - expected[w] >= LEAST_EXCESS * expected[w] ** 0.5}
-        counts = {w: len(around[0].get(w, ())) + len(around[1].get(w, ())) for w in around[0].keys() | around[1].keys()}
-        known = {w: i + 1 for i, w in enumerate(sorted(w for w, n in counts.items() if n >= LEAST_KNOWN and w))}
+        lexicon = set()
+        for w, others in around[0].items():
+            expected, found_in = per * (len(others) + 1), len(around[1][w])
+            if found_in >= LEAST_RATIO * expected and found_in - expected >= LEAST_EXCESS * expected**0.5:
+                lexicon.add(w)
+        known = {w: i + 1 for i, w in enumerate(sorted(w for w, n in spread.items() if n >= LEAST_KNOWN and w))}
+        del around, spread
         model = cls(None, None, known, float(y.mean()), sorted(lexicon))
         # the chain itself: toxic and other documents in equal number
         chosen = [i for kind in (0, 1) for i in [j for j in range(len(y)) if y[j] == kind][:CHAIN_DOCS] if words[i]]
@@ -86,7 +98,7 @@ class ToxicTagger:
         if len(tags):
             model.chain = fit(x, tags, first, model.size, steps=60, rate=0.3, ridge=1e-8)
             model.finish()
-            model.scale = calibrated(model.summary([r[1] for r in found]), y)
+            model.scale = calibrated(np.vstack([model.summary([r[1] for r in found[i : i + SLICE]]) for i in range(0, len(found), SLICE)]), y)
         return model
 
     @property
