@@ -86,10 +86,8 @@ def balanced(cells: DataFrame, targets: DataFrame, cap: int = CAP, most_steps: i
         (F.least(F.lit(0.0), F.log(F.col("target") / F.col("source_size")) * mean / F.col("least")) - 1e-9).alias("low"), (top + 1e-9).alias("high"), F.lit(1.0).alias("gap"),
     )
     state = stored(state.coalesce(1), "multipliers")  # a row for each source
-    for _ in range(0, most_steps, 4):
-        for _ in range(4):
-            state = _newton(cells, state, cap)
-        state = stored(state.coalesce(1), "multipliers")  # a row for each source
+    for _ in range(most_steps):
+        state = stored(_newton(cells, state, cap).coalesce(1), "multipliers")  # a row for each source
         if (state.agg(F.max("gap")).first()[0] or 0.0) <= TOLERANCE:
             break
     return targets.join(state.select("s", "mean", "lam"), "s", "left").select("s", "source", "docs", "source_size", "target", F.coalesce("mean", F.lit(1.0)).alias("mean"), F.coalesce("lam", F.lit(0.0)).alias("lam"))
@@ -130,10 +128,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
     cells = stored(counted.join(targets, same).select("s", "size", "n"), "cells")
     sources = stored(balanced(cells, targets, cap), "sources")
     made = stored(_rounded(cells, sources, cap), "copies")
-    for _ in range(0, rounds, 4):
-        for _ in range(4):
-            made = _corrected(made, targets, cap)
-        made = stored(made, "copies")
+    for _ in range(rounds):
+        made = stored(_corrected(made, targets, cap), "copies")
     known = stored(made.join(sources.select("s", "source", "source_size", "target"), "s").select(F.col("source").alias("of"), F.col("size").alias("long"), "s", "n", "copies", "source_size", "target"), "known")
     parts = F.ceil(F.col("n") / RANKED)
     rows = base.join(known, base["source"].eqNullSafe(known["of"]) & (base["size"] == known["long"]))
