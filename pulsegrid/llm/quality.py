@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from pulsegrid.llm.chain import Chain, calibrated, fit, logistic
 from pulsegrid.llm.common import with_columns
-from pulsegrid.llm.labelled import remainder, sample
+from pulsegrid.llm.labelled import fitted, remainder, sample
 
 SAMPLE = 4000
 THRESHOLD = 0.3
@@ -108,7 +108,18 @@ class QualityModel:
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> QualityModel:
         """Learns from labelled rows outside the held-out fold, at most ``rows`` of them."""
-        return cls.fit_rows(sample(docs, labels, "quality", remainder("doc_id", FOLDS) != HELD_OUT, rows))
+        state = fitted(sample(docs, labels, "quality", remainder("doc_id", FOLDS) != HELD_OUT, rows), lambda found: cls.fit_rows(found).state())
+        return cls.of_state(state)
+
+    def state(self) -> tuple:
+        """Plain values that make the model up."""
+        chain = self.chain and (self.chain.weights, self.chain.transition, self.chain.start)
+        return chain, self.scale, self.prior
+
+    @classmethod
+    def of_state(cls, state: tuple) -> QualityModel:
+        chain, scale, prior = state
+        return cls(chain and Chain(*chain), scale, prior)
 
     @classmethod
     def fit_rows(cls, found: list[tuple[int, bytes, int]]) -> QualityModel:

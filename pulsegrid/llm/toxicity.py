@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pulsegrid.llm.byte_bpe import memo
 from pulsegrid.llm.chain import Chain, calibrated, fit, logistic
 from pulsegrid.llm.common import with_columns
-from pulsegrid.llm.labelled import remainder, sample
+from pulsegrid.llm.labelled import fitted, remainder, sample
 
 SAMPLE = 3000
 THRESHOLD = 0.3
@@ -62,7 +62,21 @@ class ToxicTagger:
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> ToxicTagger:
         """Learns from labelled rows outside the held-out fold, at most ``rows`` of them."""
-        return cls.fit_rows(sample(docs, labels, "toxic", remainder("doc_id", FOLDS) != HELD_OUT, rows))
+        state = fitted(sample(docs, labels, "toxic", remainder("doc_id", FOLDS) != HELD_OUT, rows), lambda found: cls.fit_rows(found).state())
+        return cls.of_state(state)
+
+    def state(self) -> tuple:
+        """Plain values that make the tagger up."""
+        chain = self.chain and (self.chain.weights, self.chain.transition, self.chain.start)
+        return chain, self.scale, self.known, self.prior, self.lexicon
+
+    @classmethod
+    def of_state(cls, state: tuple) -> ToxicTagger:
+        chain, *rest = state
+        model = cls(chain and Chain(*chain), *rest)
+        if model.chain:
+            model.finish()
+        return model
 
     @classmethod
     def fit_rows(cls, found: list[tuple[int, bytes, int]]) -> ToxicTagger:
