@@ -70,9 +70,10 @@ def tokenizer_json(path: str) -> str:
 
 
 def memo(key: str, make: Callable[[], object]) -> object:
-    """A value kept for the life of a Python worker, which serves many tasks."""
+    """A value kept by a Python worker, which serves many tasks, until it needs another one."""
     held = sys.modules.setdefault("_pulsegrid_llm_memo", types.ModuleType("_pulsegrid_llm_memo")).__dict__
     if key not in held:
+        held.clear()
         held[key] = make()
     return held[key]
 

@@ -29,7 +29,7 @@ from pulsegrid.llm.chain import Chain, calibrated, fit, logistic
 from pulsegrid.llm.common import with_columns
 from pulsegrid.llm.labelled import fitted, remainder, sample
 
-SAMPLE = 3000
+SAMPLE = 2500
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 #: A toxic type: at least so many surroundings in toxic documents, so many times what the other documents let expect, and
@@ -38,8 +38,8 @@ LEAST_SURROUNDINGS, LEAST_RATIO, LEAST_EXCESS = 6, 4.0, 10.0
 #: Buckets of word beginnings; types in fewer documents than this share one number.
 BEGINNINGS, LEAST_KNOWN = 8192, 4
 #: Documents of each kind that the chain itself is fitted on.
-CHAIN_DOCS = 300
-KEPT_WORDS = 400_000
+CHAIN_DOCS = 250
+KEPT_WORDS = 200_000
 #: Documents whose words are held as arrays at once while fitting.
 SLICE = 100
 _marks = bytes(b for b in range(33, 128) if not chr(b).isalnum())
@@ -84,7 +84,8 @@ class ToxicTagger:
         y = np.array([r[2] for r in found])
         if len(set(y.tolist())) < 2:
             return cls(None, None, {}, float(y.mean()) if len(y) else 0.0)
-        words = [[plain(w) for w in r[1].split()] for r in found]
+        kept: dict[bytes, bytes] = {}  # each word once in memory
+        words = [[kept.setdefault(w, w) for w in map(plain, r[1].split())] for r in found]
         around: tuple[dict[bytes, set], dict[bytes, set]] = ({}, defaultdict(set))
         spread: Counter[bytes] = Counter()
         for kind in (1, 0):  # toxic documents first: of the others only candidates' surroundings are kept
@@ -109,6 +110,7 @@ class ToxicTagger:
         chosen = [i for kind in (0, 1) for i in [j for j in range(len(y)) if y[j] == kind][:CHAIN_DOCS] if words[i]]
         x, first = model.features([words[i] for i in chosen])
         tags = np.array([toxic and w in lexicon for i in chosen for w in words[i] for toxic in (bool(y[i]),)], dtype=np.int64)
+        del words, kept
         if len(tags):
             model.chain = fit(x, tags, first, model.size, steps=60, rate=0.3, ridge=1e-8)
             model.finish()
