@@ -8,7 +8,8 @@ Most words come again, so a worker keeps the ids of words seen (a bounded table)
 followed by a non-space first: the pattern never matches across such a place, because it takes a space only together
 with what follows. Texts with runs of white space are cut by the pattern alone.
 
-Defined cases: a null text counts as empty and has no ids; special tokens' strings in a text are ordinary text.
+Letters and numbers are those of the ``regex`` library; in scripts that the newest Unicode versions have added (from
+U+10E00 on) libraries class a few characters differently. Defined cases: a null text counts as empty and has no ids; special tokens' strings in a text are ordinary text.
 """
 
 from __future__ import annotations
