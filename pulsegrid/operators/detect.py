@@ -31,8 +31,10 @@ def smooth_and_vote(
         decade = -math.log10(1.0 - lam)
         reach = math.ceil(18 / decade)
         rows = max(reach + n, min(4096, int(200 / decade)))
+        if (rows + min(rows, reach + n)) * decade > 280:  # a long vote at a short memory: the weights of one chunk would leave the doubles
+            return _votes(smooth_and_vote(df, keys, value, math.inf, -math.inf, lam, 1, index, out).drop("__above", "__below"), keys, high, low, n, index, out)
     else:
-        reach, rows = 1, 4096
+        reach, rows = 1, max(4096, n)
     haloed = blocks.row_halo(df, index, rows, min(rows, reach + n))
     series = Window.partitionBy(*keys, blocks.BLOCK).orderBy(index)
     upto = series.rowsBetween(Window.unboundedPreceding, 0)
@@ -52,6 +54,13 @@ def smooth_and_vote(
     return blocks.own_rows(out_df)
 
 
+def _votes(smoothed: DataFrame, keys: Sequence[str], high, low, n: int, index: str, out: str) -> DataFrame:
+    """The counts above and below in the last n rows, in chunks of their own."""
+    haloed = blocks.row_halo(smoothed, index, max(4096, n), n)
+    lastn = Window.partitionBy(*keys, blocks.BLOCK).orderBy(index).rowsBetween(-(n - 1), 0)
+    return blocks.own_rows(haloed.withColumn("__above", F.sum((F.col(out) > _column(high)).cast("int")).over(lastn)).withColumn("__below", F.sum((F.col(out) < _column(low)).cast("int")).over(lastn)))
+
+
 def ewma(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, lam: float, out: str = "smoothed"):
     indexed = blocks.with_index(df, keys, order, "__idx")
     done = smooth_and_vote(indexed, keys, value, math.inf, -math.inf, lam, 1, "__idx", out)

@@ -71,12 +71,10 @@ def counter_increase(
     """Reset-aware increase over the trailing ``reach`` seconds (both samples of a step inside), or rate per second.
 
     A drop counts as a restart from zero. No extrapolation to the edges of the window: the rate divides by the time
-    between the first and the last sample inside it, and is null with fewer than two samples. A ``width`` below the
-    reach means the series is too dense for a window of that reach in one task; running sums replace the frame then.
+    between the first and the last sample inside it, and is null with fewer than two samples. A block is at least as
+    wide as the reach: a window's rows have to meet in one task whatever the density, and Spark sorts and spills them.
     """
-    if width < reach:
-        return _increase_by_sums(samples, keys, reach, out, per_second, ts, value, width)
-    haloed = blocks.time_halo(samples, ts, reach, width)
+    haloed = blocks.time_halo(samples, ts, reach, max(width, reach))
     series = Window.partitionBy(*keys, blocks.BLOCK).orderBy(ts)
     frame = series.rangeBetween(-(reach - 1), 0)
     before = F.lag(value).over(series)
@@ -88,27 +86,6 @@ def counter_increase(
     return blocks.own_rows(rows.withColumn(out, result)).drop("__d")
 
 
-def _increase_by_sums(
-    samples: DataFrame, keys: Sequence[str], reach: int, out: str, per_second: bool, ts: str, value: str, width: int
-) -> DataFrame:
-    """Same result from cumulated steps: the sum at the row minus the sum at the first sample of its window."""
-    keys = list(keys)
-    steps = blocks.running(samples, keys, [ts], {"__before": Run("last", F.col(value), inclusive=False)}, width)
-    before = F.col("__before")
-    delta = F.when(before.isNull(), F.lit(0.0)).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
-    summed = cut(blocks.running(cut(steps.withColumn("__d", delta)), keys, [ts], {"__sum": Run("sum", F.col("__d"))}, width))
-    # backwards in time, the latest sample met before a window start is the first one inside the window
-    rest = [c for c in summed.columns if c not in keys]
-    rows = summed.select(*keys, (F.lit(reach - 1) - F.col(ts)).alias("__p"), F.lit(1).alias("__side"), F.struct(*rest).alias("__row"))
-    hits = summed.select(*keys, (-F.col(ts)).alias("__p"), F.lit(0).alias("__side"), F.struct(F.col(ts).alias("t"), F.col("__sum").alias("s")).alias("__hit"))
-    met = blocks.running(rows.unionByName(hits, allowMissingColumns=True), keys, ["__p", "__side"], {"__first": Run("last", F.col("__hit"))}, width)
-    found = met.where("__side = 1").select(*keys, "__row.*", "__first")
-    elapsed = F.col(ts) - F.col("__first.t")
-    total = F.col("__sum") - F.col("__first.s")
-    result = F.when(elapsed > 0, total / elapsed if per_second else total)
-    return found.select(*samples.columns, result.alias(out))
-
-
 def inner_matrix(long: DataFrame, keys: Sequence[str], features: Sequence[str], feature="feature", value="value"):
     """Wide rows for the ticks where every feature has a finite sample; empty as soon as one feature is empty."""
     present = long.where(F.col(value).isNotNull() & ~F.isnan(value))

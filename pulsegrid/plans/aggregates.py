@@ -267,7 +267,7 @@ def _(spark, sf):
     return read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("severity")).agg(F.count_if(live).alias("firing"))
 
 
-_COUNTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
+_COUNTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @query("A20_table_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in _COUNTED))

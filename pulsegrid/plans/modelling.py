@@ -74,9 +74,9 @@ def _(spark, sf):
 @query("M7_champion_challenger")
 def _(spark, sf):
     base = cut(T.rows(spark, sf))
-    old_models, old_nodes, _ = lifecycle.champion_challenger(base.where(F.col("t") < T.MID), T.SPEC, trees=50)
+    old_models, old_nodes, _ = lifecycle.champion_challenger(base.where(F.col("t") < T.MID), T.SPEC)
     champion = (old_models.withColumn("if_suspended", F.col("target") == "node-3"), old_nodes)
-    _, _, verdict = lifecycle.champion_challenger(base, T.SPEC, champion, trees=50)
+    _, _, verdict = lifecycle.champion_challenger(base, T.SPEC, champion)
     return verdict.select(
         "target", "accepted", "obsolete", "seasonal", "removed", "n_train", "n_holdout", F.round("challenger_fpr", 6).alias("challenger_fpr"), F.round("champion_fpr", 6).alias("champion_fpr"), "version"
     )

@@ -123,7 +123,7 @@ def _(spark, sf):
   SELECT target, feature, start, count(*) AS n, round(sum(value), 4) AS total, round(arg_max(value, us) - arg_min(value, us), 4) + 0 AS delta FROM w GROUP BY 1, 2, 3""")
 def _(spark, sf):
     source = read(spark, sf, "events")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = jobs.follow(spark, source.schema, sf, "events")
     rows = stream.select(
         F.timestamp_micros(T.micros("ts")).alias("ts"), F.concat(F.lit("node-"), (F.col("user_id") % 4).cast("string")).alias("target"), F.col("event_type").alias("feature"), "value"
     )

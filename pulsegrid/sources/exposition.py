@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import labels as L
 
 # possessive quantifiers: long escaped values must not recurse in the regex engine
-_LINE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{(.*)\})? +(\S+)\s*$"
+_LINE = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{(.*)\})? +(\S+)(?: +-?[0-9]+)?\s*$"
 _PAIR_NAME = r'([a-zA-Z_][a-zA-Z0-9_]*)="[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _PAIR_VALUE = r'[a-zA-Z_][a-zA-Z0-9_]*="([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 
 
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(name, labels, value) of every sample line; comments and blank lines are skipped."""
+    """(name, labels, value) of every sample line; comments, blank lines and timestamps are skipped.
+
+    A line that is no sample, or whose value is no number, is an error.
+    """
     text = F.col(column)
     rows = lines.where(~F.startswith(F.ltrim(text), F.lit("#")) & (F.trim(text) != ""))
     body = F.regexp_extract(text, _LINE, 2)
@@ -23,7 +26,10 @@ def parse(lines: DataFrame, column: str = "value") -> DataFrame:
         F.transform(F.regexp_extract_all(body, F.lit(_PAIR_VALUE), F.lit(1)), L.unescape),
     )
     number = F.regexp_replace(F.regexp_extract(text, _LINE, 3), r"^([+-]?)Inf$", "$1Infinity")
-    return rows.select(F.regexp_extract(text, _LINE, 1).alias("name"), pairs.alias("labels"), number.try_cast("double").alias("value"))
+    value = number.try_cast("double")
+    broken = F.raise_error(F.concat(F.lit("not a sample line: "), text))
+    name = F.when(text.rlike(_LINE) & value.isNotNull(), F.regexp_extract(text, _LINE, 1)).otherwise(broken)
+    return rows.select(name.alias("name"), pairs.alias("labels"), F.coalesce(value, broken.cast("double")).alias("value"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -37,13 +37,14 @@ def write_detections(detections: DataFrame, path: str) -> None:
 
 
 def valid_scores(raw: DataFrame, minimum: int = MIN_LOG_ROWS) -> DataFrame:
-    """Log rows (text columns epoch, zscore_max) that parse; nothing at all when fewer than ``minimum`` remain."""
+    """Log rows (text columns epoch, zscore_max) that parse; an error when fewer than ``minimum`` remain."""
     parsed = raw.select(
         *[c for c in raw.columns if c not in ("epoch", "zscore_max")],
         F.col("epoch").try_cast("double").alias("epoch"),
         F.col("zscore_max").try_cast("double").alias("zscore_max"),
     ).where("epoch is not null and zscore_max is not null")
-    return parsed.where(parsed.agg(F.count("*")).scalar() >= minimum)
+    enough = parsed.agg(F.when(F.count("*") >= minimum, True).otherwise(F.raise_error(F.lit(f"fewer than {minimum} valid rows in the detection log")))).scalar()
+    return parsed.where(enough)
 
 
 def read_detection_csv(spark: SparkSession, path: str) -> DataFrame:

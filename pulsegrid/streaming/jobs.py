@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pulsegrid.session import shared_dir, ship_package
 from pulsegrid.streaming.processors import DocumentProcessor
@@ -59,6 +60,11 @@ def _replace(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def follow(spark: SparkSession, schema: StructType, folder: str, table: str) -> DataFrame:
+    """The files of ``table`` below ``folder`` as a stream, whether it is one file or a folder of files."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/{table}.parque[t]")
+
+
 def replay(table: DataFrame, name: str) -> DataFrame:
     """A finished table as a stream: written to the shared folder and read back as a source."""
     spark = table.sparkSession

@@ -81,3 +81,17 @@ def test_saturation_in_nineteen_hours(spark):
 
     r = lifecycle.forecast(pts, ["k"], 361 * 60).first()
     assert r.hours == pytest.approx(19.0, abs=0.05) and r.reliable and r.n == 360
+
+
+@pytest.mark.parametrize(("lam", "n"), [(0.99, 100), (0.4, 700), (0.999999, 3), (1.0, 5000), (0.05, 4)])
+def test_smoothing_and_votes_at_any_setting(spark, lam, n):
+    from pulsegrid.operators import detect
+
+    values = [float((i * 37) % 11) for i in range(1500)]
+    rows = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "k string, idx long, v double")
+    got = detect.smooth_and_vote(rows, ["k"], "v", 5.0, 4.0, lam, n).orderBy("idx").collect()
+    smoothed, above = None, []
+    for r, v in zip(got, values):
+        smoothed = v if smoothed is None else lam * v + (1 - lam) * smoothed
+        above.append(smoothed > 5.0)
+        assert abs(r.smoothed - smoothed) < 1e-9 and r["__above"] == sum(above[-n:])
