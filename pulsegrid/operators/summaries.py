@@ -15,14 +15,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
 
     A mergeable sketch brackets each quantile to about ``8 / accuracy`` of its group; only the distinct values in
     the bracket are then ranked. The bracket is four times the error bound of the sketch, so it holds the wanted
-    ranks (a miss would raise). Groups of at most ``10 * accuracy`` rows are ranked whole.
+    ranks (a miss would raise); the same steps serve groups of every size.
     """
     if not keys:
         whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, accuracy)
         return whole.drop("__all")
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("__v"))
     slack = 4.0 / accuracy
-    small = F.col("__n") <= 10 * accuracy
     lows = [max(0.0, q - slack) for q in probs]
     highs = [min(1.0, q + slack) for q in probs]
     points = F.array(*[F.lit(p) for p in [*lows, *highs]])
@@ -31,8 +30,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     bounds = [
         F.struct(
             F.lit(i).alias("i"),
-            (F.lit(float("-inf")) if lows[i] <= 0 else F.when(small, F.lit(float("-inf"))).otherwise(F.col("__b")[i])).alias("lo"),
-            (F.lit(float("inf")) if highs[i] >= 1 else F.when(small, F.lit(float("inf"))).otherwise(F.col("__b")[m + i])).alias("hi"),
+            (F.lit(float("-inf")) if lows[i] <= 0 else F.col("__b")[i]).alias("lo"),
+            (F.lit(float("inf")) if highs[i] >= 1 else F.col("__b")[m + i]).alias("hi"),
             (F.lit(float(q)) * (F.col("__n") - 1)).alias("pos"),
         )
         for i, q in enumerate(probs)
@@ -41,27 +40,31 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         *keys, "__n", F.col("__q.i").alias("__i"), F.col("__q.lo").alias("__lo"), F.col("__q.hi").alias("__hi"), F.col("__q.pos").alias("__pos")
     )
     packed = sketch.select(*keys, F.array(*bounds).alias("__qs"))
-    located = rows.join(packed, list(keys), "inner")
-    # a row counts as "below" for some quantiles and is a candidate for others; both are mergeable counts
+    located = rows.join(packed, list(keys), "inner").select(*keys, "__v", F.explode("__qs").alias("__q"))
+    # rows outside a bracket only count, and give their value next to it: mergeable, so they never leave the map side whole
+    under, over = F.col("__v") < F.col("__q.lo"), F.col("__v") > F.col("__q.hi")
     tagged = located.select(
-        *keys,
-        "__v",
-        F.explode(F.filter("__qs", lambda b: F.col("__v") <= b["hi"])).alias("__q"),
-    ).select(*keys, F.col("__q.i").alias("__i"), F.when(F.col("__v") >= F.col("__q.lo"), F.col("__v")).alias("__v"))
-    counted = tagged.groupBy(*keys, "__i", "__v").count()
-    ranked = counted.withColumn(
-        "__end", F.sum("count").over(Window.partitionBy(*keys, "__i").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    ).where("__v is not null")
+        *keys, F.col("__q.i").alias("__i"), F.when(~under & ~over, F.col("__v")).alias("__v"), (~over).cast("long").alias("__c"),
+        F.when(under, F.col("__v")).alias("__under"), F.when(over, F.col("__v")).alias("__over"),
+    )
+    counted = tagged.groupBy(*keys, "__i", "__v").agg(F.sum("__c").alias("count"), F.max("__under").alias("__under"), F.min("__over").alias("__over"))
+    bracket = Window.partitionBy(*keys, "__i")
+    ranked = counted.select(
+        *keys, "__i", "__v", "count", F.max("__under").over(bracket).alias("__under"), F.max("__over").over(bracket).alias("__over"),
+        F.sum("count").over(bracket.orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)).alias("__end"),
+    ).where("__v is not null")
     on = [*keys, "__i"]
     hit = ranked.join(brackets, on, "inner")
     start = F.col("__end") - F.col("count")
     k0, k1 = F.floor("__pos"), F.ceil("__pos")
-    picked = hit.groupBy(*on).agg(
-        F.first("__pos").alias("__pos"),
-        F.first("__n").alias("__n"),
-        F.max(F.when((start <= k0) & (k0 < F.col("__end")), F.col("__v"))).alias("__a"),
-        F.max(F.when((start <= k1) & (k1 < F.col("__end")), F.col("__v"))).alias("__z"),
-    )
+    first, last = F.min(start), F.max("__end")
+
+    def at(k: Column) -> Column:
+        """The value of rank ``k``: inside the bracket, or the neighbour on either side."""
+        inside = F.max(F.when((start <= k) & (k < F.col("__end")), F.col("__v")))
+        return F.coalesce(inside, F.when(F.first(k) == first - 1, F.first("__under")), F.when(F.first(k) == last, F.first("__over")))
+
+    picked = hit.groupBy(*on).agg(F.first("__pos").alias("__pos"), F.first("__n").alias("__n"), at(k0).alias("__a"), at(k1).alias("__z"))
     interpolated = picked.withColumn("__x", F.col("__a") + (F.col("__pos") - F.floor("__pos")) * (F.col("__z") - F.col("__a")))
     missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
     interpolated = interpolated.withColumn("__x", F.when(F.col("__x").isNull(), missed).otherwise(F.col("__x")))

@@ -141,7 +141,7 @@ def _held(name: str) -> str:
 def _register(number: int, rule: R.Rule) -> None:
     @query(f"R{number}_{rule.name}", f"WITH {COUNTER}, {_held(rule.name)} SELECT series, t, round(value, 6) AS value, active_since, state FROM {rule.name}")
     def _(spark, sf):
-        states = R.evaluate(rule, metrics(spark, sf, rule.reads), R.Grid(HOUR))
+        states = R.evaluate(rule, metrics(spark, sf, rule.reads), R.Grid(HOUR, rate_window=2 * HOUR + 1, check_window=2 * HOUR + 1))
         return states.select("series", "t", F.round("value", 6).alias("value"), "active_since", "state")
 
 

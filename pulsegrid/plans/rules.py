@@ -20,12 +20,15 @@ from pulsegrid.operators import detect, series, vector
 class Grid(NamedTuple):
     """Evaluation ticks: step in seconds and, when known, the first and last tick.
 
-    Give the range when a metric may be missing altogether: an absent metric has no sample to take it from.
+    Give the range when a metric may be missing altogether: an absent metric has no sample to take it from. The counter
+    windows (processor rates, ineffective actions) are in seconds and hold at least two samples of the table.
     """
 
     step: int
     start: int | None = None
     end: int | None = None
+    rate_window: int = 120
+    check_window: int = 900
 
 
 class Rule(NamedTuple):
@@ -72,7 +75,7 @@ def _per_series_ratio(m: DataFrame, part: str, whole: str, *matchers) -> DataFra
 
 def _cpu(m: DataFrame, grid: Grid) -> DataFrame:
     idle = pick(m, "node_cpu_seconds_total", ("mode", "=", "idle")).withColumn("__s", L.render_labels(F.col("labels")))
-    rates = series.counter_increase(idle, ["__s"], max(120, 2 * grid.step + 1), "rate", per_second=True).where("rate is not null")
+    rates = series.counter_increase(idle, ["__s"], grid.rate_window, "rate", per_second=True).where("rate is not null")
     busy = _keyed(rates, "node").groupBy("t", "node").agg((100 - F.avg("rate") * 100).alias("value"))
     return vector.compare(busy, ">", 80).select("t", F.create_map(F.lit("node"), "node").alias("labels"), "value")
 
@@ -135,7 +138,7 @@ def _recent_action(m: DataFrame, grid: Grid) -> DataFrame:
 
 def _ineffective(m: DataFrame, grid: Grid) -> DataFrame:
     checks = pick(m, "pfe_agent_verifications_total", ("result", "=", "persistant")).withColumn("__s", L.render_labels(F.col("labels")))
-    grown = series.counter_increase(checks, ["__s"], max(900, 2 * grid.step + 1), "inc").where("inc is not null")
+    grown = series.counter_increase(checks, ["__s"], grid.check_window, "inc").where("inc is not null")
     return vector.compare(grown.withColumn("value", F.col("inc")), ">", 0).select("t", "labels", "value")
 
 

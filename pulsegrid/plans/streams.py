@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pulsegrid import vocabulary as V
 from pulsegrid.operators import audit, decisions, lifecycle
 from pulsegrid.plans import tables as T
 from pulsegrid.plans.registry import query
@@ -90,7 +91,25 @@ def _(spark, sf):
     return jobs.drain(jobs.keyed(jobs.replay(ticks, "T5"), ["alertname", "node"], processors.Notifier(30, 4 * HOUR, HOUR)), "T5")
 
 
-@query("T6_guarded_decisions")
+_GUARDED = f"""WITH RECURSIVE {EV},
+  p AS (SELECT 'agent-' || user_id AS scope, t, event_id AS row_id, feature || ':' || (t // 86400) AS incident, target || ':' || feature || ':' AS act, CASE WHEN event_id % 3 <> 0 THEN event_id % 5 END AS code,
+    row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS rn FROM ev),
+  g AS (SELECT DISTINCT scope, 0::BIGINT AS rn, NULL::BIGINT AS t, NULL::BIGINT AS row_id, NULL::VARCHAR AS decision, NULL::VARCHAR AS outcome, 0::BIGINT AS failures,
+      []::STRUCT(t BIGINT, incident VARCHAR, act VARCHAR, no BIGINT, charged BOOLEAN)[] AS log FROM p
+    UNION ALL
+    SELECT scope, rn, t, row_id, coalesce(refused, allowed), CASE WHEN refused IS NULL THEN outcome END,
+      CASE WHEN refused IS NULL AND allowed = 'executee' THEN CASE WHEN outcome = 'echec' THEN failures + 1 ELSE 0 END ELSE failures END,
+      CASE WHEN refused IS NULL THEN list_append(log, {{'t': t, 'incident': incident, 'act': act, 'no': no + 1, 'charged': outcome NOT IN ('rien_a_faire', 'refusee')}}) ELSE log END
+    FROM (SELECT *, CASE WHEN failures >= {V.FAILURE_BREAKER} THEN 'suspendu' WHEN no >= {V.MAX_ATTEMPTS} THEN 'escalade' WHEN resting THEN 'pause' WHEN spent >= {V.MAX_ACTIONS_PER_HOUR} THEN 'quota' END AS refused FROM (
+      SELECT p.scope, p.rn, p.t, p.row_id, p.incident, p.act, g.failures, g.log, CASE WHEN code IS NULL THEN 'simulee' ELSE 'executee' END AS allowed,
+        CASE WHEN code IS NULL THEN 'simulee' WHEN code = 0 THEN 'succes' WHEN code = 3 THEN 'rien_a_faire' WHEN code = 4 THEN 'refusee' ELSE 'echec' END AS outcome,
+        coalesce(list_max([x.no FOR x IN g.log IF x.incident = p.incident AND p.t - x.t < 86400]), 0) AS no,
+        len([x FOR x IN g.log IF x.act = p.act AND p.t - x.t < {V.COOLDOWN_SECONDS}]) > 0 AS resting, len([x FOR x IN g.log IF x.charged AND p.t - x.t < 3600]) AS spent
+      FROM g JOIN p ON p.scope = g.scope AND p.rn = g.rn + 1)))
+  SELECT scope, t, row_id, decision, outcome FROM g WHERE rn > 0"""
+
+
+@query("T6_guarded_decisions", _GUARDED)
 def _(spark, sf):
     # one agent per user fleet: its quota and its breaker are its own state
     ev = T.events(spark, sf)
@@ -120,8 +139,10 @@ def _(spark, sf):
 
 
 @query("T9_trailing_windows", f"""WITH {EV}, w AS (SELECT target, feature, us // 1800000000 * 1800 - unnest([0, 1800, 3600, 5400]) AS start, us, value FROM ev)
-  SELECT target, feature, start, count(*) AS n, round(sum(value), 4) AS total, round(arg_max(value, us) - arg_min(value, us), 4) + 0 AS delta FROM w GROUP BY 1, 2, 3""")
+  SELECT target, feature, start, count(*) AS n, round(sum(value), 4) AS total, round(arg_max(value, us) - arg_min(value, us), 4) + 0 AS delta FROM w
+  WHERE (start + 7200) * 1000 <= (SELECT max(us) // 1000 - 120000 FROM ev) GROUP BY 1, 2, 3""")
 def _(spark, sf):
+    # append: a window comes out once, when the watermark has passed its end, and its state goes
     source = read(spark, sf, "events")
     stream = jobs.follow(spark, source.schema, sf, "events")
     rows = stream.select(
@@ -129,7 +150,7 @@ def _(spark, sf):
     )
     windows = jobs.sliding(jobs.accepted(rows), ["target", "feature"], "ts", "value", "2 hours", "30 minutes")
     flat = windows.select("target", "feature", F.expr("unix_micros(w.start) div 1000000").alias("start"), "n", F.round("total", 4).alias("total"), (F.round("delta", 4) + 0).alias("delta"))
-    return jobs.drain(flat, "T9", "complete")
+    return jobs.drain(flat, "T9")
 
 
 @query("T10_announcement_extension", f"""WITH {EV}, s AS (SELECT user_id, t, max(value) AS v FROM ev WHERE feature = 'signup' GROUP BY 1, 2)
