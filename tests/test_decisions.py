@@ -14,63 +14,75 @@ ALERT = "alertname string, node string, application string, job string, source s
 
 @pytest.fixture(scope="module")
 def fleet(spark):
-    nodes = spark.createDataFrame([("app-1", True, False, True, 0), ("app-2", True, False, False, 1), ("monitoring", False, True, False, 2)], "name string, app boolean, monitoring boolean, k3s boolean, ord int")
-    apps = spark.createDataFrame([("boutique", ["api", "site"]), ("demo", ["web"])], "application string, components array<string>")
+    nodes = spark.createDataFrame([("hub", False, True, False, 0), ("print-3", True, False, True, 1), ("mail-1", True, False, False, 2)], "name string, app boolean, monitoring boolean, k3s boolean, ord int")
+    apps = spark.createDataFrame([("atlas", ["tiles", "routes", "search"]), ("globe", ["viewer"])], "application string, components array<string>")
     return nodes, apps
 
 
-def plan(spark, fleet, name, node="app-1", application=None, job="", source="", feature=None, z=None, **kw):
+def plan(spark, fleet, name, node="print-3", application=None, job="", source="", feature=None, z=None, **kw):
     row = spark.createDataFrame([(name, node, application, job, source, feature, z)], ALERT)
     r = decisions.plan(row, *fleet, **kw).first()
     return r.plan_node, r.action, r.arg, r.reason
 
 
-CASES = [
-    (dict(name="AnomalieAIOps", feature="cpu_server"), ("app-1", "rollout-restart", "server", "server_overload")),
-    (dict(name="AnomalieAIOps", node="app-2", feature="cpu_server", z=7.0), ("app-1", "rollout-restart", "server", "server_overload")),
-    (dict(name="AnomalieAIOps", feature="ram_host"), ("app-1", "stop-sonarqube", "", "host_overload")),
-    (dict(name="AnomalieAIOps", feature="ram_server_mb", z=-5.6), ("app-1", None, "", "falling")),
-    (dict(name="AnomalieAIOps"), ("app-1", None, "", "no_diagnosis")),
-    (dict(name="AnomalieAIOps", feature="net_rx_kb"), ("app-1", None, "", "no_safe_action")),
-    (dict(name="AnomalieAIOps", node="monitoring", feature="cpu_server"), ("monitoring", None, "", "no_safe_action")),
-    (dict(name="MoteurAIOpsArrete", node=None), ("monitoring", "restart-container", "mon-aiops-engine", "engine_stopped")),
-    (dict(name="CollecteurArrete", node="monitoring", job="cadvisor-k3s"), ("monitoring", None, "", "collector_not_listed")),
-    (dict(name="CollecteurArrete", node="app-2", job="cadvisor-k3s"), ("app-2", "restart-container", "cadvisor-k3s", "collector_silent")),
-    (dict(name="CollecteurArrete", job="jenkins"), ("app-1", None, "", "collector_not_listed")),
-    (dict(name="NoeudInjoignable"), ("app-1", "restart-container", "node-exporter", "collector_silent")),
-    (dict(name="NoeudInjoignable", node="intruder"), ("intruder", None, "", "unknown_node")),
-    (dict(name="RamElevee", node="monitoring"), ("monitoring", None, "", "memory_high_no_action")),
-    (dict(name="DisquePlein"), ("app-1", None, "", "disk_cleanup_disabled")),
-    (dict(name="DisquePleinPrevu", disk_cleanup=True), ("app-1", "clean-disk", "", "disk_full")),
-    (dict(name="SauvegardeEnRetard", source="backup"), ("app-1", None, "", "own_alert")),
-    (dict(name="CpuEleve"), ("app-1", None, "", "watch_only")),
-    (dict(name="AnomalieApplication", node="appli-boutique", application="boutique", feature="ram_api_mb", z=7.5), ("app-1", "rollout-app", "boutique/api", "component_overload")),
-    (dict(name="AnomalieApplication", node="appli-demo", application="demo", feature="cpu_web", z=4.0), ("app-1", "rollout-app", "demo/web", "component_overload")),
-    (dict(name="AnomalieApplication", application="boutique", feature="ram_base_mb", z=9.0), ("app-1", None, "", "database_never_restarted")),
-    (dict(name="AnomalieApplication", application="boutique", feature="web_ok", z=-8.0), ("app-1", None, "", "no_safe_action")),
-    (dict(name="AnomalieApplication", application="boutique", feature="ram_api_mb", z=-6.0), ("app-1", None, "", "falling")),
-    (dict(name="AnomalieApplication", application="boutique", feature="cpu_other", z=5.0), ("app-1", None, "", "component_not_listed")),
-    (dict(name="AnomalieApplication", application="boutique"), ("app-1", None, "", "no_diagnosis")),
-    (dict(name="AnomalieApplication", application="unknown", feature="cpu_api"), ("app-1", None, "", "unknown_application")),
-    (dict(name="ApplicationHorsLigne", node=None, application="boutique", feature="cpu_api"), ("app-1", None, "", "self_healing")),
+def app(feature=None, z=None, application="atlas", **kw):
+    return dict(name="AnomalieApplication", application=application, feature=feature, z=z, **kw)
+
+
+def nothing(reason, node="print-3"):
+    return (node, None, "", reason)
+
+
+#: Alerts by what the policy does with them: restart something, or leave it and say why.
+RESTARTS = [
+    *[(app(f"{kind}_{c}{unit}", z), ("print-3", "rollout-app", f"atlas/{c}", "component_overload")) for c in ("tiles", "routes", "search") for kind, unit, z in (("cpu", "", 3.6), ("ram", "_mb", 12.0))],
+    (app("ram_viewer_mb", 5.5, "globe", node="appli-globe"), ("print-3", "rollout-app", "globe/viewer", "component_overload")),
+    *[(dict(name="AnomalieAIOps", node=n, feature=f, z=z), ("print-3", "rollout-restart", "server", "server_overload")) for n in ("print-3", "mail-1") for f in V.SERVER_FEATURES for z in (None, 9.25)],
+    *[(dict(name="AnomalieAIOps", feature=f, z=4.4), ("print-3", "stop-sonarqube", "", "host_overload")) for f in V.HOST_LOAD_FEATURES],
+    (dict(name="MoteurAIOpsArrete", node=None), ("hub", "restart-container", "mon-aiops-engine", "engine_stopped")),
+    *[(dict(name="CollecteurArrete", node="mail-1", job=j), ("mail-1", "restart-container", j, "collector_silent")) for j in V.COLLECTOR_JOBS],
+    (dict(name="CollecteurArrete", node="hub", job="cadvisor"), ("hub", "restart-container", "cadvisor", "collector_silent")),
+    (dict(name="NoeudInjoignable", node="mail-1"), ("mail-1", "restart-container", "node-exporter", "collector_silent")),
+    (dict(name="DisquePleinPrevu", disk_cleanup=True), ("print-3", "clean-disk", "", "disk_full")),
+]
+LEFT_ALONE = [
+    *[(dict(name="AnomalieAIOps", feature=f, z=-4.75), nothing("falling")) for f in ("cpu_server", "ram_host")],
+    (app("cpu_search", -3.9), nothing("falling")),
+    (dict(name="AnomalieAIOps", z=8.0), nothing("no_diagnosis")),
+    (app(), nothing("no_diagnosis")),
+    *[(dict(name="AnomalieAIOps", feature=f), nothing("no_safe_action")) for f in ("disk_host", "app_containers")],
+    (dict(name="AnomalieAIOps", node="hub", feature="ram_server_mb"), nothing("no_safe_action", "hub")),
+    (app("web_ms", 30.0), nothing("no_safe_action")),
+    (app("ram_base_mb", 3.75), nothing("database_never_restarted")),
+    (app("ram_viewer_mb", 6.0), nothing("component_not_listed")),  # a component of another application
+    (app("cpu_tiles", 6.0, "ghost"), nothing("unknown_application")),
+    (dict(name="ApplicationHorsLigne", node=None, application="globe"), nothing("self_healing")),
+    (dict(name="CollecteurArrete", node="hub", job="cadvisor-k3s"), nothing("collector_not_listed", "hub")),
+    (dict(name="CollecteurArrete", job="registry"), nothing("collector_not_listed")),
+    (dict(name="NoeudInjoignable", node="stranger"), nothing("unknown_node", "stranger")),
+    (dict(name="RamElevee", node="hub"), nothing("memory_high_no_action", "hub")),
+    *[(dict(name=n, node="mail-1"), nothing("disk_cleanup_disabled", "mail-1")) for n in ("DisquePlein", "DisquePleinPrevu")],
+    (dict(name="CopieDistanteEnRetard", source="backup"), nothing("own_alert")),
+    (dict(name="CpuEleve", node="mail-1"), nothing("watch_only", "mail-1")),
 ]
+CASES = RESTARTS + LEFT_ALONE
 
 
 def test_policies(spark, fleet):
     got, expected = [], []
     plain = [(c, e) for c, e in CASES if "disk_cleanup" not in c]
-    rows = [(c["name"], c.get("node", "app-1"), c.get("application"), c.get("job", ""), c.get("source", ""), c.get("feature"), c.get("z"), i) for i, (c, _) in enumerate(plain)]
+    rows = [(c["name"], c.get("node", "print-3"), c.get("application"), c.get("job", ""), c.get("source", ""), c.get("feature"), c.get("z"), i) for i, (c, _) in enumerate(plain)]
     out = decisions.plan(spark.createDataFrame(rows, ALERT + ", i int"), *fleet).orderBy("i").collect()
     for r, (_, e) in zip(out, plain):
         got.append((r.plan_node, r.action, r.arg, r.reason))
         expected.append(e)
     assert got == expected
-    assert plan(spark, fleet, "DisquePleinPrevu", disk_cleanup=True) == ("app-1", "clean-disk", "", "disk_full")
+    assert plan(spark, fleet, "DisquePleinPrevu", disk_cleanup=True) == ("print-3", "clean-disk", "", "disk_full")
 
 
 def test_no_control_node(spark, fleet):
-    lone = spark.createDataFrame([("monitoring", False, True, False, 0)], "name string, app boolean, monitoring boolean, k3s boolean, ord int")
-    assert plan(spark, (lone, fleet[1]), "AnomalieApplication", application="boutique", feature="cpu_api") == ("-", None, "", "no_control_node")
+    lone = spark.createDataFrame([("hub", False, True, False, 0)], "name string, app boolean, monitoring boolean, k3s boolean, ord int")
+    assert plan(spark, (lone, fleet[1]), "AnomalieApplication", application="atlas", feature="cpu_tiles") == ("-", None, "", "no_control_node")
 
 
 def guard(spark, rows, name, **kw):
@@ -80,12 +92,26 @@ def guard(spark, rows, name, **kw):
 
 
 def test_guard_order(spark):
-    assert guard(spark, [(0, "i1", "a", 0), (60, "i2", "a", 0), (31 * 60, "i3", "a", 0)], "pause") == ["executee", "pause", "executee"]
-    assert guard(spark, [(0, "i", "a", 0), (31 * 60, "i", "a", 0), (62 * 60, "i", "a", 0)], "tries") == ["executee", "executee", "escalade"]
-    assert guard(spark, [(0, "1", "a", 0), (1, "2", "b", 0), (2, "3", "c", 0), (3, "4", "d", 0), (3601, "5", "d", None)], "quota") == ["executee"] * 3 + ["quota", "simulee"]
-    assert guard(spark, [(0, "1", "a", 1), (1, "2", "b", 1), (2, "3", "c", 1), (9000, "4", "d", 0)], "breaker") == ["executee"] * 3 + ["suspendu"]
-    # no effect: the quota comes back, the pause stays
-    assert guard(spark, [(0, "1", "a", 3), (1, "2", "b", 4), (2, "3", "c", 3), (3, "4", "d", 0), (4, "5", "a", 0)], "idle") == ["executee"] * 4 + ["pause"]
+    hour, rest = 3600, V.COOLDOWN_SECONDS
+    # the pause is over exactly at its end; a third attempt on one incident is someone else's job
+    assert guard(spark, [(5, "x", "a", 0), (4 + rest, "y", "a", 0), (5 + rest, "y", "a", 0)], "pause") == ["executee", "pause", "executee"]
+    assert guard(spark, [(k * 2 * rest, "x", k_name, 0) for k, k_name in enumerate("abc")] + [(V.DAY + 2 * rest, "x", "a", 0)], "tries") == ["executee", "executee", "escalade", "executee"]
+    quota = [(k, f"i{k}", f"act{k}", None) for k in range(4)] + [(hour - 1, "z", "late", 0), (hour, "z", "late", 0)]
+    assert guard(spark, quota, "quota") == ["simulee"] * 3 + ["quota", "quota", "executee"]
+    # failures in a row suspend for good; a success between them starts the count again
+    broken = [(k * 2 * hour, f"i{k}", f"act{k}", code) for k, code in enumerate((7, 2, 0, 1, 9, 5, 0))]
+    assert guard(spark, broken, "breaker") == ["executee"] * 6 + ["suspendu"]
+    # no effect: the quota is not charged, the pause is
+    idle = [(k, f"i{k}", f"act{k}", 3 + k % 2) for k in range(5)] + [(9, "other", "act1", 0), (10, "other", "new", 0)]
+    assert guard(spark, idle, "idle") == ["executee"] * 5 + ["pause", "executee"]
+
+
+def test_rows_of_one_time_follow_their_ids(spark):
+    rows = [(60, f"i{k}", "same", 0) for k in range(6)]
+    for parts in (1, 5):
+        df = spark.createDataFrame([("agent", t, i, incident, key, code) for i, (t, incident, key, code) in enumerate(rows)][::-1], "scope string, t long, row_id long, incident string, action_key string, code int")
+        out = jobs.drain(jobs.keyed(jobs.replay(df.repartition(parts), f"ties{parts}"), ["scope"], processors.Guard()), f"ties{parts}")
+        assert [r.row_id for r in out.where("decision = 'executee'").collect()] == [0]
 
 
 def test_guard_against_brute_force(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pulsegrid import schemas
 from pulsegrid.plans import rules as R
 
-MIN, HOUR = 60, 3600
+HOUR, DAY = 3600, 86400
 
 
 def samples(spark, step, n, *series):
@@ -24,80 +24,68 @@ def firing(at):
     return [s for s in at if s[0] == "firing"]
 
 
-@pytest.fixture(scope="module")
-def anomalies(spark):
-    return samples(
-        spark, 15, 20,
-        ("aiops_anomaly_active", {"node": "app-1"}, 1), ("aiops_anomaly_active", {"node": "appli-boutique"}, 1),
-        ("aiops_target_info", {"node": "app-1", "kind": "node", "application": ""}, 1),
-        ("aiops_target_info", {"node": "appli-boutique", "kind": "application", "application": "boutique"}, 1),
-        ("aiops_top_feature", {"node": "app-1", "feature": "cpu_host"}, 1), ("aiops_top_feature_zscore", {"node": "app-1"}, 5),
-        ("probe_success", {"job": "applications", "application": "demo", "instance": "http://demo/"}, 0),
-        ("probe_success", {"job": "applications", "application": "boutique", "instance": "http://boutique/"}, 1),
-        ("pfe_backup_app_status", {"application": "boutique", "node": "app-1"}, 0),
-    )
-
-
-def test_node_and_application_anomalies(spark, anomalies):
-    node = firing(states(spark, anomalies, "AnomalieAIOps", 300)(120))
-    assert [s[1] for s in node] == [{"node": "app-1"}] and node[0][2] == "Anomaly on node app-1"
-    app = firing(states(spark, anomalies, "AnomalieApplication", 300)(120))
-    assert [s[1] for s in app] == [{"node": "appli-boutique", "application": "boutique"}]
-    top = {r.node: (r.feature, r.z) for r in R.top_feature_text(R.align(anomalies, 15)).where("t = 120").collect()}
-    assert top == {"app-1": ("cpu_host", 5.0)}
-
-
-def test_offline_needs_two_minutes(spark, anomalies):
-    at = states(spark, anomalies, "ApplicationHorsLigne", 300)
-    assert firing(at(60)) == [] and [s[0] for s in at(60)] == ["pending"]
-    assert [s[1]["application"] for s in firing(at(180))] == ["demo"]
-    assert len(firing(states(spark, anomalies, "SauvegardeApplicationEchouee", 300)(60))) == 1
-
-
-def test_inventory_and_stale_discovery(spark):
-    m = samples(
-        spark, MIN, 300,
-        ("pfe_parc_serveur", {"adresse": "10.0.0.9", "etat": "vide", "inventaire": "", "node": "mon"}, 1),
-        ("pfe_parc_serveur", {"adresse": "10.0.0.8", "etat": "controle", "inventaire": "app-1", "node": "mon"}, 1),
-        ("node_textfile_mtime_seconds", {"file": "/host/pfe_parc.prom", "node": "mon"}, 0),
-    )
-    assert [s[1]["adresse"] for s in firing(states(spark, m, "ServeurVideDetecte", 900)(900))] == ["10.0.0.9"]
-    late = states(spark, m, "DecouverteParcEnRetard", 4 * HOUR)
-    assert firing(late(2 * HOUR)) == [] and len(firing(late(4 * HOUR))) == 1
-
-
-def test_sync_and_deployments(spark):
-    m = samples(
-        spark, MIN, 30,
-        ("pfe_sync_statut", {"node": "mon"}, 0),
-        ("pfe_argocd_app", {"node": "app-1", "application": "boutique", "nom": "app-boutique", "sync": "OutOfSync", "sante": "Degraded"}, 0),
-        ("pfe_argocd_app", {"node": "app-1", "application": "calme", "nom": "calme", "sync": "Synced", "sante": "Healthy"}, 1),
-        ("node_textfile_mtime_seconds", {"node": "app-1", "file": "/host/pfe_etat_cluster.prom"}, 0),
-    )
-    sync = states(spark, m, "SynchronisationEchouee", 1500)
-    assert firing(sync(600)) == [] and len(firing(sync(1200))) == 1
-    argo = states(spark, m, "ApplicationArgoCDDegradee", 1500)
-    assert firing(argo(600)) == [] and [s[2] for s in firing(argo(1200))] == ["boutique: OutOfSync / Degraded for 15 minutes"]
-    mute = states(spark, m, "EtatClusterMuet", 1500)
-    assert firing(mute(900)) == [] and len(firing(mute(1500))) == 1
-
-
-def test_certificates(spark):
-    m = samples(
-        spark, 5 * MIN, 30,
-        ("probe_ssl_earliest_cert_expiry", {"job": "applications", "application": "boutique", "instance": "https://b.example.com/"}, 864000),
-        ("probe_ssl_earliest_cert_expiry", {"job": "applications", "application": "demo", "instance": "https://d.example.com/"}, 5184000),
-        ("probe_ssl_earliest_cert_expiry", {"job": "services", "service": "ci", "instance": "https://ci.example.com/login"}, 864000),
-        ("probe_ssl_earliest_cert_expiry", {"job": "services", "service": "cd", "instance": "https://57.1.2.3:32252/"}, 864000),
-    )
-    app = states(spark, m, "CertificatBientotExpire", 90 * MIN)
-    assert firing(app(30 * MIN)) == [] and [s[1]["application"] for s in firing(app(90 * MIN))] == ["boutique"]
-    tool = states(spark, m, "CertificatPlateformeBientotExpire", 90 * MIN)
-    assert firing(tool(30 * MIN)) == [] and [s[1]["service"] for s in firing(tool(90 * MIN))] == ["ci"]
+#: One rule per case: its samples (step, count, series), the labels that must fire, and seconds from which the condition holds.
+#: Every case also carries series that must never fire.
+CASES = {
+    "AnomalieAIOps": (
+        15, 40, [("aiops_anomaly_active", {"node": n}, v) for n, v in (("print-3", 1), ("appli-atlas", 1), ("mail-1", 0))]
+        + [("aiops_target_info", {"node": n, "kind": k, "application": a}, 1) for n, k, a in (("print-3", "node", ""), ("appli-atlas", "application", "atlas"), ("mail-1", "node", ""))],
+        [{"node": "print-3"}], 0,
+    ),
+    "AnomalieApplication": (
+        15, 40, [("aiops_anomaly_active", {"node": n}, 1) for n in ("print-3", "appli-atlas")] + [("aiops_target_info", {"node": "appli-atlas", "kind": "application", "application": "atlas"}, 1)],
+        [{"node": "appli-atlas", "application": "atlas"}], 0,
+    ),
+    "ApplicationHorsLigne": (
+        15, 60, [("probe_success", {"job": j, "application": a, "instance": f"http://{a}.test/"}, v) for j, a, v in (("applications", "atlas", lambda t: t < 210), ("applications", "globe", 1), ("services", "wiki", 0))],
+        [{"job": "applications", "application": "atlas", "instance": "http://atlas.test/"}], 210,
+    ),
+    "SauvegardeApplicationEchouee": (15, 30, [("pfe_backup_app_status", {"application": a, "node": "print-3"}, v) for a, v in (("atlas", lambda t: t < 90), ("globe", 1))], [{"application": "atlas", "node": "print-3"}], 90),
+    "ServeurVideDetecte": (
+        60, 20, [("pfe_parc_serveur", {"adresse": a, "etat": e, "inventaire": i, "node": "hub"}, 1) for a, e, i in (("192.0.2.5", "vide", ""), ("192.0.2.6", "vide", "mail-1"), ("192.0.2.7", "occupe", ""))],
+        [{"adresse": "192.0.2.5", "etat": "vide", "inventaire": "", "node": "hub"}], 0,
+    ),
+    "DecouverteParcEnRetard": (
+        300, 60, [("node_textfile_mtime_seconds", {"file": f, "node": "hub"}, 0) for f in ("/srv/pfe_parc.prom", "/srv/else.prom")], [{"file": "/srv/pfe_parc.prom", "node": "hub"}], 3 * HOUR + 15,
+    ),
+    "SynchronisationEchouee": (60, 45, [("pfe_sync_statut", {"node": n}, v) for n, v in (("hub", lambda t: t < 600), ("spare", 1))], [{"node": "hub"}], 600),
+    "ApplicationArgoCDDegradee": (
+        60, 45, [("pfe_argocd_app", {"node": "print-3", "application": a, "nom": a, "sync": s, "sante": h}, v) for a, s, h, v in (("atlas", "Unknown", "Missing", 0.5), ("globe", "Synced", "Progressing", 1))],
+        [{"node": "print-3", "application": "atlas", "nom": "atlas", "sync": "Unknown", "sante": "Missing"}], 0,
+    ),
+    "EtatClusterMuet": (60, 45, [("node_textfile_mtime_seconds", {"node": "print-3", "file": "/srv/pfe_etat_cluster.prom"}, lambda t: min(t, 300))], [{"node": "print-3", "file": "/srv/pfe_etat_cluster.prom"}], 915),
+    "CertificatBientotExpire": (
+        300, 30, [("probe_ssl_earliest_cert_expiry", {"job": j, "application": a, "instance": f"https://{a}.test/"}, e) for j, a, e in (("applications", "atlas", 14 * DAY + 1200), ("applications", "globe", 90 * DAY), ("services", "wiki", DAY))],
+        [{"job": "applications", "application": "atlas", "instance": "https://atlas.test/"}], 1200 + 15,
+    ),
+    "CertificatPlateformeBientotExpire": (
+        300, 30, [("probe_ssl_earliest_cert_expiry", {"job": "services", "service": s, "instance": i}, DAY) for s, i in (("wiki", "https://wiki.test/start"), ("raw", "https://192.0.2.44:8443/"))],
+        [{"job": "services", "service": "wiki", "instance": "https://wiki.test/start"}], 0,
+    ),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_pending_for_the_hold_time_then_firing(spark, name):
+    step, n, series, expected, since = CASES[name]
+    hold = R.BY_NAME[name].hold
+    out = R.evaluate(R.BY_NAME[name], R.align(samples(spark, step, n, *series), 15), R.Grid(15, 0, (n - 1) * step))
+    rows = out.where(F.col("t") <= (n - 1) * step).collect()
+    assert {tuple(sorted(r.labels.items())) for r in rows} == {tuple(sorted(e.items())) for e in expected}
+    assert min(r.t for r in rows) == since and max(r.t for r in rows) >= since + hold
+    assert all((r.state == "firing") == (r.t - since >= hold) for r in rows)
+
+
+def test_summaries_and_the_variable_of_an_anomaly(spark):
+    degraded = samples(spark, 60, 20, *CASES["ApplicationArgoCDDegradee"][2])
+    at = states(spark, degraded, "ApplicationArgoCDDegradee", 1200)
+    assert [s[2] for s in at(1140)] == ["atlas: Unknown / Missing for 15 minutes"]
+    m = samples(spark, 15, 8, ("aiops_top_feature", {"node": "print-3", "feature": "web_ms"}, 1), ("aiops_top_feature", {"node": "print-3", "feature": "cpu_queue"}, 0), ("aiops_top_feature_zscore", {"node": "print-3"}, -7.25))
+    assert [(r.node, r.feature, r.z) for r in R.top_feature_text(R.align(m, 15)).where("t = 45").collect()] == [("print-3", "web_ms", -7.25)]
 
 
 def test_absent_engine_fires_without_any_sample(spark):
-    m = samples(spark, 15, 20, ("up", {"job": "node-exporter", "node": "app-1"}, 1))
+    m = samples(spark, 15, 20, ("up", {"job": "node-exporter", "node": "print-3"}, 1))
     at = states(spark, m, "MoteurAIOpsArrete", 300)
     assert [s[0] for s in at(60)] == ["pending"] and [s[1] for s in firing(at(120))] == [{"job": "aiops-engine"}]
 
