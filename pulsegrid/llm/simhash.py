@@ -9,7 +9,7 @@ candidates, the rest of the chain prunes them, and the full Hamming distance dec
 
 Equal fingerprints are one node, so copies never multiply. Inside a bucket links are joined into trees before they
 leave the task: components lose nothing and output stays linear. Buckets hold different fingerprints that agree in 32
-bits; they are compared in numpy blocks, never as emitted pairs.
+bits; they are compared in numpy blocks, never as emitted pairs. ``similar_components`` holds larger distances.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero and links like any other; a text
 shorter than a shingle is one shingle. Rows that repeat a ``doc_id`` get the same row each. A null ``doc_id`` never
@@ -18,7 +18,7 @@ names a component, which is null only if no member has an id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,24 +31,46 @@ from pulsegrid.llm.components import components
 
 SEGMENTS, WIDTH = 8, 8
 SEED = 42
+#: Similar texts: bits in which fingerprints may differ (64 - 12 of 64 agree: 0.81), the sampled ring and its budget.
+FAR, RING, BUDGET = 12, 16, 5
+_ODDS = np.random.default_rng(SEED).integers(1, 1 << 63, RING, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XORS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, RING, dtype=np.uint64)
+RINGS = ["r0", "r1", "r2", "r3"]
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """SimHash of a text's shingles of ``words`` words, repeats included (XXH64, seed 42)."""
+def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of a text's shingles of ``words`` words, repeats included, in bounded pieces."""
     import xxhash
 
     parts = text.lower().split()  # bytes: A-Z only, and white space is [\x20\x09-\x0D]
     if not parts:
-        return 0
-    if len(parts) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(parts), SEED)
-    total = np.zeros(64, dtype=np.int64)
-    n = len(parts) - words + 1
+        return
+    n = max(1, len(parts) - words + 1)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     for at in range(0, n, 1 << 14):
         stop = min(n, at + (1 << 14))
-        runs = zip(*(parts[at + k : stop + k] for k in range(words)))
-        h = np.array([digest(s, SEED) for s in map(join, runs)], dtype="<u8")
+        runs = zip(*(parts[at + k : stop + k] for k in range(words))) if len(parts) > words else [parts]
+        yield np.array([digest(s, SEED) for s in map(join, runs)], dtype="<u8")
+
+
+def sketch(text: bytes, words: int) -> tuple[int, np.ndarray]:
+    """(fingerprint, ring) of a text; a text without words has zeros."""
+    total, n = np.zeros(64, dtype=np.int64), 0
+    ring = np.full(RING, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for h in shingle_hashes(text, words):
+        n += len(h)
+        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        for k in range(RING):
+            ring[k] = min(ring[k], ((h ^ _XORS[k]) * _ODDS[k]).min())
+    bits = np.packbits((total * 2 > n).astype(np.uint8), bitorder="little").view("<u8")[0]
+    return int(bits), (ring if n else np.zeros(RING, np.uint64)).astype("<u2")
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    """SimHash of a text's shingles of ``words`` words, repeats included."""
+    total, n = np.zeros(64, dtype=np.int64), 0
+    for h in shingle_hashes(text, words):
+        n += len(h)
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits((total * 2 > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
@@ -92,40 +114,40 @@ def close_pairs(fps: np.ndarray, others: np.ndarray, start: int, distance: int)
     return ok & (np.bitwise_count(differ) <= distance)
 
 
-def bucket_links(fps: np.ndarray, ids: np.ndarray, start: int, distance: int) -> tuple[list[int], list[int]]:
-    """Links of one bucket as trees: each node's root, so no more links than nodes."""
-    root = np.arange(len(fps))
+def bucket_links(ids: np.ndarray, close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
+    """Links of one bucket as trees, so no more links than nodes.
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    ``close`` tells for two arrays of positions which pairs link. Every node reached is compared with the nodes not yet
+    reached only, so a bucket of copies costs about one comparison a node, and no link between components is lost.
+    """
+    rest = np.arange(len(ids))
+    a, b = [], []
+    while len(rest):
+        root, front, rest = rest[0], rest[:1], rest[1:]
+        while len(front) and len(rest):
+            step = max(1, min(1024, 1_000_000 // len(rest)))
+            hit = close(front[:step], rest).any(axis=0)
+            found, rest = rest[hit], rest[~hit]
+            front = np.concatenate([front[step:], found])
+            a += ids[found].tolist()
+            b += [int(ids[root])] * len(found)
+    return a, b
 
-    step = max(1, min(1024, 4_000_000 // max(1, len(fps))))
-    for at in range(0, len(fps), step):
-        a, b = np.nonzero(close_pairs(fps[at : at + step], fps[at:], start, distance))
-        later = b > a
-        for i, j in zip((a[later] + at).tolist(), (b[later] + at).tolist()):
-            x, y = find(i), find(j)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-    found = [(int(ids[i]), int(ids[find(i)])) for i in range(len(fps)) if find(i) != i]
-    return [x for x, _ in found], [y for _, y in found]
 
+def _linked(rows: DataFrame, columns: list[str], closeness: Callable[[int, list[np.ndarray]], Callable]) -> DataFrame:
+    """Links (a, b) inside the buckets of (key, *columns, id) rows of longs.
 
-def fingerprint_links(fps: DataFrame, distance: int = 3) -> DataFrame:
-    """Links (a, b) among (fp, id) rows of different fingerprints, as trees inside each bucket."""
-    if not 0 <= distance <= 3:
-        raise ValueError("the chains of this layout hold distances up to 3")
+    ``closeness`` gives the link test of a bucket from its key and columns.
+    """
+    names = ["key", *columns, "id"]
 
-    def flush(keys: np.ndarray, fp: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        a, b = [], []
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, ids, a, b = held[0], held[-1], [], []
         cuts = np.flatnonzero(np.diff(keys)) + 1
         begins, ends = np.r_[0, cuts], np.r_[cuts, len(keys)]
         for at in np.flatnonzero(ends - begins > 1).tolist():
             s, e = begins[at], ends[at]
-            x, y = bucket_links(fp[s:e], ids[s:e], int(keys[s] >> 40) // 3, distance)
+            x, y = bucket_links(ids[s:e], closeness(int(keys[s]), [c[s:e].view(np.uint64) for c in held[1:-1]]))
             a += x
             b += y
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -133,19 +155,94 @@ def fingerprint_links(fps: DataFrame, distance: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # rows of the last key, which may go on in the next batch
         for batch in batches:
-            rows = [np.asarray(batch.column("key")), np.asarray(batch.column("fp")).view(np.uint64), np.asarray(batch.column("id"))]
-            if not len(rows[0]):
+            now = [np.asarray(batch.column(c)) for c in names]
+            if not len(now[0]):
                 continue
             if held:
-                rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
-            last = int(np.searchsorted(rows[0], rows[0][-1], "left"))
-            held = [r[last:] for r in rows]
+                now = [np.concatenate([h, r]) for h, r in zip(held, now)]
+            last = int(np.searchsorted(now[0], now[0][-1], "left"))
+            held = [r[last:] for r in now]
             if last:
-                yield flush(*(r[:last] for r in rows))
+                yield flush([r[:last] for r in now])
         if held:
-            yield flush(*held)
+            yield flush(held)
+
+    return rows.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def fingerprint_links(fps: DataFrame, distance: int = 3) -> DataFrame:
+    """Links (a, b) among (fp, id) rows of different fingerprints, as trees inside each bucket."""
+    if not 0 <= distance <= 3:
+        raise ValueError("the chains of this layout hold distances up to 3")
+
+    def closeness(key: int, columns: list[np.ndarray]) -> Callable:
+        fp, start = columns[0], (key >> 40) // 3
+        return lambda i, j: close_pairs(fp[i], fp[j], start, distance)
+
+    return _linked(_chains(fps), ["fp"], closeness)
+
+
+def ring_close(fps: np.ndarray, rings: np.ndarray, start: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Boolean matrix: sampled rings whose chain from ``start`` stays within its budgets, then the full Hamming check."""
+    spent = np.zeros((len(i), len(j)), dtype=np.uint8)
+    ok = np.ones(spent.shape, dtype=bool)
+    for chain in range(1, RING + 1):
+        at = (start + chain - 1) % RING
+        spent += rings[i, at][:, None] != rings[j, at][None, :]
+        ok &= spent <= chain * BUDGET // RING
+        if not ok.any():
+            return ok
+    return ok & (np.bitwise_count(fps[i][:, None] ^ fps[j][None, :]) <= FAR)
+
+
+def ring_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) among (fp, r0..r3, id) rows, as trees inside each bucket of three equal segments."""
 
-    return _chains(fps).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    def segment(i: int):
+        return F.shiftrightunsigned(RINGS[i % RING // 4], 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF))
+
+    def key(start: int):
+        first, second, third = (segment(start + k) for k in range(3))
+        return first.bitwiseOR(F.shiftleft(second, 16)).bitwiseOR(F.shiftleft(third, 32)).bitwiseOR(F.lit(start << 48))
+
+    def closeness(key: int, columns: list[np.ndarray]) -> Callable:
+        fp, rings = columns[0], np.stack(columns[1:], axis=1).view("<u2")
+        return lambda i, j: ring_close(fp, rings, key >> 48, i, j)
+
+    keys = F.array(*[key(start) for start in range(RING)])
+    return _linked(nodes.select(F.explode(keys).alias("key"), "fp", *RINGS, "id"), ["fp", *RINGS], closeness)
+
+
+def similar_components(docs: DataFrame, words: int = 5, text: str = "text") -> DataFrame:
+    """doc_id, component_id of every row: groups of texts whose fingerprints are 0.8 or more alike.
+
+    Texts that share 0.8 of their shingles differ in about ten bits of 64, which the differences' spread over all
+    segments makes too many for chains of bits. So a second ring has sixteen segments, each sixteen bits of the hash of
+    one sampled shingle (the smallest under its own permutation): differences fall into whole segments, each equal
+    with the shingles' Jaccard similarity. Of at most five unequal segments, some start has every chain of length l
+    within ``floor(5 l / 16)``, hence three equal segments in a row, which are the key. The chain prunes, and the full
+    Hamming distance (at most 12) decides. All pairs of at most 3 bits link as well, whatever their ring.
+    """
+
+    def make():
+        def work(texts: list[bytes]) -> list[np.ndarray]:
+            made = [sketch(x, words) for x in texts]
+            rings = np.array([r for _, r in made], dtype="<u2").reshape(-1, RING).view("<i8")
+            return [np.array([f for f, _ in made], dtype=np.uint64).view(np.int64), *np.ascontiguousarray(rings.T)]
+
+        return work
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    columns = ["fp", *RINGS]
+    own = stored(with_columns(source, make, [T.StructField(c, T.LongType()) for c in columns], keep=["doc_id"]), "sketches")
+    nodes = stored(own.groupBy(*columns).agg(F.min("doc_id").alias("id")), "sketch-nodes")
+    named = nodes.where("id is not null")
+    firsts = stored(named.groupBy("fp").agg(F.min("id").alias("first")), "sketch-fingerprints")
+    equal = named.join(firsts, "fp").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    links = equal.unionByName(fingerprint_links(firsts.select("fp", F.col("first").alias("id")))).unionByName(ring_links(named))
+    found = components(stored(links.distinct(), "sketch-links"))
+    of = stored(nodes.join(found, "id", "left").select(*columns, F.coalesce("component", "id").alias("component_id")), "sketch-components")
+    return own.join(of, columns).select("doc_id", "component_id")
 
 
 def near_components(docs: DataFrame, words: int = 3, distance: int = 3, text: str = "text") -> DataFrame:

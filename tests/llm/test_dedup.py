@@ -127,3 +127,33 @@ def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(200, 200)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}}
+
+
+def test_similar_texts_find_each_other(spark):
+    """Copies with a few words changed (0.85 of the five-word shingles and more) join; unrelated texts stay alone."""
+    rng = np.random.default_rng(5)
+    rows, originals = [], 60
+    for i in range(originals):
+        words = [f"w{x}" for x in rng.integers(0, 3000, 400)]
+        rows.append((i, " ".join(words)))
+        for k in (1, 2, 3, 4, 5):
+            changed = list(words)
+            for at in rng.choice(400, k, replace=False):
+                changed[at] = f"x{at}"
+            rows.append((1000 * k + i, " ".join(changed)))
+    rows += [(9000, None), (9001, ""), (9002, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    group = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs).collect()}
+    assert len(group) == len(rows) and group[9001] == group[9002] == group[9000] == 9000
+    assert all(c in (i % 1000, i) for i, c in group.items() if i < 9000)
+    assert sum(c == i % 1000 for i, c in group.items() if i < 9000) >= 0.98 * 6 * originals
+    assert simhash.similar_components(empty(spark)).count() == 0
+
+
+def test_bucket_trees_reach_all_that_links_reach():
+    rng = np.random.default_rng(9)
+    at = np.sort(rng.integers(0, 4000, 700))
+    a, b = simhash.bucket_links(at, lambda i, j: abs(at[i][:, None] - at[j][None, :]) <= 5)
+    root = np.cumsum(np.r_[True, np.diff(at) > 5])
+    named = dict(zip(at.tolist(), root.tolist()))
+    assert all(named[x] == named[y] for x, y in zip(a, b)) and len(a) == len(at) - root[-1]

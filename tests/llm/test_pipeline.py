@@ -8,7 +8,7 @@ import corpus_pipeline
 from pulsegrid.llm.common import stored
 from pulsegrid.llm.line_dedup import digest_rows
 from pulsegrid.llm.mixing import mix
-from pulsegrid.llm.simhash import fingerprint
+from pulsegrid.llm.simhash import sketch
 from tests.llm.helpers import documents
 
 SF = "/root/testdata/sf0.01"
@@ -16,10 +16,12 @@ SF = "/root/testdata/sf0.01"
 
 def smallest_of_groups(texts):
     ids = sorted(texts)
-    fps = np.array([fingerprint(texts[i], 5) for i in ids], dtype=np.uint64)
+    made = [sketch(texts[i], 5) for i in ids]
+    fps, rings = np.array([f for f, _ in made], dtype=np.uint64), np.array([r for _, r in made])
     group = np.arange(len(ids))
     for i in range(len(ids)):
-        near = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 3)
+        bits, segments = np.bitwise_count(fps ^ fps[i]), (rings != rings[i]).sum(axis=1)
+        near = np.flatnonzero((bits <= 3) | ((bits <= 12) & (segments <= 5)))
         group[np.isin(group, group[near])] = group[near].min()
     return {i for n, i in enumerate(ids) if group[n] == n}
 
