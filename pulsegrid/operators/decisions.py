@@ -109,15 +109,23 @@ def outcome_of(code: Column) -> Column:
     return chain.otherwise(F.lit(V.OUTCOME_FAILED))
 
 
-def verify(actions: DataFrame, firing: DataFrame, delay: int = V.VERIFY_DELAY, width: int = blocks.DEFAULT_WIDTH) -> DataFrame:
+def verify(
+    actions: DataFrame, firing: DataFrame, delay: int = V.VERIFY_DELAY, width: int = blocks.DEFAULT_WIDTH,
+    acted: Column | None = None, readable: Column | None = None,
+) -> DataFrame:
     """State of the alert ``delay`` seconds after each action: persistant when a firing interval covers that time.
 
-    Actions: alertname, node, t, ... Firing: alertname, node, start, end. The engine alert has no node.
+    Actions: alertname, node, t, ... Firing: alertname, node, start, end. The engine alert has no node. ``acted``
+    tells which actions were executed or simulated (the others are not verified), ``readable`` where the alerts could
+    be read at that time (false or null: inconnu).
     """
+    known = F.lit(True) if readable is None else F.coalesce(readable, F.lit(False))
+    actions = (actions if acted is None else actions.where(acted)).withColumn("__known", known)
     blank = lambda df: df.withColumn("__n", F.when(F.col("alertname") == "MoteurAIOpsArrete", "").otherwise(F.col("node")))
     due = blank(actions).withColumn("verify_at", F.col("t") + delay)
     done = detect.covered_by(due, blank(firing), ["alertname", "__n"], "start", "end", "verify_at", width)
-    return done.withColumn("verification", F.when(F.col("covered"), "persistant").otherwise("resolu")).drop("covered", "__n")
+    verdict = F.when(~F.col("__known"), "inconnu").when(F.col("covered"), "persistant").otherwise("resolu")
+    return done.withColumn("verification", verdict).drop("covered", "__n", "__known")
 
 
 def failure_runs(outcomes: DataFrame, keys: list[str], order: list[str], failed: Column, width: int = blocks.DEFAULT_WIDTH) -> DataFrame:

@@ -152,6 +152,17 @@ def test_verification(spark):
     assert got == {("RamElevee", "a"): "persistant", ("RamElevee", "b"): "resolu", ("MoteurAIOpsArrete", "m"): "persistant"}
 
 
+def test_only_actions_are_verified_and_unread_alerts_are_unknown(spark):
+    acts = spark.createDataFrame(
+        [("a", 0, "executee", True), ("b", 0, "simulee", True), ("c", 0, "pause", True), ("d", 0, "executee", False), ("e", 0, "executee", None)],
+        "node string, t long, decision string, read boolean",
+    ).withColumn("alertname", F.lit("RamElevee"))
+    fire = spark.createDataFrame([("RamElevee", n, 0, 400) for n in "acd"], "alertname string, node string, start long, end long")
+    done = decisions.verify(acts, fire, acted=F.col("decision").isin("executee", "simulee"), readable=F.col("read"))
+    assert {r.node: r.verification for r in done.collect()} == {"a": "persistant", "b": "resolu", "d": "inconnu", "e": "inconnu"}
+    assert "__known" not in done.columns
+
+
 def test_maintenance_is_three_valued(spark):
     cols = [decisions.pre_guard(F.lit("x"), decisions.in_maintenance(F.lit(a), F.lit(b), F.lit(c))) for a, b, c in ((True, None, True), (False, None, True), (None, None, False))]
     assert tuple(spark.range(1).select(*[c.alias(str(i)) for i, c in enumerate(cols)]).first()) == ("maintenance", None, "contexte_indisponible")
