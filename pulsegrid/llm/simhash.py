@@ -9,7 +9,7 @@ candidates, the rest of the chain prunes them, and the full Hamming distance dec
 
 Equal fingerprints are one node, so copies never multiply. Inside a bucket links are joined into trees before they
 leave the task: components lose nothing and output stays linear. Buckets hold different fingerprints that agree in 32
-bits; they are compared in numpy blocks, never as emitted pairs. ``similar_components`` holds larger distances.
+bits; they are compared in numpy blocks, never as emitted pairs. ``similar_components`` compares the shingles themselves.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero and links like any other; a text
 shorter than a shingle is one shingle. Rows that repeat a ``doc_id`` get the same row each. A null ``doc_id`` never
@@ -18,6 +18,7 @@ names a component, which is null only if no member has an id.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,8 +32,10 @@ from pulsegrid.llm.components import components
 
 SEGMENTS, WIDTH = 8, 8
 SEED = 42
-#: Similar texts: bits in which fingerprints may differ (64 - 12 of 64 agree: 0.81), the sampled ring and its budget.
-FAR, RING, BUDGET = 12, 16, 5
+#: Similar texts: segments of the sampled ring, and how many agree at least in a candidate.
+RING, AGREE = 16, 6
+#: Bytes of a bucket's shingle sets that a task keeps in memory.
+HELD = 64_000_000
 _ODDS = np.random.default_rng(SEED).integers(1, 1 << 63, RING, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XORS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, RING, dtype=np.uint64)
 RINGS = ["r0", "r1", "r2", "r3"]
@@ -134,23 +137,19 @@ def bucket_links(ids: np.ndarray, close: Callable[[np.ndarray, np.ndarray], np.n
     return a, b
 
 
-def _linked(rows: DataFrame, columns: list[str], closeness: Callable[[int, list[np.ndarray]], Callable]) -> DataFrame:
-    """Links (a, b) inside the buckets of (key, *columns, id) rows of longs.
-
-    ``closeness`` gives the link test of a bucket from its key and columns.
-    """
-    names = ["key", *columns, "id"]
+def _bucketed(rows: DataFrame, columns: list[str], each: Callable[[int, list[np.ndarray]], list], out: list[str]) -> DataFrame:
+    """The longs ``out`` that ``each`` makes of every bucket of two rows and more, from its key and its columns of longs."""
+    names = ["key", *columns]
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, ids, a, b = held[0], held[-1], [], []
+        keys, made = held[0], [[np.zeros(0, dtype=np.int64)] for _ in out]
         cuts = np.flatnonzero(np.diff(keys)) + 1
         begins, ends = np.r_[0, cuts], np.r_[cuts, len(keys)]
         for at in np.flatnonzero(ends - begins > 1).tolist():
             s, e = begins[at], ends[at]
-            x, y = bucket_links(ids[s:e], closeness(int(keys[s]), [c[s:e].view(np.uint64) for c in held[1:-1]]))
-            a += x
-            b += y
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            for column, part in zip(made, each(int(keys[s]), [c[s:e] for c in held[1:]])):
+                column.append(np.asarray(part, dtype=np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in made], names=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # rows of the last key, which may go on in the next batch
@@ -167,7 +166,7 @@ def _linked(rows: DataFrame, columns: list[str], closeness: Callable[[int, list[
         if held:
             yield flush(held)
 
-    return rows.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return rows.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{c} long" for c in out))
 
 
 def fingerprint_links(fps: DataFrame, distance: int = 3) -> DataFrame:
@@ -175,74 +174,175 @@ def fingerprint_links(fps: DataFrame, distance: int = 3) -> DataFrame:
     if not 0 <= distance <= 3:
         raise ValueError("the chains of this layout hold distances up to 3")
 
-    def closeness(key: int, columns: list[np.ndarray]) -> Callable:
-        fp, start = columns[0], (key >> 40) // 3
-        return lambda i, j: close_pairs(fp[i], fp[j], start, distance)
+    def each(key: int, columns: list[np.ndarray]) -> list:
+        fp, start = columns[0].view(np.uint64), (key >> 40) // 3
+        return list(bucket_links(columns[1], lambda i, j: close_pairs(fp[i], fp[j], start, distance)))
 
-    return _linked(_chains(fps), ["fp"], closeness)
+    return _bucketed(_chains(fps), ["fp", "id"], each, ["a", "b"])
 
 
-def ring_close(fps: np.ndarray, rings: np.ndarray, start: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Boolean matrix: sampled rings whose chain from ``start`` stays within its budgets, then the full Hamming check."""
-    spent = np.zeros((len(i), len(j)), dtype=np.uint8)
-    ok = np.ones(spent.shape, dtype=bool)
-    for chain in range(1, RING + 1):
-        at = (start + chain - 1) % RING
-        spent += rings[i, at][:, None] != rings[j, at][None, :]
-        ok &= spent <= chain * BUDGET // RING
-        if not ok.any():
-            return ok
-    return ok & (np.bitwise_count(fps[i][:, None] ^ fps[j][None, :]) <= FAR)
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Different shingle hashes of a text, ascending."""
+    parts = list(shingle_hashes(text, words))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype="<u8")
+
 
+def ring_of(hashes: np.ndarray) -> np.ndarray:
+    """Sixteen segments of sixteen bits, each of the smallest hash under its own permutation; zeros without shingles."""
+    if not len(hashes):
+        return np.zeros(RING, dtype="<u2")
+    return np.array([((hashes ^ x) * odd).min() for x, odd in zip(_XORS, _ODDS)], dtype=np.uint64).astype("<u2")
 
-def ring_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) among (fp, r0..r3, id) rows, as trees inside each bucket of three equal segments."""
 
-    def segment(i: int):
-        return F.shiftrightunsigned(RINGS[i % RING // 4], 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF))
+def ring_plausible(rings: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Boolean matrix: sizes that allow a similarity of 0.8, and ``AGREE`` equal segments or more."""
+    same = np.zeros((len(i), len(j)), dtype=np.uint8)
+    for at in range(RING):
+        same += rings[i, at][:, None] == rings[j, at][None, :]
+    a, b = n[i][:, None], n[j][None, :]
+    return (same >= AGREE) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b))
 
-    def key(start: int):
-        first, second, third = (segment(start + k) for k in range(3))
-        return first.bitwiseOR(F.shiftleft(second, 16)).bitwiseOR(F.shiftleft(third, 32)).bitwiseOR(F.lit(start << 48))
 
-    def closeness(key: int, columns: list[np.ndarray]) -> Callable:
-        fp, rings = columns[0], np.stack(columns[1:], axis=1).view("<u2")
-        return lambda i, j: ring_close(fp, rings, key >> 48, i, j)
+def with_partner(rings: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which members of a bucket have a plausible partner in it; members that have one aren't compared any more."""
+    got = np.zeros(len(n), dtype=bool)
+    step = max(1, min(1024, 4_000_000 // max(1, len(n))))
+    for at in range(0, len(n), step):
+        left, others = np.flatnonzero(~got), np.arange(at, min(len(n), at + step))
+        got[left] = (ring_plausible(rings, n, left, others) & (left[:, None] != others[None, :])).any(axis=1)
+    return got
+
+
+def exact_close(flat: np.ndarray, ends: np.ndarray, rings: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Link test of a bucket: Jaccard similarity of 0.8 or more, in whole numbers; ``flat`` holds the members' shingle sets.
+
+    A column that one row has linked is not compared with the following rows.
+    """
+    begins = np.r_[0, ends[:-1]]
+    n = ends - begins
+
+    def close(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        maybe = ring_plausible(rings, n, i, j)
+        out, open_ = np.zeros(maybe.shape, dtype=bool), np.ones(len(j), dtype=bool)
+        for row, one in enumerate(i.tolist()):
+            columns = np.flatnonzero(maybe[row] & open_)
+            own = np.asarray(flat[begins[one] : ends[one]])
+            step = max(1, 2_000_000 // max(1, 2 * len(own)))
+            for at in range(0, len(columns), step):
+                some = columns[at : at + step]
+                if not len(own):
+                    out[row, some] = True  # plausible: no shingles either
+                    continue
+                others = np.concatenate([flat[begins[k] : ends[k]] for k in j[some].tolist()])
+                found = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+                shared = np.add.reduceat(found, np.r_[0, np.cumsum(n[j[some]])[:-1]], dtype=np.int64)
+                out[row, some] = 9 * shared >= 4 * (len(own) + n[j[some]])
+            open_ &= ~out[row]
+        return out
+
+    return close
+
+
+def _segment(i: int):
+    return F.shiftrightunsigned(RINGS[i % RING // 4], 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF))
+
+
+def ring_buckets(nodes: DataFrame) -> DataFrame:
+    """(key, id, s1, s2) of the (s1, s2, n, r0..r3, id) rows that have a plausible partner under a key of two neighbouring segments.
+
+    Of keys with the same members one stays.
+    """
+    keys = F.array(*[_segment(k).bitwiseOR(F.shiftleft(_segment(k + 1), 16)).bitwiseOR(F.lit(k << 48)) for k in range(RING)])
+
+    def each(key: int, columns: list[np.ndarray]) -> list[np.ndarray]:
+        n, *ring, s1, s2, ids = columns
+        rings = np.ascontiguousarray(np.stack(ring, axis=1)).view("<u2")
+        got = with_partner(rings, n)
+        return [np.full(int(got.sum()), key), ids[got], s1[got], s2[got]]
 
-    keys = F.array(*[key(start) for start in range(RING)])
-    return _linked(nodes.select(F.explode(keys).alias("key"), "fp", *RINGS, "id"), ["fp", *RINGS], closeness)
+    names = ["n", *RINGS, "s1", "s2", "id"]
+    members = stored(_bucketed(nodes.select(F.explode(keys).alias("key"), *names), names, each, ["key", "id", "s1", "s2"]), "ring-members")
+    sums = members.groupBy("key").agg(F.bit_xor("s1").alias("x1"), F.bit_xor("s2").alias("x2"), F.count("*").alias("size"))
+    return stored(members.join(sums.groupBy("x1", "x2", "size").agg(F.min("key").alias("key")).select("key"), "key"), "ring-buckets")
+
+
+def verified_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of similarity 0.8 or more among (key, id, r0..r3, shingles) rows, as trees inside each bucket.
+
+    A bucket's shingle sets beyond ``HELD`` bytes lie in a file of the task, which goes with it.
+    """
+
+    def links(ids: list[int], rings: list[tuple], ends: list[int], file) -> pa.RecordBatch:
+        a: list[int] = []
+        b: list[int] = []
+        if len(ids) > 1:
+            file.flush()
+            if not ends[-1]:
+                flat = np.zeros(0, dtype="<u8")
+            elif file._rolled:
+                flat = np.memmap(file._file, dtype="<u8", mode="r")
+            else:
+                flat = np.frombuffer(file._file.getvalue(), dtype="<u8")
+            of = np.array(rings, dtype=np.int64).reshape(-1, RING // 4).view("<u2")
+            a, b = bucket_links(np.array(ids, dtype=np.int64), exact_close(flat, np.array(ends, dtype=np.int64), of))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tempfile import SpooledTemporaryFile
+
+        now, ids, rings, ends, file = None, [], [], [], SpooledTemporaryFile(HELD)
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "id", *RINGS)]
+            for row, (key, i, *ring) in enumerate(zip(*columns)):
+                if key != now:
+                    if len(ids) > 1:
+                        yield links(ids, rings, ends, file)
+                    file.close()
+                    now, ids, rings, ends, file = key, [], [], [], SpooledTemporaryFile(HELD)
+                body = batch.column("shingles")[row].as_buffer()
+                file.write(body)
+                ids.append(i)
+                rings.append(tuple(ring))
+                ends.append((ends[-1] if ends else 0) + body.size // 8)
+        if len(ids) > 1:
+            yield links(ids, rings, ends, file)
+        file.close()
+
+    return rows.select("key", "id", *RINGS, "shingles").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, words: int = 5, text: str = "text") -> DataFrame:
-    """doc_id, component_id of every row: groups of texts whose fingerprints are 0.8 or more alike.
-
-    Texts that share 0.8 of their shingles differ in about ten bits of 64, which the differences' spread over all
-    segments makes too many for chains of bits. So a second ring has sixteen segments, each sixteen bits of the hash of
-    one sampled shingle (the smallest under its own permutation): differences fall into whole segments, each equal
-    with the shingles' Jaccard similarity. Of at most five unequal segments, some start has every chain of length l
-    within ``floor(5 l / 16)``, hence three equal segments in a row, which are the key. The chain prunes, and the full
-    Hamming distance (at most 12) decides. All pairs of at most 3 bits link as well, whatever their ring.
+    """doc_id, component_id of every row: groups of texts linked by a Jaccard similarity of their shingles of 0.8 or more.
+
+    Texts that share 0.8 of their shingles differ in about ten bits of 64, too many for chains of bits. Candidates
+    therefore come from a ring of sixteen segments, each sixteen bits of the hash of one sampled shingle (the smallest
+    under its own permutation): segments agree as often as the Jaccard similarity says. Two neighbouring equal segments
+    are the key, at least ``AGREE`` equal segments and sizes within 0.8 make a candidate; a pair of similarity 0.8 is none in
+    5 of 100,000 cases. Then the shingle sets themselves decide, inside the buckets, so that links stay trees. Texts of
+    equal sets are one node.
     """
 
-    def make():
-        def work(texts: list[bytes]) -> list[np.ndarray]:
-            made = [sketch(x, words) for x in texts]
-            rings = np.array([r for _, r in made], dtype="<u2").reshape(-1, RING).view("<i8")
-            return [np.array([f for f, _ in made], dtype=np.uint64).view(np.int64), *np.ascontiguousarray(rings.T)]
+    def make(shingles: bool) -> Callable:
+        def work(texts: list[bytes]) -> list:
+            sets = [shingle_set(x, words) for x in texts]
+            sums = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype="<i8") for s in sets]).reshape(-1, 2)
+            rings = np.array([ring_of(s) for s in sets], dtype="<u2").reshape(-1, RING).view("<i8")
+            out = [*np.ascontiguousarray(sums.T), *np.ascontiguousarray(rings.T)]
+            return [*out, [s.tobytes() for s in sets]] if shingles else [*out, np.array([len(s) for s in sets], dtype=np.int64)]
 
         return work
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    columns = ["fp", *RINGS]
-    own = stored(with_columns(source, make, [T.StructField(c, T.LongType()) for c in columns], keep=["doc_id"]), "sketches")
-    nodes = stored(own.groupBy(*columns).agg(F.min("doc_id").alias("id")), "sketch-nodes")
-    named = nodes.where("id is not null")
-    firsts = stored(named.groupBy("fp").agg(F.min("id").alias("first")), "sketch-fingerprints")
-    equal = named.join(firsts, "fp").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    links = equal.unionByName(fingerprint_links(firsts.select("fp", F.col("first").alias("id")))).unionByName(ring_links(named))
-    found = components(stored(links.distinct(), "sketch-links"))
-    of = stored(nodes.join(found, "id", "left").select(*columns, F.coalesce("component", "id").alias("component_id")), "sketch-components")
-    return own.join(of, columns).select("doc_id", "component_id")
+    fields = [T.StructField(c, T.LongType()) for c in ("s1", "s2", *RINGS)]
+    own = stored(with_columns(source, lambda: make(False), [*fields, T.StructField("n", T.LongType())], keep=["doc_id"]), "sketches")
+    nodes = stored(own.groupBy("s1", "s2", "n", *RINGS).agg(F.min("doc_id").alias("id")), "sketch-nodes")
+    buckets = ring_buckets(nodes.where("id is not null"))
+    wanted = stored(buckets.select("id").distinct(), "sketch-wanted")
+    texts = source.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
+    sets = stored(with_columns(texts, lambda: make(True), [*fields, T.StructField("shingles", T.BinaryType())], keep=["doc_id"]).withColumnRenamed("doc_id", "id"), "shingles")
+    links = stored(verified_links(buckets.join(sets, ["id", "s1", "s2"])).distinct(), "sketch-links")
+    of = nodes.join(components(links), "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
+    return own.join(stored(of, "sketch-components"), ["s1", "s2"]).select("doc_id", "component_id")
 
 
 def near_components(docs: DataFrame, words: int = 3, distance: int = 3, text: str = "text") -> DataFrame:

@@ -150,6 +150,40 @@ def test_similar_texts_find_each_other(spark):
     assert simhash.similar_components(empty(spark)).count() == 0
 
 
+def test_similar_groups_are_those_of_exact_jaccard(spark):
+    """Similarities around 0.8, long shared passages and chains: groups are those of all pairs compared by their shingles."""
+    rng = np.random.default_rng(11)
+    passage = [f"p{x}" for x in range(150)]
+    texts = {}
+    for i in range(80):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)] + passage * (i % 2)
+        texts[i] = " ".join(words)
+        for k in range(1, 6):
+            changed = list(words)
+            for at in rng.choice(len(words), 2 * k + int(rng.integers(0, 4)), replace=False):
+                changed[at] = f"x{rng.integers(0, 10**6)}"
+            texts[1000 * k + i] = " ".join(changed)
+    sets = {i: {tuple(p[k : k + 5]) for k in range(len(p) - 4)} for i, p in ((i, t.split()) for i, t in texts.items())}
+    group = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sets:
+            if j < i and 9 * (n := len(sets[i] & sets[j])) >= 4 * (len(sets[i]) + len(sets[j])) and n:
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(5)
+    assert 80 < len(set(group.values())) < 400
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs).collect()} == group
+
+
+def test_verified_links_of_sets_on_disk(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HELD", 1000)
+    sets = [np.arange(k, k + 300, dtype="<u8") for k in range(0, 300, 20)] + [np.arange(5000, 5300, dtype="<u8")]
+    made = [(7, i, 1, 1, 1, 1, s.tobytes()) for i, s in enumerate(sets)]
+    schema = "key long, id long, r0 long, r1 long, r2 long, r3 long, shingles binary"
+    got = {r["id"]: r["component"] for r in components(simhash.verified_links(spark.createDataFrame(made, schema))).collect()}
+    assert got == {i: 0 for i in range(15)}
+
+
 def test_bucket_trees_reach_all_that_links_reach():
     rng = np.random.default_rng(9)
     at = np.sort(rng.integers(0, 4000, 700))
