@@ -36,6 +36,8 @@ DEGREE, POOL, FAR, ALPHA, BEAM = 24, 64, 8, 1.2, 16
 AUDIT = 200
 LEAST_RECALL = 0.97
 BLOCK = 256
+#: Pairs that a task verifies at once.
+PAIRS = 20_000
 #: The range search also walks through nodes that miss the range by so much.
 SLACK = 0.04
 
@@ -241,24 +243,25 @@ def shard_search(threshold: float):
                 i = root[i]
             return i
 
-        found: list[np.ndarray] = []
-        for a, b in range_search(single, links, np.arange(len(reps)), threshold - 1e-4):
+        squares, g = (raw**2).sum(axis=1), len(reps)
+        met = np.zeros(g * g // 8 + 1, dtype=np.uint8)  # a bit for each pair: found from either side, it counts once
+        for a, b in range_search(single, links, np.arange(g), threshold - 1e-4):
             keep = a != b
-            found.append(np.unique(np.minimum(a, b)[keep] * len(reps) + np.maximum(a, b)[keep]))
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
-        lows, highs = pairs // max(1, len(reps)), pairs % max(1, len(reps))
-        exact = np.einsum("ij,ij->i", raw[lows], raw[highs]) / np.sqrt((raw**2).sum(axis=1)[lows] * (raw**2).sum(axis=1)[highs]) >= threshold
-        lows, highs = lows[exact], highs[exact]
-        for at in range(0, len(lows), 100_000):
-            i, j = lows[at : at + 100_000], highs[at : at + 100_000]
-            common = (of_shards[i][:, :, None] == of_shards[j][:, None, :]).any(axis=2)
-            own = of_shards[i, common.argmax(axis=1)] == here  # the first shard that both are in
-            np.add.at(counts, i[own], n[j[own]])
-            np.add.at(counts, j[own], n[i[own]])
-        for i, j in zip(lows.tolist(), highs.tolist()):
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
+            pairs = np.unique(np.minimum(a, b)[keep] * g + np.maximum(a, b)[keep])
+            pairs = pairs[met[pairs >> 3] >> (pairs & 7).astype(np.uint8) & 1 == 0]
+            np.bitwise_or.at(met, pairs >> 3, np.uint8(1) << (pairs & 7).astype(np.uint8))
+            for at in range(0, len(pairs), PAIRS):
+                lows, highs = pairs[at : at + PAIRS] // g, pairs[at : at + PAIRS] % g
+                exact = np.einsum("ij,ij->i", raw[lows], raw[highs]) / np.sqrt(squares[lows] * squares[highs]) >= threshold
+                lows, highs = lows[exact], highs[exact]
+                common = (of_shards[lows][:, :, None] == of_shards[highs][:, None, :]).any(axis=2)
+                own = of_shards[lows, common.argmax(axis=1)] == here  # the first shard that both are in
+                np.add.at(counts, lows[own], n[highs[own]])
+                np.add.at(counts, highs[own], n[lows[own]])
+                for i, j in zip(lows.tolist(), highs.tolist()):
+                    a_, b_ = find(i), find(j)
+                    if a_ != b_:
+                        root[max(a_, b_)] = min(a_, b_)
         linked = [i for i in range(len(reps)) if counts[i] or find(i) != i]
         return pa.table({"rep": pa.array(reps[linked]), "links": pa.array(counts[linked]), "other": pa.array([int(reps[find(i)]) for i in linked], pa.int64())})
 

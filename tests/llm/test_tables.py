@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from pulsegrid.llm import licences
+from pulsegrid.llm import near_vectors as near_vectors_module
 from pulsegrid.llm.mixing import mix, mixed_documents
 from pulsegrid.llm.near_vectors import near_vectors
 from tests.llm.helpers import documents, empty, rows
@@ -115,3 +116,25 @@ def test_licence_rows_of_odd_tables(spark):
     out = licences.licence_rows(documents(spark))
     assert out.count() == 17 and {r["basis"] for r in out.collect()} == {"none"}
     assert licences.licence_rows(empty(spark)).count() == 0
+
+
+def tight_shard(n):
+    """One shard whose members all link, as shard_search takes it."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=64) + 0.01 * rng.normal(size=(n, 64))
+    near = [sorted({(i + k) % n for k in (1, 2, 5, 11, n - 1)}) for i in range(n)]
+    return pa.table({"rep": list(range(n)), "shard": pa.array([0] * n, pa.int32()), "n": [1] * n, "embedding": x.tolist(), "shards": pa.array([[0]] * n, pa.list_(pa.int32())), "near": near})
+
+
+def test_a_tight_shard_needs_no_memory_for_its_pairs():
+    import tracemalloc
+
+    group = tight_shard(1200)
+    tracemalloc.start()
+    out = near_vectors_module.shard_search(0.93)(group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(out.column("links").to_pylist()) == {1199} and set(out.column("other").to_pylist()) == {0}
+    assert peak < 200_000_000  # all pairs at once: 720,000 pairs of 1 KB
