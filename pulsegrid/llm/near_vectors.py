@@ -8,8 +8,8 @@
    expands through all of them (range search), and the hits are verified by cosine in double precision.
 5. A pair belongs to the first shard that both members share and counts only there. Tasks send counts and the trees of
    their links, never all pairs of a group; components join the trees.
-6. Recall is audited: a bounded query set is compared with all rows of its label. Below ``LEAST_RECALL`` shards overlap
-   more and the search is repeated.
+6. Recall is audited after every search: a bounded query set, random and among linked classes, is compared with all rows
+   of its label. Labels below ``LEAST_RECALL`` are searched again with more overlap, and compared whole if ``MOST`` doesn't do.
 
 A label's shards grow in number with its classes; centroids are fitted on at most ``SAMPLE`` vectors. Defined cases:
 vectors that are null, zero or hold null or non-finite components, and rows with a null label, link with nothing and stay
@@ -32,6 +32,8 @@ THRESHOLD = 0.93
 SHARD = 700
 SAMPLE = 20_000
 OVERLAP = 3
+#: From this overlap on, labels that fail the audit are compared whole.
+MOST = 24
 DEGREE, POOL, FAR, ALPHA, BEAM = 24, 64, 8, 1.2, 16
 AUDIT = 200
 LEAST_RECALL = 0.97
@@ -276,11 +278,18 @@ def searched(classes: DataFrame, threshold: float, overlap: int, sample: int, sh
     return stored(rows.join(united, "rep").groupBy("label", "shard").applyInArrow(shard_search(threshold), "rep long, links long, other long"), "vector-links")
 
 
-def audit_recall(classes: DataFrame, found: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Share of the true links of a bounded query set (by hash) that were found, by comparing it with all rows."""
-    asked = classes.select("rep", "label", "embedding").orderBy(F.xxhash64(F.lit(7), "rep"), "rep").limit(queries).collect()
+def failing_labels(classes: DataFrame, found: DataFrame, threshold: float, least: float, queries: int = AUDIT) -> list[int]:
+    """Labels in which less than ``least`` of the true links of a bounded query set were found, by comparing it with all rows.
+
+    Half of the set is drawn by hash among all classes, half among those with links to others.
+    """
+    order = [F.xxhash64(F.lit(7), "rep"), F.col("rep")]
+    counted = found.groupBy("rep").agg(F.sum("links").alias("found"))
+    picked = classes.select("rep", "label", "embedding")
+    linked = picked.join(counted.where("found > 0"), "rep", "left_semi")
+    asked = list({r["rep"]: r for part in (picked, linked) for r in part.orderBy(*order).limit(queries).collect()}.values())
     if not asked:
-        return 1.0
+        return []
     ids, labels = np.array([r["rep"] for r in asked]), np.array([r["label"] for r in asked])
     vectors = [np.array(r["embedding"], dtype=np.float64) for r in asked]
 
@@ -296,8 +305,49 @@ def audit_recall(classes: DataFrame, found: DataFrame, threshold: float, queries
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["rep", "true"])
 
     true = classes.select("rep", "label", "n", "embedding").mapInArrow(run, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
-    both = true.join(found.groupBy("rep").agg(F.sum("links").alias("found")), "rep", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("found", F.lit(0)))).alias("f")).first()
-    return (both["f"] or 0) / both["t"] if both["t"] else 1.0
+    both, of = true.join(counted, "rep", "left").collect(), dict(zip(ids.tolist(), labels.tolist()))
+    sums: dict[int, list[int]] = {}
+    for r in both:
+        held = sums.setdefault(of[r["rep"]], [0, 0])
+        held[0] += r["true"]
+        held[1] += min(r["true"], r["found"] or 0)
+    return sorted(label for label, (t, f) in sums.items() if f < least * t)
+
+
+def tile_links(threshold: float):
+    """All pairs of two blocks (``i`` <= ``j``), or of one: (rep, links, other) rows."""
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        group = group.sort_by("rep")
+        reps, n, block = (np.array(group.column(c).to_pylist(), dtype=np.int64) for c in ("rep", "n", "block"))
+        x = unit(_matrix(group.column("embedding")))
+        counts, root = np.zeros(len(reps), dtype=np.int64), np.arange(len(reps))
+        first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for at in range(0, len(first), BLOCK):
+            own = first[at : at + BLOCK]
+            hit = (x[own] @ x[second].T >= threshold) & (own[:, None] != second[None, :])
+            counts[own] += hit @ n[second]
+            if i != j:
+                counts[second] += n[own] @ hit
+            for row, a in enumerate(own.tolist()):
+                if hit[row].any():
+                    joined = np.unique(root[np.append(second[hit[row]], a)])
+                    root[np.isin(root, joined)] = joined[0]
+        linked = np.flatnonzero(counts)
+        return pa.table({"rep": pa.array(reps[linked]), "links": pa.array(counts[linked]), "other": pa.array(reps[root[linked]])})
+
+    return run
+
+
+def compared(classes: DataFrame, threshold: float, block: int = 2000) -> DataFrame:
+    """(rep, links, other) of all pairs of a label, as tiles of two blocks of about ``block`` classes."""
+    sizes = classes.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = classes.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tiles = own.select("label", "rep", "n", "embedding", "block", other.alias("k"))
+    tiles = tiles.select("label", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "rep", "n", "embedding", "block")
+    return stored(tiles.groupBy("label", "i", "j").applyInArrow(tile_links(threshold), "rep long, links long, other long"), "vector-tiles")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, sample: int = SAMPLE, shard: int = SHARD, least_recall: float = LEAST_RECALL) -> DataFrame:
@@ -307,11 +357,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int
     fit = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad
     rows = stored(slim.withColumn("fit", F.coalesce(fit, F.lit(False))), "vectors")
     classes = stored(rows.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
-    while True:
-        found = searched(classes, threshold, overlap, sample, shard)
-        if overlap >= 24 or audit_recall(classes, found, threshold) >= least_recall:
+    found = searched(classes, threshold, overlap, sample, shard)
+    while failing := failing_labels(classes, found, threshold, least_recall):
+        again = F.col("label").isin(failing)
+        rest = classes.where(again)
+        kept = found.join(classes.where(~again).select("rep"), "rep", "left_semi")
+        if overlap >= MOST:
+            found = stored(kept.unionByName(compared(rest, threshold)), "vector-links")
             break
         overlap *= 2
+        found = stored(kept.unionByName(searched(rest, threshold, overlap, sample, shard)), "vector-links")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     of = classes.join(counted, "rep", "left").join(joined, F.col("rep") == F.col("id"), "left")

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import licences
 from pulsegrid.llm import near_vectors as near_vectors_module
@@ -138,3 +139,19 @@ def test_a_tight_shard_needs_no_memory_for_its_pairs():
     tracemalloc.stop()
     assert set(out.column("links").to_pylist()) == {1199} and set(out.column("other").to_pylist()) == {0}
     assert peak < 200_000_000  # all pairs at once: 720,000 pairs of 1 KB
+
+
+def test_labels_that_fail_the_audit_are_compared_whole(spark):
+    """A tight group cut into many shards of few vectors: no allowed overlap finds its pairs."""
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=16) + 0.05 * rng.normal(size=(400, 16)), rng.normal(size=(100, 16))])
+    df = spark.createDataFrame([(i, v, i % 5 == 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label boolean").withColumn("label", F.col("label").cast("int"))
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(df, overlap=24, shard=4).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    one = np.arange(500) % 5 == 0
+    near = (x @ x.T >= 0.93) & (one[:, None] == one[None, :])
+    found = np.array([got[i] for i in range(500)])
+    assert (found <= near.sum(axis=1) - 1).all() and all(found[k].sum() >= 0.97 * (near.sum(axis=1) - 1)[k].sum() for k in (one, ~one))
+    classes = df.select("label", "embedding", F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("n"))
+    whole = near_vectors_module.compared(classes, 0.93, block=30).groupBy("rep").agg(F.sum("links").alias("n")).collect()
+    assert {r["rep"]: r["n"] for r in whole} == {i: int(k) for i, k in enumerate(near.sum(axis=1) - 1) if k}
