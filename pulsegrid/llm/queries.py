@@ -126,3 +126,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.simhash import near_rows
 
     return near_rows(documents(spark, sf_dir))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.periodic_runs import run_rows
+
+    return run_rows(documents(spark, sf_dir))
+
+
+@query("op12_secret_scan")
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.secrets import secret_rows
+
+    return secret_rows(documents(spark, sf_dir))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pulsegrid.llm.byte_bpe import tokenizer_json
+    from pulsegrid.llm.token_alignment import alignment_rows
+
+    with open(tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    return alignment_rows(documents(spark, sf_dir), tokenizer_json(tokenizer_file("byte_bpe_50k.json")), public_tokenizers.PATTERN, model)
