@@ -1,9 +1,9 @@
 """Linear-chain conditional random fields with two labels, vectorised over all sequences of a batch.
 
 Scores: an item's label 1 gets the sum of its features' weights, a pair of neighbours the transition weight of their
-labels, a first item the start weight of its label. Forward and backward passes are products of 2 x 2 matrices. A first
-item's matrix has equal rows, so a product forgets everything before it: all sequences of a batch form one chain,
-which is scanned in blocks (each step handles every block at once), whatever the lengths of the sequences.
+labels, a first item the start weight of its label. Forward and backward passes are products of 2 x 2 matrices, scanned in
+blocks: each step handles one place of every block of every sequence at once. Blocks belong to one sequence and all sums
+run item by item, so a sequence's values are the same bits whatever shares its batch.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-BLOCK = 48
+BLOCK = 16
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -21,36 +21,40 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out / out.max(axis=0)
 
 
-def _scan(m: np.ndarray) -> np.ndarray:
-    """(2, n): the row vector (1/2, 1/2) times the first, the first two, ... matrices of (4, n), scaled to sum 1."""
+def _scan(m: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(2, n): for each item the row vector (1/2, 1/2) times the matrices (4, n) from its sequence's first one to its own,
+    scaled to sum 1. ``first`` marks where sequences begin.
+
+    Every sequence fills rows of ``BLOCK`` matrices of its own, so its results don't depend on the others.
+    """
     n = m.shape[1]
-    if n <= BLOCK:
-        out = np.empty((2, n))
-        x, y = 0.5, 0.5
-        for i, (a, b, c, d) in enumerate(m.T.tolist()):
-            x, y = x * a + y * c, x * b + y * d
-            s = x + y
-            x, y = x / s, y / s
-            out[0, i], out[1, i] = x, y
-        return out
-    rows = -(-n // BLOCK)
-    padded = np.zeros((4, rows * BLOCK))
-    padded[:, :n] = m
-    padded[0, n:] = padded[3, n:] = 1.0
-    steps = np.ascontiguousarray(padded.reshape(4, rows, BLOCK).transpose(2, 0, 1))
-    whole = steps[0] / steps[0].max(axis=0)
-    for step in steps[1:]:
-        whole = _product(whole, step)
-    start = np.full((2, rows), 0.5)
-    start[:, 1:] = _scan(whole)[:, :-1]
-    out = np.empty((BLOCK, 2, rows))
+    begins = np.flatnonzero(first)
+    lengths = np.diff(np.append(begins, n))
+    rows = -(-lengths // BLOCK)
+    row_begins = np.cumsum(rows) - rows
+    place = np.arange(n) + np.repeat(row_begins * BLOCK - begins, lengths)
+    total = int(rows.sum())
+    padded = np.zeros((4, total * BLOCK))
+    padded[0] = padded[3] = 1.0
+    padded[:, place] = m
+    steps = np.ascontiguousarray(padded.reshape(4, total, BLOCK).transpose(2, 0, 1))
+    start = np.full((2, total), 0.5)
+    if total > len(begins):
+        whole = steps[0] / steps[0].max(axis=0)
+        for step in steps[1:]:
+            whole = _product(whole, step)
+        row_first = np.zeros(total, dtype=bool)
+        row_first[row_begins] = True
+        before = _scan(whole, row_first)
+        start[:, 1:] = np.where(row_first[1:], 0.5, before[:, :-1])
+    out = np.empty((BLOCK, 2, total))
     x, y = start
     for i, step in enumerate(steps):
         x, y = x * step[0] + y * step[2], x * step[1] + y * step[3]
         s = x + y
         x, y = x / s, y / s
         out[i, 0], out[i, 1] = x, y
-    return out.transpose(1, 2, 0).reshape(2, -1)[:, :n]
+    return out.transpose(1, 2, 0).reshape(2, -1)[:, place]
 
 
 @dataclass
@@ -67,10 +71,11 @@ class Chain:
         t, s = np.exp(self.transition), np.exp(self.start)
         m = np.stack([np.where(first, s[j], t[i, j]) * (lift if j else 1.0) for i in (0, 1) for j in (0, 1)])
         m /= m.max(axis=0)
-        ahead = _scan(m)
-        back = np.full(ahead.shape, 0.5)
-        if m.shape[1] > 1:
-            back[:, :-1] = _scan(m[[0, 2, 1, 3]][:, :0:-1])[:, ::-1]
+        ahead = _scan(m, first)
+        # backwards each sequence begins with its last item, which nothing follows
+        last = np.append(first[1:], True)
+        behind = np.where(last, np.array([[1.0], [0.0], [0.0], [1.0]]), np.roll(m[[0, 2, 1, 3]], -1, axis=1))
+        back = _scan(np.ascontiguousarray(behind[:, ::-1]), last[::-1])[:, ::-1]
         return ahead, back, m
 
     def marginals(self, score: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -130,4 +135,8 @@ def calibrated(x: np.ndarray, labels: np.ndarray, steps: int = 50) -> np.ndarray
 
 
 def logistic(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ weights, -30, 30)))
+    """Column by column: a matrix product rounds by the number of rows."""
+    total = np.full(len(x), weights[-1])
+    for column, weight in zip(x.T, weights):
+        total = total + np.ascontiguousarray(column) * weight
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))

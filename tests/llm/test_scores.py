@@ -70,7 +70,31 @@ def test_rows_of_odd_tables(spark, module):
     assert module.scored_rows(empty(spark), labels).count() == 0
     none = module.scored_rows(docs, labels.where("false"))
     assert {r["score"] for r in none.collect()} == {1.0 if module is quality else 0.0}
-    assert rows(out, "doc_id", "score") == rows(module.scored_rows(docs.repartition(3), labels), "doc_id", "score")
+    for parts in (1, 3, 50):
+        assert rows(out, "doc_id", "score") == rows(module.scored_rows(docs.repartition(parts), labels), "doc_id", "score")
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_a_score_is_the_same_bits_in_any_batch(module):
+    kind = {quality: quality.QualityModel, toxicity: toxicity.ToxicTagger}[module]
+    label = {quality: "quality", toxicity: "toxic"}[module]
+    found = duckdb.sql(f"select doc_id, text, {label} from '{SF}/documents.parquet' join '{SF}/labels.parquet' using (doc_id) order by 1 limit 900").fetchall()
+    model = kind.fit_rows([(i, t.encode(), y) for i, t, y in found[:500]])
+    texts = [t.encode() for _, t, _ in found[500:]] + [b"", b"x " * 30_000, b"one\n" * 2000]
+    alone = [model.score([t])[0] for t in texts]
+    assert model.score(texts).tolist() == alone and model.score(texts[::-1]).tolist() == alone[::-1]
+    assert np.concatenate([model.score(texts[i : i + 7]) for i in range(0, len(texts), 7)]).tolist() == alone
+
+
+def test_sequences_do_not_touch_each_other():
+    rng = np.random.default_rng(8)
+    c = chain.Chain(np.zeros(1), rng.normal(size=(2, 2)), rng.normal(size=2))
+    lengths = [1, 2, 15, 16, 17, 255, 256, 257, 5000, 3]
+    parts = [rng.normal(size=n) * 3 for n in lengths]
+    alone = [c.marginals(x, np.arange(len(x)) == 0) for x in parts]
+    for order in (range(10), range(9, -1, -1), (4, 8, 0, 6)):
+        first = np.concatenate([np.arange(lengths[i]) == 0 for i in order])
+        assert np.array_equal(c.marginals(np.concatenate([parts[i] for i in order]), first), np.concatenate([alone[i] for i in order]))
 
 
 def test_spans_point_at_the_words():
