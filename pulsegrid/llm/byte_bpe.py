@@ -9,7 +9,8 @@ followed by a non-space first: the pattern never matches across such a place, be
 with what follows. Texts with runs of white space are cut by the pattern alone.
 
 Letters and numbers are those of the ``regex`` library; in scripts that the newest Unicode versions have added (from
-U+10E00 on) libraries class a few characters differently. Defined cases: a null text counts as empty and has no ids; special tokens' strings in a text are ordinary text.
+U+10E00 on) libraries class a few characters differently. Defined cases: a null text counts as empty and has no ids; special
+tokens' strings in a text are ordinary text, unless a codec is asked to take the file's added tokens as the library does.
 """
 
 from __future__ import annotations
@@ -84,7 +85,8 @@ class Codec:
 
     _double_space = re.compile(r" \s")
 
-    def __init__(self, source: str, pattern: str) -> None:
+    def __init__(self, source: str, pattern: str, added: bool = False) -> None:
+        """``added``: the file's added tokens are cut out of a text first, as the library's own ``encode`` does."""
         import regex
         from tokenizers import Tokenizer
 
@@ -101,6 +103,10 @@ class Codec:
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         self.decimal = [str(i) for i in range(self.size)]
+        self.added = {a.content: np.array([i], dtype=self.ids).tobytes() for i, a in t.get_added_tokens_decoder().items()} if added else {}
+        if added and any(a.single_word or a.lstrip or a.rstrip or a.normalized for a in t.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that look at their surroundings aren't supported")
+        self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=lambda x: -len(x))) + ")") if self.added else None
         self.spaced: dict[str, bytes] = {}  # a word after a space: its ids
         self.matches: dict[str, bytes] = {}  # a match of the pattern: its ids
 
@@ -118,6 +124,8 @@ class Codec:
 
     def encode(self, text: bytes) -> np.ndarray:
         body = text.decode()
+        if self.cut and self.cut.search(body):
+            return np.frombuffer(b"".join([self.added[x] if x in self.added else self._part(x) for x in self.cut.split(body)]), dtype=self.ids)
         if self._double_space.search(body):
             return np.frombuffer(self._part(body), dtype=self.ids)
         first, *words = body.split(" ")
@@ -135,8 +143,8 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
 
-def codec(source: str, pattern: str) -> Codec:
-    return memo("codec" + hashlib.sha256((source + pattern).encode()).hexdigest(), lambda: Codec(source, pattern))
+def codec(source: str, pattern: str, added: bool = False) -> Codec:
+    return memo(f"codec{added}" + hashlib.sha256((source + pattern).encode()).hexdigest(), lambda: Codec(source, pattern, added))
 
 
 def encode_decode(docs: DataFrame, source: str, pattern: str, text: str = "text", ids: bool = False) -> DataFrame:

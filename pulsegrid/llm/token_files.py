@@ -6,6 +6,8 @@ eight ids fill ``bits`` bytes, least significant bit first, so id ``i`` starts a
 a block can be unpacked alone. ``first`` counts the ids before the block in its part, and the parts' totals give the
 global place.
 
+Texts are encoded as the library does by default: strings of the file's added tokens become those tokens.
+
 Defined cases: a null or empty text is a document with the end id alone; rows that repeat a ``doc_id`` stay next to
 each other, each with a place of its own; a null ``doc_id`` sorts first. A block closes at ``block_ids`` ids; a longer
 document is a block of its own.
@@ -66,7 +68,7 @@ def write_token_files(docs: DataFrame, path: str, source: str, pattern: str, voc
     bits = bits_for(max(vocabulary, end_id + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(source, pattern)
+        c = codec(source, pattern, added=True)
         part, first = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         doc_ids: list[int | None] = []

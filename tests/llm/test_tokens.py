@@ -32,6 +32,12 @@ def plain():
     return Codec(tokenizer_json(path), P.PATTERN), t
 
 
+@pytest.fixture(scope="module")
+def as_it_comes():
+    path = tokenizer_file("byte_bpe_50k.json")
+    return Codec(tokenizer_json(path), P.PATTERN, added=True), Tokenizer.from_file(path)
+
+
 TEXT = st.text(alphabet=st.one_of(st.sampled_from(" \t\n'sretdlvm0123aAbBeéèñ中ß.,!#"), st.characters(exclude_categories=["Cs"])), max_size=60)
 
 
@@ -81,13 +87,25 @@ def test_packing_round_trip(bits, values, data):
     assert len(packed) == -(-len(ids) // 8) * bits
 
 
-def test_token_files_against_the_library(spark, plain):
-    docs = documents(spark).repartition(5)
-    source = tokenizer_json(tokenizer_file("byte_bpe_50k.json"))
+SPECIAL = "<|endoftext|>"
+
+
+def test_token_files_against_the_library(spark):
+    """The library's tokenizer as it comes: its special token's string in a text is that token."""
+    more = [f"a {SPECIAL} b", SPECIAL, f"{SPECIAL}{SPECIAL}x", f"x{SPECIAL}", f" {SPECIAL}  two\n{SPECIAL}\n", "<|endoftext|", f"<|{SPECIAL}|>", f"{SPECIAL} 's {SPECIAL[:-1]}"]
+    docs = documents(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, x) for i, x in enumerate(more)], "doc_id long, text string")).repartition(5)
+    source, library = tokenizer_json(tokenizer_file("byte_bpe_50k.json")), Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
     want, start = [], 0
     for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
-        ids = plain[1].encode(r["text"] or "", add_special_tokens=False).ids + [2]
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids + [2]
         want.append((r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         start += len(ids)
     assert sorted(rows(token_files.token_file_rows(docs, source, P.PATTERN, 50_257), "doc_id", "start", "n_tokens", "ids_crc32")) == want
     assert token_files.token_file_rows(empty(spark), source, P.PATTERN, 50_257).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(text=st.lists(st.one_of(st.just(SPECIAL), st.sampled_from(["<|", "|>", " ", "  ", "\n", "endoftext"]), TEXT), max_size=6).map("".join))
+def test_added_tokens_are_cut_as_in_the_library(as_it_comes, text):
+    c, t = as_it_comes
+    assert c.encode(text.encode()).tolist() == t.encode(text, add_special_tokens=False).ids
