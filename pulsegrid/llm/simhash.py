@@ -56,19 +56,6 @@ def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
         yield np.array([digest(s, SEED) for s in map(join, runs)], dtype="<u8")
 
 
-def sketch(text: bytes, words: int) -> tuple[int, np.ndarray]:
-    """(fingerprint, ring) of a text; a text without words has zeros."""
-    total, n = np.zeros(64, dtype=np.int64), 0
-    ring = np.full(RING, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for h in shingle_hashes(text, words):
-        n += len(h)
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        for k in range(RING):
-            ring[k] = min(ring[k], ((h ^ _XORS[k]) * _ODDS[k]).min())
-    bits = np.packbits((total * 2 > n).astype(np.uint8), bitorder="little").view("<u8")[0]
-    return int(bits), (ring if n else np.zeros(RING, np.uint64)).astype("<u2")
-
-
 def fingerprint(text: bytes, words: int) -> int:
     """SimHash of a text's shingles of ``words`` words, repeats included."""
     total, n = np.zeros(64, dtype=np.int64), 0

@@ -2,27 +2,34 @@ import hashlib
 import zlib
 from collections import Counter
 
-import numpy as np
-
 import corpus_pipeline
 from pulsegrid.llm.common import stored
 from pulsegrid.llm.line_dedup import digest_rows
 from pulsegrid.llm.mixing import mix
-from pulsegrid.llm.simhash import sketch
 from tests.llm.helpers import documents
 
 SF = "/root/testdata/sf0.01"
 
 
+def shingles(text, words=5):
+    own = text.lower().split()
+    return {tuple(own[i : i + words]) for i in range(max(1, len(own) - words + 1))} if own else set()
+
+
 def smallest_of_groups(texts):
+    """Ids that stay if texts link at a Jaccard similarity of 0.8 of their five-word shingles; all pairs that share one are compared."""
     ids = sorted(texts)
-    made = [sketch(texts[i], 5) for i in ids]
-    fps, rings = np.array([f for f, _ in made], dtype=np.uint64), np.array([r for _, r in made])
-    group = np.arange(len(ids))
-    for i in range(len(ids)):
-        bits, segments = np.bitwise_count(fps ^ fps[i]), (rings != rings[i]).sum(axis=1)
-        near = np.flatnonzero((bits <= 3) | ((bits <= 12) & (segments <= 5)))
-        group[np.isin(group, group[near])] = group[near].min()
+    sets = [shingles(texts[i]) for i in ids]
+    group = list(range(len(ids)))
+    holders = {}
+    for n, own in enumerate(sets):
+        shared = Counter(m for s in own or {()} for m in holders.get(s, []))
+        for s in own or {()}:
+            holders.setdefault(s, []).append(n)
+        for m, both in shared.items():
+            if not own or 9 * both >= 4 * (len(own) + len(sets[m])):
+                a, b = group[m], group[n]
+                group = [min(a, b) if g in (a, b) else g for g in group] if a != b else group
     return {i for n, i in enumerate(ids) if group[n] == n}
 
 
