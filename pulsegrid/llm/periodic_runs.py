@@ -6,10 +6,11 @@ A run is a stretch of consecutive words with smallest period ``q`` (words ``q``
 1. A document is cut into overlapping tiles for each octave. A run of the octave has at least ``3 q`` places ``i`` with
    ``word[i] == word[i + q]``, so a boundary of the octave's grid lies in it with ``2P`` such places behind it. Only
    boundaries whose next ``2P`` words come again at a distance inside the octave make a tile (rolling hashes by
-   doubling, linear for each octave; a false alarm costs one tile, nothing is lost). Tiles are rows of their own.
-2. Tiles are dealt over all tasks and solved independently: the Z-function of the words behind the boundary gives, for
-   every period of the octave, how far the words agree to the right, that of the reversed words how far to the left.
-   Each answer is an interval of agreeing places, cut off where the tile ends.
+   doubling, linear for each octave; a false alarm costs one tile, nothing is lost). Tiles of neighbouring
+   boundaries, of a bounded number, travel as one strip, so that the words that tiles share are written once.
+2. Strips are dealt over all tasks and their tiles solved independently: the Z-function of the words behind the boundary
+   gives, for every period of the octave, how far the words agree to the right, that of the reversed words how far to
+   the left. Each answer is an interval of agreeing places, cut off where the tile ends; a strip joins its own.
 3. Intervals are shuffled by (document, period) and stitched where they meet. Of equal stretches the smallest period
    is the run's; multiples of it find the same stretch and go.
 
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import pieces, stored
 
 LEAST_WORDS, LEAST_PERIODS = 6, 4
-#: Tiles of one output batch hold about so many words.
-TILE_WORDS = 1 << 20
+#: Strips of one output batch hold about so many words; a strip has tiles for so many words, or so many tiles at least.
+BATCH_WORDS, STRIP_WORDS, STRIP_TILES = 1 << 20, 4096, 16
 
-PARTS = "key long, doc_id long, digest string, words binary, octave int, at long, n long, start long, ids array<int>"
+PARTS = "key long, doc_id long, digest string, words binary, octave int, at long, tiles long, n long, start long, ids array<int>"
 Rewrite = Callable[[int, list[bytes]], list[bytes]]
 
 
@@ -91,6 +92,17 @@ def boundaries(ids: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, np.n
         octave *= 2
 
 
+def strips(at: np.ndarray, doc: np.ndarray, octave: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which boundaries begin a strip, and how many tiles each strip has: neighbours of one document, a bounded number."""
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.arange(len(at))
+    alone = np.concatenate([[True], (np.diff(at) != spacing(octave)) | (np.diff(doc) != 0)])
+    since = place - np.maximum.accumulate(np.where(alone, place, 0))
+    first = np.flatnonzero(since % max(STRIP_TILES, STRIP_WORDS // spacing(octave)) == 0)
+    return first, np.diff(np.append(first, len(at)))
+
+
 def intervals(ids: list[int], left: int, octave: int, opens: bool, closes: bool) -> list[tuple[int, int, int]]:
     """(period, places before the boundary, places behind it) of the agreeing places around a tile's boundary.
 
@@ -116,10 +128,10 @@ def intervals(ids: list[int], left: int, octave: int, opens: bool, closes: bool)
 
 def tiled(docs: DataFrame, text: str = "text", rewrite: Rewrite | None = None) -> DataFrame:
     """One row for each document (key, doc_id, digest of its words joined by a space, and its words if it has tiles)
-    and one for each tile (key, octave, boundary, words of the document, first word of the tile, word numbers)."""
+    and one for each strip (key, octave, first boundary, tiles, words of the document, first word, word numbers)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     names = [c.split()[0] for c in PARTS.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int32())]
 
     def batch(**columns: object) -> pa.RecordBatch:
         rows = len(next(iter(columns.values())))
@@ -142,40 +154,58 @@ def tiled(docs: DataFrame, text: str = "text", rewrite: Rewrite | None = None) -
                 for octave, at in boundaries(ids, lengths):
                     doc = np.searchsorted(begins, at, side="right") - 1
                     having[doc] = True
+                    first, tiles = strips(at, doc, octave)
+                    at, doc = at[first], doc[first]
                     lo = np.maximum(at - spacing(octave), begins[doc])
-                    hi = np.minimum(at + 4 * octave + spacing(octave), begins[doc] + lengths[doc])
-                    share = max(1, TILE_WORDS // (6 * octave + 8))
+                    hi = np.minimum(at + tiles * spacing(octave) + 4 * octave, begins[doc] + lengths[doc])
+                    share = max(1, BATCH_WORDS // (STRIP_WORDS + (STRIP_TILES + 6) * octave))
                     for j in range(0, len(at), share):
                         s = slice(j, j + share)
                         offsets = np.concatenate([[0], np.cumsum(hi[s] - lo[s])]).astype(np.int32)
                         values = np.concatenate([ids[a:b] for a, b in zip(lo[s], hi[s])])
                         yield batch(
-                            key=key + np.array(order)[doc[s]], octave=np.full(len(at[s]), octave), at=at[s] - begins[doc[s]], n=lengths[doc[s]],
+                            key=key + np.array(order)[doc[s]], octave=np.full(len(at[s]), octave), at=at[s] - begins[doc[s]], tiles=tiles[s], n=lengths[doc[s]],
                             start=lo[s] - begins[doc[s]], ids=pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())),
                         )
-                tiles = {order[k] for k in np.flatnonzero(having)}
+                cut = {order[k] for k in np.flatnonzero(having)}
                 joined = [b" ".join(w) for w in listed]
                 yield batch(
                     key=list(range(key, key + len(listed))), doc_id=doc_ids, digest=[hashlib.sha256(x).hexdigest() for x in joined],
-                    words=[x if i in tiles else None for i, x in enumerate(joined)],
+                    words=[x if i in cut else None for i, x in enumerate(joined)],
                 )
                 key += len(listed)
 
     return source.mapInArrow(run, PARTS)
 
 
-def solved(tiles: DataFrame) -> DataFrame:
-    """(key, period, lo, hi): intervals of places ``i`` with ``word[i] == word[i + period]``, cut off where tiles end."""
+def strip_intervals(ids: list[int], octave: int, at: int, tiles: int, n: int, start: int) -> list[tuple[int, int, int]]:
+    """(period, lo, hi) of the agreeing places that the tiles of a strip find, those of a period joined where they meet."""
+    step = spacing(octave)
+    out: list[tuple[int, int, int]] = []
+    open_ones: dict[int, tuple[int, int]] = {}
+    for b in range(at, at + tiles * step, step):
+        lo, hi = max(b - step, 0), min(b + 4 * octave + step, n)
+        for q, x, y in intervals(ids[lo - start : hi - start], b - lo, octave, lo == 0, hi == n):
+            began, ended = open_ones.get(q, (b - x, -1))
+            if began < b - x and ended < b - x:
+                out.append((q, began, ended))
+                began = b - x
+            open_ones[q] = (min(began, b - x), max(ended, b + y))
+    return out + [(q, *x) for q, x in open_ones.items()]
+
+
+def solved(strips: DataFrame) -> DataFrame:
+    """(key, period, lo, hi): intervals of places ``i`` with ``word[i] == word[i + period]``, cut off where strips end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for key, octave, at, n, start, ids in zip(*(b.column(c).to_pylist() for c in ("key", "octave", "at", "n", "start", "ids"))):
-                out += [(key, q, at - x, at + y) for q, x, y in intervals(ids, at - start, octave, start == 0, start + len(ids) == n)]
+            for key, octave, at, tiles, n, start, ids in zip(*(b.column(c).to_pylist() for c in ("key", "octave", "at", "tiles", "n", "start", "ids"))):
+                out += [(key, *x) for x in strip_intervals(ids, octave, at, tiles, n, start)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["key", "period", "lo", "hi"])
 
-    dealt = tiles.select("key", "octave", "at", "n", "start", "ids").repartition("key", "octave", "at")
+    dealt = strips.select("key", "octave", "at", "tiles", "n", "start", "ids").repartition("key", "octave", "at")
     return dealt.mapInArrow(run, "key long, period long, lo long, hi long")
 
 
