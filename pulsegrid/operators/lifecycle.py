@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid import vocabulary as V
 from pulsegrid.functions import stats as S
-from pulsegrid.operators import blocks, detect, forest, summaries
+from pulsegrid.operators import blocks, detect, forest, slopes, summaries
 from pulsegrid.session import cut
 
 SCORING = ("names", "median", "mad", "if_median", "min_effects", "directions", "threshold", "low_threshold", "seasonal", "if_suspended", "version")
@@ -229,7 +229,7 @@ def forecast(samples: DataFrame, keys: Sequence[str], now: Column | int, hours:
     recent = samples.where((F.col(t) >= base - int(hours * 3600)) & (F.col(t) <= base))
     first = recent.groupBy(*keys).agg(F.min(t).alias("__t0"))
     points = recent.join(first, list(keys)).select(*keys, ((F.col(t) - F.col("__t0")) / 3600.0).alias("t"), F.col(y).alias("y"))
-    fitted = summaries.theil_sen(points, keys).where(F.col("n") >= V.FORECAST_MIN_POINTS)
+    fitted = slopes.theil_sen(points, keys).where(F.col("n") >= V.FORECAST_MIN_POINTS)
     hours_left, reliable = S.hours_to_saturation(F.col("slope"), F.col("intercept") + F.col("slope") * F.col("last_t"), F.col("r2"))
     return fitted.withColumn("hours", hours_left).withColumn("reliable", reliable)
 

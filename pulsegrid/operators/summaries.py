@@ -118,44 +118,6 @@ def psi(expected: DataFrame, actual: DataFrame, keys: Sequence[str], value: str
     return shares.groupBy(*keys).agg(F.when(F.max("__k") < 3, F.lit(0.0)).otherwise(F.sum(term)).alias("psi"))
 
 
-def _median_of(sorted_values: Column) -> Column:
-    n = F.size(sorted_values)
-    at = lambda i: F.element_at(sorted_values, F.greatest(i, F.lit(1)).cast("int"))
-    return (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2.0
-
-
-def theil_sen(points: DataFrame, keys: Sequence[str], t: str = "t", y: str = "y") -> DataFrame:
-    """Median-of-pairs slope, intercept and R2 per group: columns slope, intercept, r2, last_t, n.
-
-    A group is one forecast window (6 h at 60 s: at most 361 points), so its pairs fit in one row as arrays and
-    never become rows of a join.
-    """
-    packed = points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(t).cast("double").alias("t"), F.col(y).cast("double").alias("y")))).alias("__p"))
-    pairs = F.flatten(
-        F.transform(
-            "__p",
-            lambda a, i: F.transform(
-                F.filter(F.slice("__p", i + 2, F.size("__p")), lambda b: b["t"] != a["t"]), lambda b: (b["y"] - a["y"]) / (b["t"] - a["t"])
-            ),
-        )
-    )
-    with_slope = packed.withColumn("__s", F.array_sort(pairs)).withColumn(
-        "slope", F.when(F.size("__s") > 0, _median_of(F.col("__s"))).otherwise(F.lit(0.0))
-    )
-    add = lambda acc, v: acc + v
-    mean = F.aggregate("__p", F.lit(0.0), lambda acc, p: acc + p["y"]) / F.size("__p")
-    fitted = with_slope.withColumn(
-        "intercept",
-        F.when(F.size("__p") < 2, mean).otherwise(_median_of(F.array_sort(F.transform("__p", lambda p: p["y"] - F.col("slope") * p["t"])))),
-    ).withColumn("__mean", mean)
-    res = F.aggregate(F.transform("__p", lambda p: F.pow(p["y"] - F.col("intercept") - F.col("slope") * p["t"], F.lit(2.0))), F.lit(0.0), add)
-    tot = F.aggregate(F.transform("__p", lambda p: F.pow(p["y"] - F.col("__mean"), F.lit(2.0))), F.lit(0.0), add)
-    flat = (F.size("__p") < 2) | (F.size("__s") == 0)
-    return fitted.withColumn("r2", F.when(flat | (tot <= 0), F.lit(0.0)).otherwise(1.0 - res / F.when(tot > 0, tot))).select(
-        *keys, "slope", "intercept", "r2", F.element_at("__p", -1)["t"].alias("last_t"), F.size("__p").cast("long").alias("n")
-    )
-
-
 def keep_hashed(df: DataFrame, key: Column, seed: int, limit: int) -> DataFrame:
     """At most ``limit`` rows without replacement, chosen by hash so that reruns agree (the sampling operator)."""
     return df.orderBy(F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}")))).limit(limit)

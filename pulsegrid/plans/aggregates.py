@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import inventory, stats as S
-from pulsegrid.operators import audit, evaluate, summaries, vector
+from pulsegrid.operators import audit, evaluate, slopes, summaries, vector
 from pulsegrid.plans import tables as T
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.scans import _DAILY_POINTS, _SLOPES, day_points
@@ -97,7 +97,7 @@ THEIL = f"""{_DAILY_POINTS}, {_SLOPES}, sl AS (SELECT target, day, quantile_cont
 
 @query("A9_theil_sen", f"WITH {THEIL} SELECT target, day, n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2 FROM ts")
 def _(spark, sf):
-    fitted = summaries.theil_sen(day_points(spark, sf), ["target", "day"]).where("n > 1")
+    fitted = slopes.theil_sen(day_points(spark, sf), ["target", "day"]).where("n > 1")
     return fitted.select("target", "day", "n", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")])
 
 

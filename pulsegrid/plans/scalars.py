@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid import schemas
 from pulsegrid.functions import inventory, labels as L, stats as S
-from pulsegrid.operators import audit, lifecycle, series, summaries
+from pulsegrid.operators import audit, lifecycle, series, slopes
 from pulsegrid.plans import tables as T
 from pulsegrid.plans.aggregates import THEIL
 from pulsegrid.plans.registry import query
@@ -85,7 +85,7 @@ def _(spark, sf):
 @query("F10_hours_to_saturation", f"""WITH {THEIL}, h AS (SELECT target, day, slope, r2, intercept + slope * last_x AS level FROM ts)
   SELECT target, day, round(CASE WHEN slope > 1e-9 THEN greatest(0, least((100 - level) / slope, 8760)) ELSE 8760 END, 4) AS hours, slope > 1e-9 AND r2 >= 0.01 AS reliable FROM h""")
 def _(spark, sf):
-    fit = summaries.theil_sen(day_points(spark, sf), ["target", "day"]).where("n > 1")
+    fit = slopes.theil_sen(day_points(spark, sf), ["target", "day"]).where("n > 1")
     hours, reliable = S.hours_to_saturation(F.col("slope"), F.col("intercept") + F.col("slope") * F.col("last_t"), F.col("r2"), min_r2=0.01)
     return fit.select("target", "day", F.round(hours, 4).alias("hours"), reliable.alias("reliable"))
 

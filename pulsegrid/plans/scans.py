@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid import vocabulary as V
 from pulsegrid.functions import inventory, labels as L
-from pulsegrid.operators import audit, detect, evaluate, features, series, summaries, vector
+from pulsegrid.operators import audit, detect, evaluate, features, series, slopes, summaries, vector
 from pulsegrid.plans import tables as T
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.tables import END, EV, FEATURES, HOUR, HOURLY, MID, read
@@ -389,7 +389,7 @@ def day_points(spark, sf):
 
 @query("J10_pairwise_slopes", f"WITH {_DAILY_POINTS}, {_SLOPES} SELECT target, day, count(*) AS pairs, round(quantile_cont(s, 0.5), 6) AS slope FROM pairs GROUP BY 1, 2")
 def _(spark, sf):
-    fitted = summaries.theil_sen(day_points(spark, sf), ["target", "day"]).where("n > 1")
+    fitted = slopes.theil_sen(day_points(spark, sf), ["target", "day"]).where("n > 1")
     return fitted.select("target", "day", F.expr("n * (n - 1) div 2").alias("pairs"), F.round("slope", 6).alias("slope"))
 
 

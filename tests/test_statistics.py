@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import stats as S
-from pulsegrid.operators import summaries
+from pulsegrid.operators import slopes, summaries
 
 
 def one(spark, *cols):
@@ -69,7 +69,7 @@ def test_theil_sen_resists_outliers(spark):
     y = 2 * t + 1
     y[[3, 17, 29, 44]] = 1000.0
     pts = spark.createDataFrame([("a", float(a), float(b)) for a, b in zip(t, y)] + [("one", 0.0, 5.0)] + [("flat", 1.0, 1.0), ("flat", 1.0, 3.0)], "k string, t double, y double")
-    got = {r.k: r for r in summaries.theil_sen(pts, ["k"]).collect()}
+    got = {r.k: r for r in slopes.theil_sen(pts, ["k"]).collect()}
     assert got["a"].slope == pytest.approx(2.0) and got["a"].intercept == pytest.approx(1.0)
     assert (got["one"].slope, got["one"].intercept, got["one"].r2) == (0.0, 5.0, 0.0)
     assert (got["flat"].slope, got["flat"].intercept, got["flat"].r2) == (0.0, 2.0, 0.0)
