@@ -205,7 +205,9 @@ def solved(strips: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["key", "period", "lo", "hi"])
 
-    dealt = strips.select("key", "octave", "at", "tiles", "n", "start", "ids").repartition("key", "octave", "at")
+    # a fixed number of partitions: small strips mean much work, so their size must not merge them into few tasks
+    parts = int(strips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = strips.select("key", "octave", "at", "tiles", "n", "start", "ids").repartition(parts, "key", "octave", "at")
     return dealt.mapInArrow(run, "key long, period long, lo long, hi long")
 
 
