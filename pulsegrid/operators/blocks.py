@@ -139,10 +139,19 @@ def run_since_reset(
     return joined.select(*[c for c in df.columns if c != out], total.alias(out))
 
 
-def with_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "idx", width: int = DEFAULT_WIDTH):
-    """0-based position of each row in its series."""
-    counted = running(df, keys, order, {out: Run("count", F.lit(1))}, width)
-    return counted.withColumn(out, (F.col(out) - 1).cast("long"))
+def with_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "idx", width: int = DEFAULT_WIDTH, total: str | None = None):
+    """0-based position of each row in its series; with ``total`` also the series' number of rows.
+
+    One summary row per block gives both the place of its first row and the total; it meets the rows by (keys, block).
+    """
+    part = [*keys, BLOCK]
+    blocked = df.withColumn(BLOCK, time_block(order[0], width))
+    series = Window.partitionBy(*keys)
+    before = F.sum("__n").over(series.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = blocked.groupBy(*part).agg(F.count("*").alias("__n")).select(*part, F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__n").over(series).alias("__total"))
+    local = blocked.withColumn("__local", F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1)
+    made = {out: (F.col("__before") + F.col("__local")).cast("long"), **({total: F.col("__total")} if total else {})}
+    return local.join(sizes, part).select(*[c for c in df.columns if c not in made], *[c.alias(n) for n, c in made.items()])
 
 
 def row_halo(df: DataFrame, index: str, rows: int, halo: int) -> DataFrame:

@@ -7,6 +7,7 @@ low_threshold, seasonal, if_suspended, trained_at, n_samples, span_hours, regime
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -106,12 +107,10 @@ def flags(rows: DataFrame, models: DataFrame, scores: DataFrame, z_high: float =
     return scored.withColumn("flagged", by_z | F.coalesce(by_forest, F.lit(False)))
 
 
-def split_holdout(rows: DataFrame, holdout: float = 0.2, keys: Sequence[str] = ("target",)) -> DataFrame:
+def split_holdout(rows: DataFrame, holdout: float = 0.2, keys: Sequence[str] = ("target",), width: int = blocks.DEFAULT_WIDTH) -> DataFrame:
     """Time-ordered split: ``is_train`` on the first floor(n * (1 - holdout)) rows of each key."""
-    indexed = blocks.with_index(rows, keys, ["t"], "__i")
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
-    cut_at = F.floor(F.col("__n") * F.lit(1 - holdout))
-    return indexed.join(sizes, list(keys)).withColumn("is_train", F.col("__i") < cut_at).drop("__i", "__n")
+    indexed = blocks.with_index(rows, keys, ["t"], "__i", width, total="__n")
+    return indexed.withColumn("is_train", F.col("__i") < F.floor(F.col("__n") * F.lit(1 - holdout))).drop("__i", "__n")
 
 
 def champion_challenger(
@@ -175,9 +174,11 @@ def detect_batch(
     """The whole decision chain over accepted rows: detectors, relevance vote, fusion, suppressed openings.
 
     ``suppressed`` is evaluated on the rows (maintenance); the warm-up of the model is added. Intermediate results
-    are cut so that the two readers of each ordered step do not recompute the scoring.
+    are cut so that the two readers of each ordered step do not recompute the scoring. Where the rows have a column
+    ``cycle`` (0-based), it counts for the warm-up instead of their place among ``rows``.
     """
     keys, order = ["target"], ["t"]
+    cycle = F.col("cycle") if "cycle" in rows.columns else F.col("idx")
     scored = deviations(attach(rows, models))
     if scores is not None:
         scored = scored.join(scores, ["target", "t"], "left")
@@ -194,7 +195,7 @@ def detect_batch(
     fused = cut(
         voted.withColumn("if_effective", F.col("if_active") & F.col("relevant") & ~F.col("if_suspended"))
         .withColumn("wants", F.col("if_effective") | F.col("z_active"))
-        .withColumn("__sup", F.col("__sup") | (F.col("idx") < warmup))
+        .withColumn("__sup", F.col("__sup") | (cycle < warmup))
     )
     return detect.suppress_opening(fused, keys, order, F.col("wants"), F.col("__sup"), width)
 
@@ -251,7 +252,8 @@ def should_train(models: DataFrame, now: Column | int) -> DataFrame:
 
 
 def usable_models(models: DataFrame, expected: DataFrame) -> DataFrame:
-    """Newest model of each target that fits the configured features (and formulas, for applications)."""
+    """Newest model of each target that fits the configured features (and formulas, for applications): the highest
+    version and, where rows have a ``trained_at``, the latest of its rows."""
     same = models.alias("m").join(expected.alias("e"), "target")
     fits = (
         (F.col("m.schema_version") == V.MODEL_SCHEMA_VERSION)
@@ -262,7 +264,8 @@ def usable_models(models: DataFrame, expected: DataFrame) -> DataFrame:
     )
     rows = same.where(fits).select("target", *[F.col(f"m.{c}") for c in models.columns if c != "target"])
     rest = [c for c in models.columns if c != "target"]
-    return rows.groupBy("target").agg(F.max_by(F.struct(*rest), "version").alias("__m")).select("target", "__m.*")
+    newest = F.struct("version", "trained_at") if "trained_at" in models.columns else F.col("version")
+    return rows.groupBy("target").agg(F.max_by(F.struct(*rest), newest).alias("__m")).select("target", "__m.*")
 
 
 def apply_tuning(targets: DataFrame, tuning: DataFrame) -> DataFrame:
@@ -317,3 +320,70 @@ def regime_candidates(
     back = indexed.join(first.select("target", "__i"), "target").where((F.col("idx") <= F.col("__i")) & (F.col("idx") > F.col("__i") - rows))
     medians = back.groupBy("target").agg(F.array(*[F.percentile(n, F.lit(0.5)) for n in names]).alias("plateau_median"))
     return first.drop("__i").join(medians, "target")
+
+
+def steady_rows(
+    rows: DataFrame, spec: Sequence[tuple], count_feature: str | None = None, window: int = V.REGIME_WINDOW, width: int = blocks.DEFAULT_WIDTH
+) -> DataFrame:
+    """``rows`` (target, t, x) with ``cycle`` (place in the series), ``steady`` (the last ``window`` rows are a plateau below all critical
+    levels) and ``x_count`` (the feature that must not be under its median in force). None of it depends on a model."""
+    names = [s[0] for s in spec]
+    wide = rows.withColumns({f"__x{i}": F.col("x")[i] for i in range(len(names))})
+    indexed = blocks.with_index(wide, ["target"], ["t"], "cycle", width)
+    flat = detect.plateau(indexed, ["target"], [(f"__x{i}", s[3]) for i, s in enumerate(spec)], window, "cycle")
+    safe = F.lit(True)
+    for i, s in enumerate(spec):
+        if s[5] != V.INF:
+            safe = safe & (F.col(f"__x{i}") < s[5])
+    counted = F.col(f"__x{names.index(count_feature)}") if count_feature else F.lit(None).cast("double")
+    return flat.withColumns({"steady": F.col("plateau") & safe, "x_count": counted}).select(*rows.columns, "cycle", "steady", "x_count")
+
+
+def detect_with_regimes(
+    rows: DataFrame, scores: DataFrame | None, models: DataFrame, suppressed: Column, spec: Sequence[tuple], count_feature: str | None = None,
+    minutes: int = V.REGIME_MINUTES, window: int = V.REGIME_WINDOW, rounds: int = 1000, width: int = blocks.DEFAULT_WIDTH, **settings,
+) -> tuple[DataFrame, DataFrame]:
+    """(detections, regimes): the decision chain with every regime change applied where it is accepted.
+
+    A fixed point over the targets that still change: decide on a target's tail, find the first row at which its open
+    anomaly has lasted ``minutes`` on a steady, harmless plateau, keep the rows up to it, set the median to that of the
+    last ``window`` rows, suspend the forest and decide again on what lies behind with fresh detectors. A round reads
+    the tails of the targets that changed in the round before, and the loop ends when none does: as many rounds as
+    the target with the most regimes has, plus one. Detections: the columns of :func:`detect_batch` and ``regime`` (the
+    accepting row, inactive from there). Regimes: target, t, regime_start, plateau_median, number.
+    """
+    names = [s[0] for s in spec]
+    tails = cut(steady_rows(rows, spec, count_feature, window, width))
+    history, done, regimes = tails.select("target", "cycle", "x"), [], []
+    models = cut(models)
+    for number in range(1, rounds + 1):
+        found = cut(detect_batch(tails, scores, models, suppressed, width=width, **settings))
+        began = _with_start(found, width)
+        lasting = F.col("active") & (F.col("t") > F.col("start")) & (F.col("t") - F.col("start") >= minutes * 60) & F.col("steady")
+        if count_feature:
+            lasting = lasting & (F.col("x_count") >= F.col("median")[names.index(count_feature)])
+        first = began.where(lasting).groupBy("target").agg(F.min("t").alias("__at"), F.min_by("start", "t").alias("regime_start"), F.min_by("cycle", "t").alias("__cycle"))
+        first = cut(first)
+        kept = found.join(first.select("target", "__at"), "target", "left").where(F.col("__at").isNull() | (F.col("t") <= F.col("__at")))
+        regime = F.coalesce(F.col("t") == F.col("__at"), F.lit(False))
+        done.append(kept.withColumn("regime", regime).withColumn("active", F.col("active") & ~regime).drop("__at"))
+        if first.isEmpty():
+            break
+        back = history.join(first.select("target", "__cycle"), "target").where((F.col("cycle") <= F.col("__cycle")) & (F.col("cycle") > F.col("__cycle") - window))
+        medians = back.groupBy("target").agg(F.array(*[F.percentile(F.col("x")[i], F.lit(0.5)) for i in range(len(names))]).alias("plateau_median"))
+        accepted = cut(first.join(medians, "target").select("target", F.col("__at").alias("t"), "regime_start", "plateau_median"))
+        regimes.append(accepted.withColumn("number", F.lit(number)))
+        models = cut(rebaseline(models.join(accepted.select("target"), "target", "left_semi"), accepted))
+        tails = cut(tails.join(accepted.select("target", F.col("t").alias("__at")), "target").where(F.col("t") > F.col("__at")).drop("__at"))
+    else:
+        raise ValueError("regimes keep changing; raise rounds")
+    union = lambda parts: functools.reduce(lambda a, b: a.unionByName(b), parts)
+    none = first.select("target", F.col("__at").alias("t"), "regime_start", F.lit(None).cast("array<double>").alias("plateau_median"), F.lit(0).alias("number"))
+    return union(done), union(regimes) if regimes else none
+
+
+def _with_start(found: DataFrame, width: int) -> DataFrame:
+    """``start``: where the anomaly that is open at a row began."""
+    before = blocks.running(found.withColumn("__a", F.col("active").cast("int")), ["target"], ["t"], {"__was": blocks.Run("last", F.col("__a"), inclusive=False)}, width)
+    opens = F.when(F.col("active") & (F.coalesce("__was", F.lit(0)) == 0), F.col("t"))
+    return blocks.running(before, ["target"], ["t"], {"start": blocks.Run("last", opens)}, width).drop("__a", "__was")

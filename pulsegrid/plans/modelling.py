@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid import vocabulary as V
-from pulsegrid.operators import blocks, detect, evaluate, features, forest, lifecycle
+from pulsegrid.operators import blocks, detect, evaluate, features, forest, lifecycle, registry
 from pulsegrid.plans import tables as T
 from pulsegrid.plans.aggregates import INJECTION_SQL, injections, psi_sql
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.tables import BASE, EV, HOURLY, SCORED, latch_sql, read
 from pulsegrid.plans.windows import _EPISODES, _HOLES, _holed
 from pulsegrid.session import cut
+from pulsegrid.streaming import jobs
 
 KEY, WIDE = ["target"], 5 * 86400
 
@@ -109,6 +110,29 @@ def _(spark, sf):
     return found.select("target", "t", "regime_start", F.col("plateau_median")[0].alias("click"), F.col("plateau_median")[4].alias("view"))
 
 
+def _step_detections(spark, sf):
+    base = cut(features.matrix(T.stepped(spark, sf), T.FEATURES))
+    quiet = F.floor((F.col("t") % 86400) / 3600).between(2, 7)
+    return lifecycle.detect_with_regimes(base, cut(T.step_scores(base)), T.step_models(base), quiet, T.STEP_SPEC, "view", warmup=20, lam=T.LAM, width=WIDE)
+
+
+@query("M9_regime_loop", f"""WITH RECURSIVE {T.automaton_sql()} SELECT target, t, c_start AS regime_start, row_number() OVER (PARTITION BY target ORDER BY t) AS number, med[1] AS click, med[5] AS view FROM au WHERE kind = 'regime'""")
+def _(spark, sf):
+    _, regimes = _step_detections(spark, sf)
+    return regimes.select("target", "t", "regime_start", F.col("number").cast("long").alias("number"), F.col("plateau_median")[0].alias("click"), F.col("plateau_median")[4].alias("view"))
+
+
+@query("W8_regime_decisions", f"WITH RECURSIVE {T.automaton_sql()} SELECT target, t, round(smoothed, 6) AS smoothed, z_active, by_forest AS if_effective, act AS active, coalesce(kind = 'regime', FALSE) AS regime FROM au WHERE rn > 0")
+def _(spark, sf):
+    found, _ = _step_detections(spark, sf)
+    return found.select("target", "t", F.round("z_smoothed", 6).alias("smoothed"), "z_active", (F.col("if_effective") & (F.col("active") | F.col("regime"))).alias("if_effective"), "active", "regime")
+
+
+@query("M4_fixed_forest", f"WITH {T.STEPPED} SELECT target, t, score FROM hr")
+def _(spark, sf):
+    return T.step_scores(cut(features.matrix(T.stepped(spark, sf), T.FEATURES)))
+
+
 @query("M10_drift", f"""WITH {SCORED}, rk AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY t DESC) AS r FROM zs),
   {psi_sql("SELECT target, z_max AS score FROM rk WHERE r > 240", "SELECT target, z_max AS score FROM rk WHERE r <= 240", "target", "score")}
   SELECT target, round(psi, 6) AS psi, psi > 0.25 AS drift FROM psi WHERE target <> 'node-2'""")
@@ -148,6 +172,31 @@ def _(spark, sf):
     return lifecycle.usable_models(models, expected).select("target", "version", "threshold")
 
 
+@query("M12_registry_cycle", """WITH v AS (SELECT c_nationkey AS k, c_custkey AS version, CASE WHEN c_custkey % 4 = 0 THEN 4 ELSE 5 END AS sv, c_mktsegment AS sig, c_acctbal AS threshold, c_custkey % 1000 AS trained FROM customer),
+  ok AS (SELECT k, max(version) AS version, arg_max(threshold, version) AS threshold, arg_max(trained, version) AS trained FROM v WHERE sv = 5 AND (k % 2 = 0 OR sig = 'BUILDING') GROUP BY 1),
+  d AS (SELECT *, k % 5 = 4 AS short, k % 3 = 0 AS accepted FROM ok)
+  SELECT 'n' || k AS target, version + CASE WHEN NOT short AND accepted THEN 1 ELSE 0 END AS version, CASE WHEN NOT short AND accepted THEN 0.5 ELSE threshold END AS threshold,
+    CASE WHEN short THEN trained ELSE 200000 END AS trained_at, short OR NOT accepted AS champion FROM d""")
+def _(spark, sf):
+    key, target = F.col("c_custkey"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+    shape = {"names": F.array(F.lit("a")), "min_effects": F.array(F.lit(2.0)), "directions": F.array(F.lit("up"))}
+    table = registry.Registry(spark, jobs.new_folder(spark, "registry"))
+    table.put(read(spark, sf, "customer").select(
+        target.alias("target"), key.alias("version"), F.when(key % 4 == 0, 4).otherwise(V.MODEL_SCHEMA_VERSION).alias("schema_version"), F.col("c_mktsegment").alias("signature"),
+        (key % 1000).cast("long").alias("trained_at"), F.col("c_acctbal").cast("double").alias("threshold"), *[c.alias(k) for k, c in shape.items()],
+    ), None, "first")
+    expected = read(spark, sf, "nation").select(
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("target"), F.when(F.col("n_nationkey") % 2 == 0, "node").otherwise("application").alias("kind"), F.lit("BUILDING").alias("signature"), *[c.alias(k) for k, c in shape.items()]
+    )
+    champions = cut(table.current(expected))
+    number = F.substring("target", 2, 9).cast("int")
+    decided = champions.where(number % 5 != 4).select("target", (number % 3 == 0).alias("accepted"), (F.col("version") + F.when(number % 3 == 0, 1).otherwise(0)).alias("version"))
+    challengers = champions.select("target", "version", F.lit(0.5).alias("threshold"), *[c.alias(k) for k, c in shape.items()])
+    table.put(registry.settled(decided, champions, challengers, expected, 200_000), None, "train")
+    now = table.current(expected)
+    return now.select("target", "version", "threshold", "trained_at", (F.col("threshold") != 0.5).alias("champion"))
+
+
 @query("M13_tuning_override", """WITH t AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '4.5' WHEN 1 THEN '{oops' END AS z, CASE c_custkey % 5 WHEN 0 THEN '5' END AS k FROM customer)
   SELECT c_custkey, coalesce(try_cast(z AS DOUBLE), 3.5)::DOUBLE AS z_high, 2.5::DOUBLE AS z_low, 0.4::DOUBLE AS ewma_lambda, coalesce(try_cast(k AS INT), 3) AS vote_k, 4 AS vote_n, try_cast(z AS DOUBLE) IS NOT NULL OR k IS NOT NULL AS tuned FROM t""")
 def _(spark, sf):

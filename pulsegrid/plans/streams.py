@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid import vocabulary as V
-from pulsegrid.operators import audit, decisions, lifecycle
+from pulsegrid.operators import audit, decisions, features, lifecycle
 from pulsegrid.plans import tables as T
 from pulsegrid.plans.registry import query
-from pulsegrid.plans.tables import EV, HOURLY, SCORED, latch_sql, read
+from pulsegrid.plans.tables import EV, HOURLY, read
 from pulsegrid.plans.windows import SUPPRESSED, suppressed
 from pulsegrid.session import cut
 from pulsegrid.sources import logs
@@ -18,57 +18,55 @@ HOUR = 3600
 
 
 def _detector_rows(spark, sf, quality):
-    base = T.rows(spark, sf)
-    models = lifecycle.fit_baseline(base, T.SPEC)
-    rows = lifecycle.attach(base, models)
-    critical = F.array(*[F.lit(s[5]) for s in T.SPEC])
+    """Rows of the stepped fleet with the model of its first level and the forest's score beside them."""
+    base = cut(features.matrix(T.stepped(spark, sf), T.FEATURES))
+    rows = lifecycle.attach(base, T.step_models(base)).join(T.step_scores(base), ["target", "t"])
+    critical = F.array(*[F.lit(s[5]) for s in T.STEP_SPEC])
     return rows.select(
-        "target", "t", "x", quality.cast("int").alias("quality"), F.floor((F.col("t") % 86400) / HOUR).between(2, 7).alias("suppressed"), F.lit(None).cast("double").alias("score"),
-        "names", "median", "mad", "min_effects", "directions", critical.alias("critical"), F.lit(0.0).alias("threshold"), F.lit(0.0).alias("low_threshold"),
-        F.lit(False).alias("if_suspended"), F.lit(1).alias("version"),
+        "target", "t", "x", quality.cast("int").alias("quality"), F.floor((F.col("t") % 86400) / HOUR).between(2, 7).alias("suppressed"), "score",
+        "names", "median", "mad", "min_effects", "directions", critical.alias("critical"), "threshold", "low_threshold", "if_suspended", "version",
     )
 
 
 def _detector():
-    return processors.Detector(T.VOTE_K, T.VOTE_N, T.LAM, T.Z_HIGH, T.Z_LOW, warmup=20, regime_rows=10_000)
+    return processors.Detector(lam=T.LAM, warmup=20, count_feature="view", ttl=30 * 86400)
 
 
 def _detections(spark, sf, name, quality=None):
-    rows = _detector_rows(spark, sf, F.lit(1) if quality is None else quality)
-    return jobs.drain(jobs.keyed(jobs.replay(rows, name), ["target"], _detector()), name)
+    """The automaton in event time, over three steps of time."""
+    rows = jobs.replay(_detector_rows(spark, sf, F.lit(1) if quality is None else quality), name, ["target"], slices=3)
+    return jobs.drain(jobs.keyed(rows, ["target"], _detector(), "t", "2 hours"), name)
 
 
-@query("T1_detector_automaton", f"WITH RECURSIVE {SUPPRESSED} SELECT target, t, round(smoothed, 6) AS smoothed, wants AS z_active, open AS active FROM sp2")
-def _(spark, sf):
-    return _detections(spark, sf, "T1").select("target", "t", F.round("z_smoothed", 6).alias("smoothed"), "z_active", "active")
+_WALK = "SELECT target, t, round(smoothed, 6) AS smoothed, z_active, by_forest AS if_effective, act AS active, coalesce(kind = 'regime', FALSE) AS regime FROM au WHERE rn > 0"
 
 
-_KEPT = f"""{SCORED}, kz AS (SELECT zs.* FROM zs JOIN m USING (target, t) WHERE error <= 2),
-  rn AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY t) AS rn FROM kz),
-  sm AS (SELECT target, rn, z_max AS smoothed FROM rn WHERE rn = 1 UNION ALL SELECT rn.target, rn.rn, 0.4 * rn.z_max + 0.6 * sm.smoothed FROM sm JOIN rn ON rn.target = sm.target AND rn.rn = sm.rn + 1),
-  sj AS (SELECT rn.*, sm.smoothed FROM rn JOIN sm USING (target, rn)), {latch_sql("sj", "smoothed", T.Z_HIGH, T.Z_LOW, T.VOTE_K, T.VOTE_N, "lt")}"""
+@query("T1_detector_automaton", f"WITH RECURSIVE {T.automaton_sql()} {_WALK}")
+def _(spark, sf):
+    return _detections(spark, sf, "T1").select("target", "t", F.round("z_smoothed", 6).alias("smoothed"), "z_active", "if_effective", "active", "regime")
 
 
-@query("T2_abstention", f"WITH RECURSIVE {_KEPT} SELECT target, t, round(smoothed, 6) AS smoothed, active AS z_active FROM lt")
+@query("T2_abstention", f"WITH RECURSIVE {T.automaton_sql('x[2] <= 2')} {_WALK}")
 def _(spark, sf):
     out = _detections(spark, sf, "T2", F.element_at("x", 2) <= 2)
-    return out.select("target", "t", F.round("z_smoothed", 6).alias("smoothed"), "z_active")
-
-
-_EVENTS = """ch AS (SELECT *, coalesce(lag(open) OVER (PARTITION BY target ORDER BY t), FALSE) AS was FROM sp2), ed AS (SELECT *, sum((open AND NOT was)::INT) OVER (PARTITION BY target ORDER BY t) AS no FROM ch WHERE open <> was),
-  evn AS (SELECT target, min(t) FILTER (open) AS start_epoch, max(t) FILTER (NOT open) AS end_epoch, max(top_feature) FILTER (open) AS top_feature, round(max(top_z) FILTER (open), 6) AS top_z FROM ed GROUP BY target, no)"""
-_EVENTS_SQL = f"WITH RECURSIVE {SUPPRESSED}, {_EVENTS} SELECT target, start_epoch, end_epoch, end_epoch - start_epoch AS duration_s, top_feature, top_z, 'zscore' AS detectors FROM evn WHERE end_epoch IS NOT NULL"
+    return out.select("target", "t", F.round("z_smoothed", 6).alias("smoothed"), "z_active", "if_effective", "active", "regime")
 
 
-@query("T3_event_records", _EVENTS_SQL)
+@query("T3_event_records", f"""WITH RECURSIVE {T.automaton_sql()} SELECT target, c_start AS start_epoch, t AS end_epoch, t - c_start AS duration_s, c_feature AS top_feature, round(c_z, 6) AS top_z, c_det AS detectors, kind
+  FROM au WHERE kind IS NOT NULL""")
 def _(spark, sf):
-    out = _detections(spark, sf, "T3").where("event_kind = 'anomaly'")
+    out = _detections(spark, sf, "T3").where("event_kind in ('anomaly', 'regime')")
     return out.select(
         "target", F.col("event_start").alias("start_epoch"), F.col("t").alias("end_epoch"), (F.col("t") - F.col("event_start")).alias("duration_s"), F.col("event_feature").alias("top_feature"),
-        F.round("event_z", 6).alias("top_z"), F.col("event_detectors").alias("detectors"),
+        F.round("event_z", 6).alias("top_z"), F.col("event_detectors").alias("detectors"), F.col("event_kind").alias("kind"),
     )
 
 
+_EVENTS = """ch AS (SELECT *, coalesce(lag(open) OVER (PARTITION BY target ORDER BY t), FALSE) AS was FROM sp2), ed AS (SELECT *, sum((open AND NOT was)::INT) OVER (PARTITION BY target ORDER BY t) AS no FROM ch WHERE open <> was),
+  evn AS (SELECT target, min(t) FILTER (open) AS start_epoch, max(t) FILTER (NOT open) AS end_epoch, max(top_feature) FILTER (open) AS top_feature, round(max(top_z) FILTER (open), 6) AS top_z FROM ed GROUP BY target, no)"""
+_EVENTS_SQL = f"WITH RECURSIVE {SUPPRESSED}, {_EVENTS} SELECT target, start_epoch, end_epoch, end_epoch - start_epoch AS duration_s, top_feature, top_z, 'zscore' AS detectors FROM evn WHERE end_epoch IS NOT NULL"
+
+
 @query("S8_event_log", _EVENTS_SQL)
 def _(spark, sf):
     events = lifecycle.anomaly_events(cut(suppressed(spark, sf)).withColumns({"if_effective": F.lit(False), "z_active": F.col("wants")}), width=5 * 86400)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import audit, blocks, decisions, detect, series
+from pulsegrid.operators import audit, blocks, decisions, detect, lifecycle, series
 from pulsegrid.operators.blocks import Run
 from pulsegrid.plans import tables as T
 from pulsegrid.plans.registry import query
@@ -154,9 +154,8 @@ def _(spark, sf):
   SELECT user_id, event_id, i < floor(n * 0.8::DOUBLE) AS is_train FROM r""")
 def _(spark, sf):
     rows = T.events(spark, sf).select("user_id", "event_id", F.col("us").alias("t"))
-    indexed = blocks.with_index(rows, ["user_id"], ["t"], "i", T.width(rows, ["user_id"], hour=3600 * 1_000_000))
-    sizes = rows.groupBy("user_id").agg(F.count("*").alias("n"))
-    return indexed.join(sizes, "user_id").select("user_id", "event_id", (F.col("i") < F.floor(F.col("n") * F.lit(0.8))).alias("is_train"))
+    split = lifecycle.split_holdout(rows, keys=["user_id"], width=T.width(rows, ["user_id"], hour=3600 * 1_000_000))
+    return split.select("user_id", "event_id", "is_train")
 
 
 @query("W16_latest_per_key", f"WITH {EV} SELECT user_id, feature, max(us) AS us, arg_max(value, us) AS value, arg_max(event_id, us) AS event_id FROM ev GROUP BY 1, 2")

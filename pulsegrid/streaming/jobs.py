@@ -9,18 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pulsegrid.session import shared_dir, ship_package
+from pulsegrid.session import cut, shared_dir, ship_package
 from pulsegrid.streaming.processors import DocumentProcessor
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def keyed(rows: DataFrame, keys: list[str], processor: DocumentProcessor) -> DataFrame:
-    """Apply a processor to a stream, one state document per key."""
+def keyed(rows: DataFrame, keys: list[str], processor: DocumentProcessor, event_time: str | None = None, delay: str = "120 seconds") -> DataFrame:
+    """Apply a processor to a stream, one state document per key.
+
+    With ``event_time`` (a column of seconds) the stream has a watermark ``delay`` behind its latest row: rows behind
+    it are dropped before the processor, and its timers fire when the watermark passes them.
+    """
     spark = rows.sparkSession
     ship_package()
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, processor.schema, "Append", "None")
+    if event_time is None:
+        return rows.groupBy(*keys).transformWithStateInPandas(processor, processor.schema, "Append", "None")
+    timed = rows.withColumn("event_time", F.timestamp_seconds(event_time)).withWatermark("event_time", delay)
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, processor.schema, "Append", "EventTime")
 
 
 def accepted(rows: DataFrame, ts: str = "ts", delay: str = "120 seconds") -> DataFrame:
@@ -65,9 +72,22 @@ def follow(spark: SparkSession, schema: StructType, folder: str, table: str) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/{table}.parque[t]")
 
 
-def replay(table: DataFrame, name: str) -> DataFrame:
-    """A finished table as a stream: written to the shared folder and read back as a source."""
+def replay(table: DataFrame, name: str, keys: list[str] | None = None, slices: int = 1, ts: str = "t", files: int = 1000) -> DataFrame:
+    """A finished table as a stream: written to the shared folder and read back as a source, at most ``files`` a batch.
+
+    With ``slices`` the rows come in that many steps of time. A slice is written after the one before it, and the rows
+    that a key has in it are one file's, so files in the order of their writing keep every key's rows in order.
+    """
     spark = table.sparkSession
     path = new_folder(spark, f"{name}-input")
-    table.write.parquet(path)
-    return spark.readStream.schema(table.schema).parquet(path)
+    if slices == 1:
+        table.write.parquet(path)
+    else:
+        table = cut(table)
+        first, last = table.agg(F.min(ts), F.max(ts)).first()
+        step = max(1, -(-((last or 0) + 1 - (first or 0)) // slices))
+        for k in range(slices):
+            lo = (first or 0) + k * step
+            part = table.where((F.col(ts) >= lo) & (F.col(ts) < lo + step))
+            (part.repartition(*keys) if keys else part).write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(path)
