@@ -210,21 +210,26 @@ def _(spark, sf):
 
 
 # ---------------------------------------------------------------- evaluation
+#: The operator's least rows of a fold, for a cycle of an hour instead of ``SCORE_STEP`` seconds.
+E1_ROWS = V.REPLAY_MIN_ROWS * V.SCORE_STEP // 3600
+
+
 @query("E1_rolling_replay", f"""WITH RECURSIVE {HOURLY}, d AS (SELECT target, unnest(generate_series(min(t) // 86400 + 3, max(t) // 86400)) AS day FROM m GROUP BY target),
-  tr AS (SELECT d.target, d.day, m.t, unnest([{{f: 'click', v: click}}, {{f: 'error', v: error}}, {{f: 'purchase', v: purchase}}]) AS c FROM d JOIN m ON m.target = d.target AND m.t >= (d.day - 3) * 86400 AND m.t < d.day * 86400 AND ((m.t - (d.day - 3) * 86400) // 3600) % 2 = 0),
+  tr AS (SELECT d.target, d.day, m.t, unnest([{{f: 'click', v: click}}, {{f: 'error', v: error}}, {{f: 'purchase', v: purchase}}, {{f: 'signup', v: signup}}, {{f: 'view', v: view}}]) AS c FROM d JOIN m ON m.target = d.target AND m.t >= (d.day - 3) * 86400 AND m.t < d.day * 86400 AND ((m.t - (d.day - 3) * 86400) // 3600) % 2 = 0),
   md AS (SELECT target, day, c.f AS f, quantile_cont(c.v, 0.5) AS med FROM tr GROUP BY 1, 2, 3),
   mm AS (SELECT tr.target, tr.day, c.f AS f, med, greatest(greatest(quantile_cont(abs(c.v - med), 0.5), greatest(0.01 * abs(med), 0.01)), 0.6745 * 2 / 3.5) AS mad FROM tr JOIN md ON md.target = tr.target AND md.day = tr.day AND md.f = c.f GROUP BY tr.target, tr.day, c.f, med),
-  te AS (SELECT d.target, d.day, m.t, unnest([{{f: 'click', v: click}}, {{f: 'error', v: error}}, {{f: 'purchase', v: purchase}}]) AS c FROM d JOIN m ON m.target = d.target AND m.t // 86400 = d.day),
+  te AS (SELECT d.target, d.day, m.t, unnest([{{f: 'click', v: click}}, {{f: 'error', v: error}}, {{f: 'purchase', v: purchase}}, {{f: 'signup', v: signup}}, {{f: 'view', v: view}}]) AS c FROM d JOIN m ON m.target = d.target AND m.t // 86400 = d.day),
   zz AS (SELECT te.target, te.day, t, max(abs(0.6745 * CASE c.f WHEN 'error' THEN greatest(c.v - med, 0) WHEN 'purchase' THEN least(c.v - med, 0) ELSE c.v - med END / mad)) AS z_max FROM te JOIN mm ON mm.target = te.target AND mm.day = te.day AND mm.f = c.f GROUP BY 1, 2, 3),
-  rn AS (SELECT *, row_number() OVER (PARTITION BY target, day ORDER BY t) AS rn FROM zz),
+  ok AS (SELECT target, day FROM (SELECT target, day, count(DISTINCT t) AS n FROM tr GROUP BY 1, 2) JOIN (SELECT target, day, count(DISTINCT t) AS k FROM te GROUP BY 1, 2) USING (target, day) WHERE n >= {E1_ROWS} AND k >= {E1_ROWS}),
+  rn AS (SELECT *, row_number() OVER (PARTITION BY target, day ORDER BY t) AS rn FROM zz JOIN ok USING (target, day)),
   sm AS (SELECT target, day, rn, z_max AS s FROM rn WHERE rn = 1 UNION ALL SELECT rn.target, rn.day, rn.rn, 0.4 * rn.z_max + 0.6 * sm.s FROM sm JOIN rn ON rn.target = sm.target AND rn.day = sm.day AND rn.rn = sm.rn + 1),
   sj AS (SELECT rn.*, sm.s AS smoothed FROM rn JOIN sm USING (target, day, rn)), {latch_sql("sj", "smoothed", 2.0, 1.4, 3, 4, "lt", "target, day")}
   SELECT target, day, count(*)::DOUBLE AS hours, count(*) FILTER (opened) AS opens FROM lt GROUP BY 1, 2""")
 def _(spark, sf):
-    base = features.matrix(T.hourly(spark, sf), ("click", "error", "purchase"))
-    folds = cut(evaluate.rolling_folds(base, step=3600, min_rows=1))
+    base = features.matrix(T.hourly(spark, sf), T.FEATURES)
+    folds = cut(evaluate.rolling_folds(base, step=3600, min_rows=E1_ROWS))
     keyed = folds.withColumn("target", F.concat_ws("|", "target", F.col("day").cast("string")))
-    models = lifecycle.fit_baseline(keyed.where("role = 'train'").select("target", "t", "x"), T.SPEC[:3])
+    models = lifecycle.fit_baseline(keyed.where("role = 'train'").select("target", "t", "x"), T.SPEC)
     scored = lifecycle.deviations(lifecycle.attach(keyed.where("role = 'test'").select("target", "t", "x"), models)).select("target", "t", "z_max")
     replayed = detect.hysteresis(cut(scored), KEY, ["t"], "z_max", 2.0, 1.4, 3, 4, 0.4, width=86400)
     part = F.split("target", r"\|")
