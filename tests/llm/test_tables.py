@@ -113,6 +113,91 @@ def test_licences_of_a_tree(spark):
         assert (round(out[path]["score"], 5), out[path]["licence"]) == (round(score, 5), name)
 
 
+MIT = """MIT License
+
+Copyright (c) 2021 The Authors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+BSD = """Copyright (c) 2020, The Authors
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software.
+"""
+APACHE = """
+                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+"""
+GPL = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+"""
+MPL = """Mozilla Public License Version 2.0
+==================================
+
+1. Definitions
+--------------
+
+1.1. "Contributor"
+    means each individual or legal entity that creates, contributes to
+    the creation of, or owns Covered Software.
+"""
+
+
+def test_whole_licence_texts_speak_for_their_directories(spark):
+    texts = {"MIT": MIT, "BSD-3-Clause": BSD, "Apache-2.0": APACHE, "GPL-3.0": GPL, "MPL-2.0": MPL}
+    names = ("LICENSE", "LICENSE.txt", "licence.md", "COPYING", "License-2")
+    files = [(f"{k}/{n}", t) for (k, t), n in zip(texts.items(), names)] + [(f"{k}/src/deep/a.c", "int main(void);") for k in texts]
+    files += [
+        ("MIT/own.c", "/* Copyright 2019 Someone. All rights reserved. */\ncode"), ("closed/LICENSE", "Copyright 2018 Someone\r\nAll rights reserved."), ("closed/in/a.c", "x"),
+        ("MPL-2.0/b.c", "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0.\nx"), ("none/b.c", "line\n\n"),
+        ("two/LICENSE", MIT), ("two/COPYING", MIT), ("two/a.c", ""), ("other/notes.txt", MIT), ("other/a.c", ""),
+    ]
+    out = {r["path"]: (r["licence"], r["basis"], r["declared_in"]) for r in licences.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    for (k, _), n in zip(texts.items(), names):
+        assert out[f"{k}/{n}"] == (k, "file", None) and out[f"{k}/src/deep/a.c"] == (k, "directory", k)
+    assert out["MIT/own.c"] == (licences.RESERVED, "header", None) and out["closed/in/a.c"] == (licences.RESERVED, "directory", "closed")
+    assert out["MPL-2.0/b.c"] == ("MPL-2.0", "header", None) and out["none/b.c"] == (None, "none", None)
+    assert out["two/a.c"] == ("MIT", "directory", "two") and out["other/notes.txt"][:2] == ("MIT", "header") and out["other/a.c"] == (None, "none", None)
+
+
+def test_reserved_rights_are_named(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    said = {r["doc_id"] for r in docs.where(r"text rlike '(^|\\n)All rights reserved\\.'").collect()}
+    found = {r["doc_id"]: r["licence"] for r in licences.licence_rows(docs).where("licence is not null").collect()}
+    assert len(said) > 50 and said <= set(found) and sum(found[i] == licences.RESERVED for i in said) >= 0.95 * len(said)
+
+
 def test_licence_rows_of_odd_tables(spark):
     out = licences.licence_rows(documents(spark))
     assert out.count() == 17 and {r["basis"] for r in out.collect()} == {"none"}
