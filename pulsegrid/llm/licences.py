@@ -1,7 +1,7 @@
 """Licence scans in DataFrame operations: TF-IDF cosine of statements to templates, then inheritance along paths.
 
-* A *statement* is a line of a file that holds one of the ``ANCHORS``, alone or joined with neighbouring lines (up to
-  ``LINES`` in all), since statements are wrapped, or a sentence of such a line. A *licence file* is a file with a licence file's name, or one that
+* A *statement* is a line of a file that holds one of the ``ANCHORS``, alone, joined with neighbouring lines (up to ``LINES``
+  in all, none longer than ``WRAP``: a longer line isn't one that somebody has wrapped), or a sentence of such a line. A *licence file* is a file with a licence file's name, or one that
   holds nothing but a statement.
 * Words are runs of [a-z0-9] after lower-casing. A word weighs its count times
   ``ln((1 + documents) / (1 + documents with it)) + 1``; documents are counted over the whole table for the words
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import stored
 
-LEAST, LINES = 0.6, 4
+LEAST, LINES, WRAP = 0.6, 4, 160
 RESERVED = "All-Rights-Reserved"
 ANCHORS = r"(?i)licen[cs]e|copyright|creative commons|public domain|permission is hereby|redistribution and use|rights reserved"
 LICENCE_NAME = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
@@ -100,7 +100,9 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None) -> Dat
     lines = F.split("text", "\n")
     # places of anchored lines first: windows are cut only around them
     anchored = spoken.select("path", lines.alias("lines"), F.explode(F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(ANCHORS), i)), lambda i: i.isNotNull())).alias("i"))
-    windows = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LINES)), lambda k: F.transform(F.sequence(F.greatest(F.lit(0), F.col("i") - k + 1), F.col("i")), lambda j: F.array_join(F.slice("lines", j + 1, k), " "))))
+    groups = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(LINES)), lambda k: F.transform(F.sequence(F.greatest(F.lit(0), F.col("i") - k + 1), F.col("i")), lambda j: F.slice("lines", j + 1, k))))
+    short = F.when(F.length(F.get("lines", F.col("i"))) <= WRAP, F.filter(groups, lambda g: F.forall(g, lambda x: F.length(x) <= WRAP))).otherwise(F.slice(groups, 1, 0))
+    windows = F.concat(F.array(F.get("lines", F.col("i"))), F.transform(short, lambda g: F.array_join(g, " ")))
     sentences = F.filter(F.split(F.get("lines", F.col("i")), r"(?<=[.;])\s+"), lambda x: x.rlike(ANCHORS))
     parts = anchored.select("path", F.explode(F.array_distinct(F.concat(windows, sentences))).alias("unit")).select("path", F.trim(F.regexp_replace("unit", r"[\x09-\x0D]+", " ")).alias("unit"), F.lit(False).alias("whole"))
     wholes = spoken.where(~F.col("text").rlike(r"\n[\s\S]*\S")).where("text is not null").select("path", body.alias("unit"), F.lit(True).alias("whole"))
