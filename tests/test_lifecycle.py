@@ -92,7 +92,7 @@ def test_stream_over_many_batches_with_late_rows_equals_the_batch(spark, batch):
             late += near.count()
             near.unionByName(far).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    detector = processors.Detector(lam=V.EWMA_LAMBDA, count_feature="pods", ttl=90 * 86400)
+    detector = processors.Detector(lam=V.EWMA_LAMBDA, count_feature="pods", ttl=90 * 86400, report_late=True)
     out = cut(jobs.drain(jobs.keyed(stream, ["target"], detector, "t", "2 hours"), "late"))
     assert out.where("event_kind = 'late'").count() == late
     kept = out.where("event_kind is null or event_kind <> 'late'")
