@@ -11,6 +11,7 @@ from pulsegrid.plans import tables as T
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.tables import COUNTER, EV, HOURLY, read
 from pulsegrid.session import cut
+from pulsegrid.streaming import jobs, processors
 
 HOUR = 3600
 
@@ -160,18 +161,26 @@ def _(spark, sf):
     return R.inhibit(alerts).select("alertname", "series", "t", "state")
 
 
-@query("R34_grouping_repeat", f"""WITH {COUNTER}, {", ".join(_held(n) for n in ("AnomalieAIOps", "ServeurVideDetecte", "CollecteurArrete"))},
-  a AS ({" UNION ALL ".join(f"SELECT * FROM {n}" for n in ("AnomalieAIOps", "ServeurVideDetecte", "CollecteurArrete"))}),
-  f AS (SELECT alertname, regexp_extract(series, 'node="([^"]*)"', 1) AS node, t, count(*) AS alerts FROM a WHERE state = 'firing' AND severity <> 'info' GROUP BY 1, 2, 3),
-  i AS (SELECT *, min(t) OVER (PARTITION BY alertname, node, g) AS since FROM (SELECT *, t - 3600 * row_number() OVER (PARTITION BY alertname, node ORDER BY t) AS g FROM f)),
-  n AS (SELECT *, t - since - 30 AS age FROM i)
-  SELECT alertname, node, t, since, alerts, age // 14400 AS repeat_no FROM n WHERE age >= 0 AND age // 14400 > CASE WHEN age >= 3600 THEN (age - 3600) // 14400 ELSE -1 END""")
+_ROUTED = ("AnomalieAIOps", "ServeurVideDetecte", "CollecteurArrete")
+
+
+def notified(spark, firing, end, name):
+    """Firing alerts through both routes and the notification processor, as a stream over three steps of time."""
+    states = R.group_states(R.routed(firing), HOUR, end)
+    rows = jobs.replay(states, name, R.GROUP, slices=3)
+    return jobs.drain(jobs.keyed(rows, R.GROUP, processors.Notifier(ttl=7 * 86400), "t", "2 hours"), name)
+
+
+@query("R34_grouping_repeat", f"""WITH {COUNTER}, {", ".join(_held(n) for n in _ROUTED)}, a AS ({" UNION ALL ".join(f"SELECT * FROM {n}" for n in _ROUTED)}),
+  f AS (SELECT *, regexp_extract(series, 'node="([^"]*)"', 1) AS node, regexp_extract(series, 'job="([^"]*)"', 1) AS job FROM a WHERE state = 'firing'),
+  gs AS (SELECT 'mail' AS route, alertname, node, '' AS job, t, list_sort(list(DISTINCT series)) AS members FROM f WHERE severity <> 'info' GROUP BY ALL
+    UNION ALL SELECT 'agent', alertname, node, job, t, list_sort(list(DISTINCT series)) FROM f GROUP BY ALL), {T.NOTIFIED}""")
 def _(spark, sf):
-    shown = [R.BY_NAME[n] for n in ("AnomalieAIOps", "ServeurVideDetecte", "CollecteurArrete")]
-    alerts = R.evaluate_all(cut(metrics(spark, sf, {x for r in shown for x in r.reads})), R.Grid(HOUR), shown)
-    mailed = R.mail_route(alerts).where("state = 'firing'").withColumn("node", L.label(F.col("labels"), "node"))
-    sent = R.notifications(mailed, ["alertname", "node"], 30, 4 * HOUR, HOUR)
-    return sent.select("alertname", "node", "t", "since", "alerts", "repeat_no")
+    shown = [R.BY_NAME[n] for n in _ROUTED]
+    samples = cut(metrics(spark, sf, {x for r in shown for x in r.reads}))
+    alerts = R.evaluate_all(samples, R.Grid(HOUR), shown).where("state = 'firing'")
+    firing = alerts.withColumns({n: L.label(F.col("labels"), n) for n in ("node", "job")})
+    return notified(spark, firing, samples.agg(F.max("t")), "R34")
 
 
 # ---------------------------------------------------------------- decisions

@@ -13,10 +13,14 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid import vocabulary as V
 from pulsegrid.functions import labels as L
 from pulsegrid.operators import detect, series, vector
 
 
+GROUP = ["route", "alertname", "node", "job"]
+
+
 class Grid(NamedTuple):
     """Evaluation ticks: step in seconds and, when known, the first and last tick.
 
@@ -231,9 +235,29 @@ def inhibit(alerts: DataFrame) -> DataFrame:
     return rows.where(~masked).unionByName(kept).drop("__node")
 
 
-def mail_route(alerts: DataFrame) -> DataFrame:
-    """Informational alerts are not mailed."""
-    return alerts.where(F.col("severity") != "info")
+def routed(firing: DataFrame, routes=V.ROUTES) -> DataFrame:
+    """Firing alerts (alertname, severity, node, job, t, series) under every route that takes them.
+
+    Adds ``route``; a label the route doesn't group by is empty.
+    """
+    out = None
+    for name, *_, group, left_out in routes:
+        taken = firing.where(~F.col("severity").isin(*left_out)) if left_out else firing
+        labels = [(F.coalesce(c, F.lit("")) if c in group else F.lit("")).alias(c) for c in ("alertname", "node", "job")]
+        part = taken.select(F.lit(name).alias("route"), *labels, "t", "series")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def group_states(alerts: DataFrame, step: int, end: DataFrame) -> DataFrame:
+    """Members of every alert group at the ticks where it fires, and at the two ticks after, up to the tick ``end``.
+
+    The further ticks carry the news that a group went quiet. ``end`` is a table of one value, the last tick evaluated.
+    """
+    shifted = alerts.select("*", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("__k"))
+    at = shifted.withColumns({"t": F.col("t") + F.col("__k") * step, "series": F.when(F.col("__k") == 0, F.col("series"))})
+    members = F.sort_array(F.collect_set("series")).alias("members")
+    return at.where(F.col("t") <= end.scalar()).groupBy(*GROUP, "t").agg(members)
 
 
 def top_feature_text(metrics: DataFrame) -> DataFrame:
@@ -242,17 +266,3 @@ def top_feature_text(metrics: DataFrame) -> DataFrame:
     z = _keyed(pick(metrics, "aiops_top_feature_zscore"), "node")
     return feature.select("t", "node", "feature").join(z.select("t", "node", F.col("value").alias("z")), ["t", "node"], "left")
 
-
-
-
-def notifications(firing: DataFrame, group: list[str], wait: int, repeat: int, step: int) -> DataFrame:
-    """Ticks at which a group is notified: ``wait`` after it starts, then every ``repeat`` while it lasts.
-
-    Firing: one row per alert, tick and group. A tick without any alert of the group ends it.
-    """
-    ticks = firing.groupBy(*group, "t").agg(F.count("*").alias("alerts"))
-    held = detect.hold_for(ticks, group, 0, step).drop("state")
-    age = F.col("t") - F.col("active_since") - wait
-    due = F.floor(age / repeat)
-    before = F.when(age - step >= 0, F.floor((age - step) / repeat)).otherwise(-1)
-    return held.where((age >= 0) & (due > before)).withColumn("repeat_no", due).withColumnRenamed("active_since", "since")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid import vocabulary as V
 from pulsegrid.operators import audit, decisions, features, lifecycle
 from pulsegrid.plans import tables as T
+from pulsegrid.plans.alerting import notified
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.tables import EV, HOURLY, read
 from pulsegrid.plans.windows import SUPPRESSED, suppressed
@@ -81,12 +82,15 @@ def _(spark, sf):
     return jobs.drain(jobs.keyed(jobs.replay(ev, "T4"), ["incident"], processors.OncePerIncident()), "T4")
 
 
-@query("T5_notification_repeat", f"""WITH {HOURLY}, f AS (SELECT 'CollecteurArrete' AS alertname, target AS node, t, count(*) AS alerts FROM m WHERE purchase = 0 GROUP BY 2, 3),
-  i AS (SELECT *, min(t) OVER (PARTITION BY node, g) AS since FROM (SELECT *, t - 3600 * row_number() OVER (PARTITION BY node ORDER BY t) AS g FROM f)), n AS (SELECT *, t - since - 30 AS age FROM i)
-  SELECT alertname, node, t, since, alerts FROM n WHERE age >= 0 AND age // 14400 > CASE WHEN age >= 3600 THEN (age - 3600) // 14400 ELSE -1 END""")
+@query("T5_notification_repeat", f"""WITH {HOURLY}, f AS (SELECT target AS node, t, feature FROM (UNPIVOT m ON {", ".join(T.FEATURES)} INTO NAME feature VALUE value) WHERE value = 0),
+  gs AS (SELECT route, 'CollecteurArrete' AS alertname, node, job, t, list_sort(list(feature)) AS members FROM f, (VALUES ('mail', ''), ('agent', 'cadvisor')) r(route, job) GROUP BY ALL), {T.NOTIFIED}""")
 def _(spark, sf):
-    ticks = T.hourly(spark, sf).where("purchase = 0").groupBy(F.lit("CollecteurArrete").alias("alertname"), F.col("target").alias("node"), "t").agg(F.count("*").alias("alerts"))
-    return jobs.drain(jobs.keyed(jobs.replay(ticks, "T5"), ["alertname", "node"], processors.Notifier(30, 4 * HOUR, HOUR)), "T5")
+    # every feature silent for an hour is a firing member of its node's group
+    silent = cut(T.hourly_long(spark, sf))
+    firing = silent.where("value = 0").select(
+        F.lit("CollecteurArrete").alias("alertname"), F.lit("warning").alias("severity"), F.col("target").alias("node"), F.lit("cadvisor").alias("job"), "t", F.col("feature").alias("series")
+    )
+    return notified(spark, firing, silent.agg(F.max("t")), "T5")
 
 
 _GUARDED = f"""WITH RECURSIVE {EV},

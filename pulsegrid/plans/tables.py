@@ -128,6 +128,18 @@ sj AS (SELECT rn.*, sm.smoothed FROM rn JOIN sm USING (target, rn)),
 {latch_sql("sj", "smoothed", Z_HIGH, Z_LOW, VOTE_K, VOTE_N, "lt")}"""
 
 
+#: Notifications of hourly groups ``gs`` (route, alertname, node, job, t, members), members never empty, up to the hour
+#: before the last: on whole hours every look but the first of an hour is a repeat at most, so windows say it all.
+NOTIFIED = """gl AS (SELECT *, lag(t) OVER w = t - 3600 AS goes_on, lag(members) OVER w AS before, lead(t) OVER w = t + 3600 AS stays FROM gs WINDOW w AS (PARTITION BY route, alertname, node, job ORDER BY t)),
+  gk AS (SELECT *, CASE WHEN NOT coalesce(goes_on, FALSE) THEN 'first' WHEN route = 'mail' AND members <> before OR NOT list_has_all(before, members) THEN 'changed' ELSE 'repeat' END AS reason FROM gl),
+  ga AS (SELECT *, max(t) FILTER (reason = 'first') OVER w AS since, max(t) FILTER (reason <> 'repeat') OVER w AS told FROM gk WINDOW w AS (PARTITION BY route, alertname, node, job ORDER BY t)),
+  gn AS (SELECT route, alertname, node, job, t AS h, t + 30 AS t, since, len(members) AS alerts, reason FROM ga WHERE route = 'mail' AND (t - told) % 14400 = 0
+    UNION ALL SELECT route, alertname, node, job, t + 3600, t + 3630, since, 0, 'resolved' FROM ga WHERE route = 'mail' AND NOT coalesce(stays, FALSE)
+    UNION ALL SELECT route, alertname, node, job, t, t + 10, since, len(members), reason FROM ga WHERE route = 'agent'
+    UNION ALL SELECT route, alertname, node, job, t, t + 1810, since, len(members), 'repeat' FROM ga WHERE route = 'agent')
+  SELECT route, alertname, node, job, t, since, alerts, reason FROM gn WHERE h < (SELECT max(t) FROM m)"""
+
+
 def hourly_long(spark: SparkSession, sf: str) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES])
     return hourly(spark, sf).select("target", "t", F.explode(pairs).alias("p")).select("target", "t", "p.*")

@@ -107,6 +107,13 @@ FAILURE_BREAKER = 3
 VERIFY_DELAY = 300
 DAY = 86400
 
+# Notification routes: name, wait, interval and repeat in seconds, whether resolved alerts are told, grouping labels,
+# severities left out.
+ROUTES = (
+    ("mail", 30, 300, 4 * 3600, True, ("alertname", "node"), ("info",)),
+    ("agent", 10, 60, 1800, False, ("alertname", "node", "job"), ()),
+)
+
 # Return codes of an executed action.
 OUTCOMES = {0: "succes", 3: "rien_a_faire", 4: "refusee"}
 OUTCOME_FAILED = "echec"
