@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid import vocabulary as V
 from pulsegrid.functions import inventory, labels as L
-from pulsegrid.operators import audit, detect, evaluate, features, series, slopes, summaries, vector
+from pulsegrid.operators import audit, detect, evaluate, features, formulas, series, slopes, summaries, vector
 from pulsegrid.plans import tables as T
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.tables import END, EV, FEATURES, HOUR, HOURLY, MID, read
@@ -237,6 +237,80 @@ def _(spark, sf):
     return features.project(long, spec, ["signup"]).select("target", "t", "ord", "feature", F.round("value", 6).alias("value"))
 
 
+_FLEET_SPEC = {
+    **{f"node-{n}": ("node", features.node_spec(n < 2)) for n in range(4)},
+    "appli-shop": ("application", features.application_spec(["api"], base=True)),
+}
+_REACH, _LOOKBACK = 4 * 3600, 5 * 3600
+_BOXES = ("server", "postgres", "POD", "api", "postgres", "")
+
+
+def raw_samples(spark, sf):
+    """The events read as raw metric samples: of every event type the series of (node, sub), at the seconds of its events."""
+    seen = T.events(spark, sf).groupBy("feature", F.col("target").alias("node"), (F.col("user_id") % 6).alias("sub"), "t").agg(F.max("value").alias("v"))
+    node, sub, v, up = F.col("node"), F.col("sub"), F.col("v"), F.col("t") % 604800
+    text = sub.cast("string")
+    box = F.element_at(F.array(*[F.lit(b) for b in _BOXES]), (sub + 1).cast("int"))
+    space = F.when(sub < 3, "default").otherwise("shop")
+
+    def sample(feature, name, value, when=None, **labels):
+        pairs = [x for k, c in labels.items() for x in (F.lit(k), F.lit(c) if isinstance(c, str) else c)]
+        made = F.struct(F.lit(name).alias("name"), F.create_map(*pairs).cast("map<string,string>").alias("labels"), value.cast("double").alias("value"))
+        return F.when((F.col("feature") == feature) & (F.lit(True) if when is None else when), made)
+
+    pod = {"job": "cadvisor-k3s", "node": node, "container_label_io_kubernetes_pod_namespace": space, "container_label_io_kubernetes_container_name": box}
+    probe = {"job": "applications", "application": "shop", "instance": F.concat(node, text)}
+    made = [
+        sample("view", "node_memory_MemAvailable_bytes", v, node=node, instance=text),
+        sample("view", "node_memory_MemTotal_bytes", 2 * v + 50, node=node, instance=text),
+        sample("click", "node_cpu_seconds_total", up * 0.75, node=node, cpu=text, mode=F.when(sub < 4, "idle").otherwise("user")),
+        sample("error", "node_network_receive_bytes_total", up * 2048, node=node, device=F.when(sub < 2, "lo").when(sub < 4, "veth1").otherwise(F.concat(F.lit("eth"), text))),
+        sample("purchase", "container_memory_working_set_bytes", v * 1048576, **pod),
+        sample("purchase", "container_cpu_usage_seconds_total", up * 0.25, **pod),
+        sample("signup", "probe_success", (F.col("t") % 10 != 0).cast("int"), sub < 3, **probe),
+        sample("signup", "probe_duration_seconds", v / 100, sub < 3, **probe),
+        sample("signup", "node_filesystem_avail_bytes", v, sub >= 3, node=node, device=text, mountpoint="/", fstype="ext4"),
+        sample("signup", "node_filesystem_size_bytes", v + 100, sub >= 3, node=node, device=text, mountpoint="/", fstype="ext4"),
+    ]
+    return seen.select("t", F.explode(F.array_compact(F.array(*made))).alias("m")).select("t", "m.*")
+
+
+_SPEC_ROWS = ", ".join(f"('{target}', {i}, '{f[0]}')" for target, (_, spec) in _FLEET_SPEC.items() for i, f in enumerate(spec))
+
+
+@query("P5_metric_features", f"""WITH {T.EV},
+  sn AS (SELECT feature AS kind, target AS node, user_id % 6 AS sub, t, max(value) AS v FROM ev GROUP BY ALL),
+  sm AS (SELECT *, t % 604800 AS up, lag(t % 604800) OVER (PARTITION BY kind, node, sub ORDER BY t) AS was FROM sn),
+  tk AS (SELECT kind, node, sub, unnest(generate_series((min(t) + 3599) // 3600 * 3600, (max(t) + {_LOOKBACK}) // 3600 * 3600, 3600)) AS t FROM sn GROUP BY kind, node, sub),
+  nw AS (SELECT tk.*, s.v, s.t AS seen FROM tk ASOF JOIN sn s ON s.kind = tk.kind AND s.node = tk.node AND s.sub = tk.sub AND s.t <= tk.t WHERE tk.t - s.t < {_LOOKBACK}),
+  rt AS (SELECT tk.kind, tk.node, tk.sub, tk.t, (sum(CASE WHEN was IS NULL THEN 0 WHEN up < was THEN up ELSE up - was END) - arg_min(CASE WHEN was IS NULL THEN 0 WHEN up < was THEN up ELSE up - was END, s.t)) AS grown, max(s.t) - min(s.t) AS span
+    FROM tk JOIN sm s ON s.kind = tk.kind AND s.node = tk.node AND s.sub = tk.sub AND s.t > tk.t - {_REACH} AND s.t <= tk.t GROUP BY ALL),
+  rr AS (SELECT kind, node, sub, t, grown / span AS rate FROM rt WHERE span > 0),
+  al AS (SELECT nw.*, rate, {list(_BOXES)}[sub + 1] AS box FROM nw LEFT JOIN rr USING (kind, node, sub, t)),
+  vals AS (
+    SELECT node AS target, t, 'cpu_host' AS feature, 100 - avg(rate * 0.75) * 100 AS value FROM al WHERE kind = 'click' AND sub < 4 AND rate IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT node, t, 'ram_host', (1 - avg(v) / avg(2 * v + 50)) * 100 FROM al WHERE kind = 'view' GROUP BY ALL
+    UNION ALL SELECT node, t, 'disk_host', (1 - avg(v) / avg(v + 100)) * 100 FROM al WHERE kind = 'signup' AND sub >= 3 GROUP BY ALL
+    UNION ALL SELECT node, t, 'net_rx_kb', sum(rate * 2) FROM al WHERE kind = 'error' AND sub >= 4 AND rate IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT node, t, 'cpu_server', sum(rate * 25) FROM al WHERE kind = 'purchase' AND sub = 0 AND rate IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT node, t, 'ram_server_mb', sum(v) FROM al WHERE kind = 'purchase' AND sub = 0 GROUP BY ALL
+    UNION ALL SELECT node, t, 'ram_postgres_mb', sum(v) FROM al WHERE kind = 'purchase' AND sub = 1 GROUP BY ALL
+    UNION ALL SELECT node, t, 'app_containers', count(DISTINCT box) FROM al WHERE kind = 'purchase' AND sub < 2 GROUP BY ALL
+    UNION ALL SELECT 'appli-shop', t, 'cpu_api', sum(rate * 25) FROM al WHERE kind = 'purchase' AND sub = 3 AND rate IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT 'appli-shop', t, 'ram_api_mb', sum(v) FROM al WHERE kind = 'purchase' AND sub = 3 GROUP BY ALL
+    UNION ALL SELECT 'appli-shop', t, 'ram_base_mb', sum(v) FROM al WHERE kind = 'purchase' AND sub = 4 GROUP BY ALL
+    UNION ALL SELECT 'appli-shop', t, 'app_containers', count(DISTINCT box) FROM al WHERE kind = 'purchase' AND sub IN (3, 4) GROUP BY ALL
+    UNION ALL SELECT 'appli-shop', t, 'web_ok', min((seen % 10 <> 0)::INT) FROM al WHERE kind = 'signup' AND sub < 3 GROUP BY ALL
+    UNION ALL SELECT 'appli-shop', t, 'web_ms', max(v / 100) * 1000 FROM al WHERE kind = 'signup' AND sub < 3 GROUP BY ALL),
+  spec(target, ord, feature) AS (VALUES {_SPEC_ROWS}), k AS (SELECT DISTINCT target, t FROM vals)
+  SELECT k.target, k.t, spec.ord, spec.feature, round(coalesce(value, CASE WHEN spec.feature NOT IN {formulas.MEASURED} THEN 0 END), 6) + 0 AS value
+  FROM k JOIN spec USING (target) LEFT JOIN vals ON vals.target = k.target AND vals.t = k.t AND vals.feature = spec.feature""")
+def _(spark, sf):
+    spec = features.spec_table(spark, _FLEET_SPEC)
+    out = formulas.features_of(raw_samples(spark, sf), spec, HOUR, _REACH, _LOOKBACK, width=24 * HOUR)
+    return out.select("target", "t", "ord", "feature", (F.round("value", 6) + 0).alias("value"))
+
+
 @query("P6_target_catalogue", """WITH c AS (SELECT c_custkey, lower(replace(c_name, '#', CASE WHEN c_custkey % 9 = 0 THEN '_' ELSE '-' END)) AS app, lower(c_mktsegment) AS seg, c_custkey % 7 = 0 AS base, c_custkey % 11 = 0 AS twice
     FROM (SELECT c_custkey - c_custkey % 13 // 12 AS k, * FROM customer)),
   n AS (SELECT *, CASE WHEN c_custkey % 1000 < 2 THEN 'shared' ELSE app END AS name FROM c),

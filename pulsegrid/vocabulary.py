@@ -77,6 +77,9 @@ APP_WEB_FEATURES = (("web_ok", 0.0, 1.0, 0.5, "down", INF), ("web_ms", 0.0, 6000
 # Features read as 0 when their series are empty; the others are missing then.
 ZERO_FILLED = ("cpu_server", "ram_server_mb", "ram_postgres_mb", "app_containers")
 
+# Network devices that carry no traffic of their own.
+VIRTUAL_DEVICES = "lo|veth.*|docker.*|br-.*|cni.*|flannel.*"
+
 NODE_NAME = r"^[a-z0-9][a-z0-9-]{0,62}$"
 K8S_NAME = r"^[a-z0-9]([-a-z0-9]{0,61}[a-z0-9])?$"
 APP_PREFIX = "appli-"
