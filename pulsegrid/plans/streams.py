@@ -122,14 +122,19 @@ def _(spark, sf):
     return jobs.drain(jobs.keyed(jobs.replay(planned, "T6"), ["scope"], processors.Guard()), "T6")
 
 
-@query("T7_delayed_verification", f"""WITH {EV}, a AS (SELECT event_id, user_id, t FROM ev WHERE feature = 'purchase'), f AS (SELECT user_id, t AS s, t + 7200 AS e FROM ev WHERE feature = 'error')
-  SELECT event_id, CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.user_id = a.user_id AND a.t + 300 BETWEEN s AND e) THEN 'persistant' ELSE 'resolu' END AS verification FROM a""")
+@query("T7_delayed_verification", f"""WITH {HOURLY}, a AS (SELECT event_id, user_id, target, t FROM ev WHERE feature = 'purchase' AND (event_id % 3 = 0 OR event_id % 5 = 0)), f AS (SELECT user_id, t AS s, t + 7200 AS e FROM ev WHERE feature = 'error'),
+  r AS (SELECT a.*, coalesce(m.signup > 0, FALSE) AS readable FROM a LEFT JOIN m ON m.target = a.target AND m.t = (a.t + 300) // 3600 * 3600)
+  SELECT event_id, CASE WHEN NOT readable THEN 'inconnu' WHEN EXISTS (SELECT 1 FROM f WHERE f.user_id = r.user_id AND r.t + 300 BETWEEN s AND e) THEN 'persistant' ELSE 'resolu' END AS verification FROM r""")
 def _(spark, sf):
+    # simulated actions and successes are verified; an hour without a sign of its node's alert source leaves them unknown
     ev = T.events(spark, sf)
     name, node = F.lit("RamElevee").alias("alertname"), F.col("user_id").cast("string").alias("node")
-    actions = ev.where("feature = 'purchase'").select(name, node, "t", "event_id")
+    taken = ev.where("feature = 'purchase'").select(name, node, "target", "t", "event_id", F.expr("(t + 300) div 3600 * 3600").alias("hour"))
+    alive = T.hourly(spark, sf).select("target", F.col("t").alias("hour"), (F.col("signup") > 0).alias("readable"))
+    actions = taken.join(alive, ["target", "hour"], "left")
     firing = ev.where("feature = 'error'").select(name, node, F.col("t").alias("start"), (F.col("t") + 7200).alias("end"))
-    return decisions.verify(actions, firing, width=T.width(ev, ["user_id"])).select("event_id", "verification")
+    acted = (F.col("event_id") % 3 == 0) | (F.col("event_id") % 5 == 0)
+    return decisions.verify(actions, firing, width=T.width(ev, ["user_id"]), acted=acted, readable=F.col("readable")).select("event_id", "verification")
 
 
 @query("T8_snapshot_carry", f"""WITH {EV}, d AS (SELECT 'n' || user_id AS node, t, max(feature) AS services, bool_or(feature <> 'error') AS ok FROM ev GROUP BY 1, 2)
