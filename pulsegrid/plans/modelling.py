@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsegrid import vocabulary as V
@@ -343,6 +344,74 @@ def _(spark, sf):
     return evaluate.replay_grid(cut(z), KEY, width=WIDE).select("target", "setting", "lam", "k", "n", "z_high", "opens")
 
 
+#: Three faults of the calibration stream (name, first row, last row) and the delay in seconds each may take.
+_FAULTS = (("cpu", 200, 239), ("memory", 350, 389), ("network", 500, 539))
+_LIMITS = {"cpu": 120, "memory": 600, "network": 120}
+_CALM = 0.6  # outside the faults the stream is this much calmer than the counts
+
+
+def _calibration_sql() -> str:
+    """Every setting on the quiet series (as E6_grid_calibration) and on the fault stream, fused and ranked."""
+    scale = f"CASE WHEN {' OR '.join(f'rn BETWEEN {a} AND {b}' for _, a, b in _FAULTS)} THEN 4 ELSE {_CALM} END"
+    parts = [f"fs AS (SELECT target, rn AS t, rn, z_max * {scale} AS z, effect * {scale} / 10 AS sc, effect * {scale} >= 1 AS rel FROM rn)"]
+    for lam in V.GRID_LAMBDA:
+        no = int(lam * 10)
+        for series, value in (("z", f"fz{no}"), ("sc", f"ff{no}")):
+            parts.append(f"{value} AS (SELECT target, rn, {series} AS v FROM fs WHERE rn = 1 UNION ALL SELECT fs.target, fs.rn, {lam} * fs.{series} + {1 - lam} * {value}.v FROM {value} JOIN fs ON fs.target = {value}.target AND fs.rn = {value}.rn + 1)")
+    opened = []
+    setting = 0
+    for lam in V.GRID_LAMBDA:
+        for k, n in V.GRID_VOTE:
+            forest = f"fo{setting}"
+            parts.append(f"{forest}j AS (SELECT target, t, v FROM ff{int(lam * 10)} JOIN fs USING (target, rn)), {latch_sql(forest + 'j', 'v', 0.5, 0.4, k, n, forest)}")
+            for high in V.GRID_Z_HIGH:
+                name = f"fg{setting}"
+                parts.append(f"{name}j AS (SELECT target, t, v FROM fz{int(lam * 10)} JOIN fs USING (target, rn)), {latch_sql(name + 'j', 'v', high, high - 1, k, n, name)}")
+                parts.append(
+                    f"{name}u AS (SELECT target, t, act, lag(act) OVER (PARTITION BY target ORDER BY t) AS was FROM (SELECT z.target, z.t, z.active OR (f.active AND rv >= {k}) AS act FROM {name} z JOIN {forest} f USING (target, t)"
+                    f" JOIN (SELECT target, t, sum(rel::INT) OVER (PARTITION BY target ORDER BY t ROWS {n - 1} PRECEDING) AS rv FROM fs) USING (target, t)))"
+                )
+                opened.append(f"SELECT target, {setting} AS setting, t FROM {name}u WHERE act AND NOT coalesce(was, FALSE)")
+                setting += 1
+    base = _grid_sql()
+    head, tail = base[: base.index(" SELECT target, 0 AS setting")], base[base.index(" SELECT target, 0 AS setting") + 1 :]
+    spans = ", ".join(f"('{name}', {a}, {b + V.GRACE_CYCLES})" for name, a, b in _FAULTS)
+    delay = lambda name: f"(min(t - a) FILTER (name = '{name}')) * 15"
+    missing = " + ".join(f"coalesce(nullif(d{i}, 0), {V.MISSING_DELAY})" for i in range(3))
+    return f"""{head}, quiet AS ({tail}), {", ".join(parts)}, op AS ({" UNION ALL ".join(opened)}), fw(name, a, b) AS (VALUES {spans}),
+  hit AS (SELECT op.*, name, a FROM op LEFT JOIN fw ON op.t BETWEEN a AND b),
+  per AS (SELECT target, setting, {", ".join(f"{delay(n)} AS d{i}" for i, n in enumerate(_LIMITS))}, count(*) FILTER (name IS NULL) AS false_alarms FROM hit GROUP BY 1, 2),
+  dy AS (SELECT target, greatest((max(t) - min(t)) / 86400.0, 1e-6) AS days FROM rn GROUP BY 1),
+  al AS (SELECT quiet.target, quiet.setting, opens / days AS alerts_per_day, d0, d1, d2, coalesce(false_alarms, 0) AS false_alarms FROM quiet JOIN dy USING (target) LEFT JOIN per USING (target, setting)),
+  fe AS (SELECT *, false_alarms = 0 AND {" AND ".join(f"coalesce(d{i} <= {limit}, FALSE)" for i, limit in enumerate(_LIMITS.values()))} AS feasible, {missing} AS total_delay FROM al)
+  SELECT target, setting, round(alerts_per_day, 6) AS alerts_per_day, d0, d1, d2, false_alarms, feasible::INT AS feasible, total_delay,
+    row_number() OVER (PARTITION BY target ORDER BY feasible DESC, alerts_per_day, total_delay, setting) AS place FROM fe"""
+
+
+@query("E6_calibration", _calibration_sql())
+def _(spark, sf):
+    scores = cut(T.scored(spark, sf).select("target", "t", "z_max", "effect"))
+    numbered = blocks.with_index(scores, KEY, ["t"], "rn", WIDE).withColumn("rn", F.col("rn").cast("long") + 1)
+    in_fault = F.lit(False)
+    for _, a, b in _FAULTS:
+        in_fault = in_fault | F.col("rn").between(a, b)
+    scale = F.when(in_fault, 4).otherwise(_CALM)
+    stream = numbered.select(
+        "target", F.col("rn").alias("t"), (F.col("z_max") * scale).alias("z_max"), (F.col("effect") * scale / 10).alias("score"), (F.col("effect") * scale >= 1).alias("relevant"),
+        F.lit(0.5).alias("threshold"), F.lit(0.4).alias("low_threshold"),
+    )
+    faults = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for n, a, b in _FAULTS])
+    events = scores.select("target").distinct().select("target", F.explode(faults).alias("e")).select("target", "e.*")
+    quiet = scores.select("target", "t", (F.col("z_max") * 2).alias("z_max"))
+    ranked = evaluate.calibrate(quiet, stream, events, _LIMITS, width=WIDE)
+    # the settings of a target are 36 rows, whatever the length of its series
+    best_first = Window.partitionBy("target").orderBy(F.col("feasible").cast("int").desc(), "alerts_per_day", "total_delay", "setting")
+    return ranked.withColumn("place", F.row_number().over(best_first)).select(
+        "target", "setting", F.round("alerts_per_day", 6).alias("alerts_per_day"), *[F.col("delays")[i].alias(f"d{i}") for i in range(3)], "false_alarms",
+        F.col("feasible").cast("int").alias("feasible"), "total_delay", "place",
+    )
+
+
 @query("E7_episode_labelling", f"""WITH {_HOLES}, {_EPISODES}, w AS (SELECT target, t AS t0, t + 300 AS t1 FROM ev WHERE feature = 'view' AND value > 100),
   lb AS (SELECT eps.*, EXISTS (SELECT 1 FROM w WHERE w.target = eps.target AND eps.start BETWEEN t0 - 15 AND t1 + 600) AS tp FROM eps)
   SELECT count(*) FILTER (tp) AS tp, count(*) FILTER (NOT tp) AS fp, round(count(*) FILTER (tp) / count(*), 6) AS precision, round(count(*) FILTER (NOT tp) / 720.0, 6) AS fp_per_hour FROM lb""")
