@@ -2,7 +2,8 @@
 
 Text becomes bytes, bytes become the printable characters of the byte table, and each match of the split pattern is
 merged on its own by the library's model. Decoding looks every id's characters up and reverses the byte table; bytes
-are joined before they are read as UTF-8, so characters that are split over ids come back whole.
+are joined before they are read as UTF-8, so characters that are split over ids come back whole. The byte lengths of
+the ids and the first bytes of the characters give the code points that every id covers.
 
 Most words come again, so a worker keeps the ids of words seen (a bounded table). A text is cut at single spaces
 followed by a non-space first: the pattern never matches across such a place, because it takes a space only together
@@ -103,6 +104,7 @@ class Codec:
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         self.decimal = [str(i) for i in range(self.size)]
+        self.length = np.array([len(b) for b in self.bytes_of], dtype=np.int32)
         self.added = {a.content: np.array([i], dtype=self.ids).tobytes() for i, a in t.get_added_tokens_decoder().items()} if added else {}
         if added and any(a.single_word or a.lstrip or a.rstrip or a.normalized for a in t.get_added_tokens_decoder().values()):
             raise ValueError("added tokens that look at their surroundings aren't supported")
@@ -142,20 +144,29 @@ class Codec:
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
+    def offsets(self, text: bytes, ids: np.ndarray) -> np.ndarray:
+        """First code point and the one after the last of every id of ``text``; ids that share a character all cover it."""
+        ends = np.cumsum(self.length[ids])
+        starts_character = (np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80
+        character = np.cumsum(starts_character, dtype=np.int32) - 1  # of each byte
+        return np.column_stack([character[ends - self.length[ids]], character[ends - 1] + 1]).astype(np.int32)
+
 
 def codec(source: str, pattern: str, added: bool = False) -> Codec:
     return memo(f"codec{added}" + hashlib.sha256((source + pattern).encode()).hexdigest(), lambda: Codec(source, pattern, added))
 
 
 def encode_decode(docs: DataFrame, source: str, pattern: str, text: str = "text", ids: bool = False) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``ids_sha256`` (of decimal ids joined by commas) and ``decoded_sha256`` (of the bytes
-    that the ids decode to) behind its columns but the text; with ``ids`` also ``ids`` (array) and ``decoded``."""
+    """``docs`` with ``n_tokens``, ``ids_sha256`` (of decimal ids joined by commas), ``decoded_sha256`` (of the bytes
+    that the ids decode to), ``n_split`` (ids that share a character with the id before) and ``offsets_sha256`` (of all
+    starts and ends in code points, little-endian unsigned 32-bit, id by id) behind its columns but the text; with ``ids``
+    also ``ids``, ``starts``, ``ends`` (arrays) and ``decoded``."""
 
     def make() -> Callable[[list[bytes]], list]:
         c = codec(source, pattern)
 
         def work(texts: list[bytes]) -> list:
-            n, id_hashes, text_hashes, all_ids, decoded = [], [], [], [], []
+            n, id_hashes, text_hashes, split, place_hashes, all_ids, starts, ends, decoded = ([] for _ in range(9))
             for x in texts:
                 own = c.encode(x)
                 listed = own.tolist()
@@ -163,15 +174,22 @@ def encode_decode(docs: DataFrame, source: str, pattern: str, text: str = "text"
                 n.append(len(listed))
                 id_hashes.append(hashlib.sha256(",".join(map(c.decimal.__getitem__, listed)).encode()).hexdigest())
                 text_hashes.append(hashlib.sha256(body).hexdigest())
+                places = c.offsets(x, own)
+                split.append(int((places[1:, 0] < places[:-1, 1]).sum()))
+                place_hashes.append(hashlib.sha256(places.astype("<u4").tobytes()).hexdigest())
                 if ids:
                     all_ids.append(listed)
+                    starts.append(places[:, 0])
+                    ends.append(places[:, 1])
                     decoded.append(body.decode("utf-8", "replace"))
-            return [n, id_hashes, text_hashes] + ([pa.array(all_ids, pa.list_(pa.int32())), decoded] if ids else [])
+            arrays = [pa.array(a, pa.list_(pa.int32())) for a in (all_ids, starts, ends)]
+            return [n, id_hashes, text_hashes, split, place_hashes] + ([*arrays, decoded] if ids else [])
 
         return work
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    fields += [T.StructField("n_split", T.LongType()), T.StructField("offsets_sha256", T.StringType())]
     if ids:
-        fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+        fields += [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "starts", "ends")] + [T.StructField("decoded", T.StringType())]
     made = {f.name.lower() for f in fields}
     return with_columns(docs, make, fields, keep=[c for c in docs.columns if c != text and c.lower() not in made], column=text)

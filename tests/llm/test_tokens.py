@@ -51,6 +51,24 @@ def test_ids_are_those_of_the_libraries(multi, plain, text):
     assert c.encode(text.encode()).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(TEXT)
+def test_offsets_cover_the_characters_of_each_id(multi, plain, text):
+    owner = [i for i, ch in enumerate(text) for _ in ch.encode()]  # character of each byte
+    for c in (multi[0], plain[0]):
+        ids, want, at = c.encode(text.encode()), [], 0
+        for i in ids.tolist():
+            own = owner[at : at + len(c.bytes_of[i])]
+            want.append([own[0], own[-1] + 1])
+            at += len(own)
+        assert c.offsets(text.encode(), ids).tolist() == want and at == len(owner)
+    c, t = plain
+    library = t.encode(text, add_special_tokens=False)
+    # the library's post-processor leaves the space in front of a word out of its offsets
+    got = c.offsets(text.encode(), np.array(library.ids, dtype=c.ids)).tolist()
+    assert [text[a:b].strip() for a, b in got] == [text[a:b].strip() for a, b in library.offsets]
+
+
 def test_every_character_falls_into_the_same_class(multi, plain):
     (c, e), (d, t) = multi, plain
     differ = []
@@ -73,6 +91,11 @@ def test_rows_against_the_library(spark, multi):
     out = encode_decode(docs, source, P.PATTERN, ids=True)
     assert rows(out, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
     assert {r["decoded"] for r in out.where("doc_id = 15").collect()} == {"\U0001f600 emoji 中文"}
+    for r, text in zip(out.orderBy("doc_id").collect(), [r["text"] or "" for r in docs.orderBy("doc_id").collect()]):
+        places = list(zip(r["starts"], r["ends"]))
+        assert r["offsets_sha256"] == hashlib.sha256(np.array(places, dtype="<u4").tobytes()).hexdigest() and len(places) == len(r["ids"])
+        assert r["n_split"] == sum(b < a for (_, a), (b, _) in zip(places, places[1:]))
+        assert not text or (places[0][0], places[-1][1]) == (0, len(text))
     assert encode_decode(empty(spark), source, P.PATTERN).count() == 0
 
 
