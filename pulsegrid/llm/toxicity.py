@@ -236,7 +236,11 @@ def beginning(word: bytes) -> int:
 
 
 def scored_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
+    """doc_id, held_out, score, predicted and the offending spans of every document.
+
+    Spans are (start, end, p) in bytes of the UTF-8 text, end exclusive; a document below the threshold has none.
+    """
     slim = docs.select("doc_id", "text")
-    made = ToxicTagger.fit(slim, labels).scores(slim)
-    return made.select("doc_id", (remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    made = ToxicTagger.fit(slim, labels).scores(slim, spans="spans")
+    held_out, predicted = remainder("doc_id", FOLDS) == HELD_OUT, F.col("score") >= THRESHOLD
+    return made.select("doc_id", held_out.alias("held_out"), "score", predicted.cast("int").alias("predicted"), "spans")

@@ -102,3 +102,16 @@ def test_spans_point_at_the_words():
     tagger = toxicity.ToxicTagger.fit_rows(found)
     text = "é one GRIM1, five grim2 grim0".encode()
     assert [text[a:b] for a, b, _ in tagger.spans(text)] == [b"GRIM1,", b"grim2 grim0"]
+
+
+def test_rows_carry_the_offending_spans(spark):
+    found = [(i, f"one a{i} {w} b{i} four", y) for i in range(400) for w, y in ((f"grim{i % 3}", 1), ("kind", 0))]
+    docs = spark.createDataFrame([(n, t) for n, (_, t, _) in enumerate(found)] + [(900, None), (901, ""), (902, "é GRIM1, x grim2 grim0 y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, y) for n, (_, _, y) in enumerate(found)], "doc_id long, toxic int")
+    out = {r["doc_id"]: r for r in toxicity.scored_rows(docs, labels).collect()}
+    assert out[900]["spans"] == out[901]["spans"] == []
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    for i, r in out.items():
+        words = [texts[i][s["start"] : s["end"]].decode() for s in r["spans"]]
+        assert (r["predicted"] == 1) == bool(words) and (i >= 900 or words == [w for w in texts[i].decode().split() if w.startswith("grim")])
+    assert [texts[902][s["start"] : s["end"]] for s in out[902]["spans"]] == [b"GRIM1,", b"grim2 grim0"]
