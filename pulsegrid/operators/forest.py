@@ -17,6 +17,8 @@ from pulsegrid.session import ship_package
 
 _TREES_PER_TASK = 20
 _SPACE = float(2**64)
+#: Types of a packed forest's arrays: roots, feature, split, below, above, ends.
+_PACKED = ("<i4", "<i2", "<f8", "<i4", "<i4", "<f8")
 
 
 def _tasks(df: DataFrame) -> int:
@@ -123,16 +125,33 @@ def _walk(points, roots, feature, split, below, above, ends) -> np.ndarray:
         at = np.where(inner, np.where(goes_up, above[at], below[at]), at)
 
 
-def score(rows: DataFrame, nodes: DataFrame, sample: int = V.TREE_SAMPLE, slice_seconds: int = 3 * 86400) -> DataFrame:
+def packed(nodes: DataFrame) -> DataFrame:
+    """One row per target from its forest nodes: flat arrays in which children are absolute places and ends path lengths."""
+    ship_package()
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        order = np.lexsort((group["node"].to_numpy(), group["tree"].to_numpy()))
+        column = {c: group[c].to_numpy()[order] for c in ("tree", "feature", "split", "left", "right", "size", "depth")}
+        _, roots, sizes = np.unique(column["tree"], return_index=True, return_counts=True)
+        offset = np.repeat(roots, sizes)
+        arrays = [roots, column["feature"], column["split"], column["left"] + offset, column["right"] + offset, column["depth"] + _average_path(column["size"])]
+        base = float(_average_path(np.array([column["size"][roots].max()]))[0])
+        return pd.DataFrame([[group["target"].iloc[0], *[a.astype(kind).tobytes() for a, kind in zip(arrays, _PACKED)], base]])
+
+    return nodes.groupBy("target").applyInPandas(pack, schemas.PACKED_FORESTS)
+
+
+def score(rows: DataFrame, nodes: DataFrame, slice_seconds: int = 30 * 86400) -> DataFrame:
     """Isolation score of every row (target, t, x, ...): 2^(-mean path / c(psi)).
 
-    Rows are grouped by (target, time slice), so a hot target is spread over its slices; each group meets the
-    nodes of its own target only (a forest is at most trees * 2 * sample nodes, a fixed size per target).
+    Rows are grouped by (target, time slice), so a hot target is spread over its slices; a slice meets one row, the
+    packed forest of its target (26 bytes a node, at most trees * 2 * sample nodes). A target has one row per instant
+    (times its augmented copies), so a slice is bounded by its length and outweighs the forest sent to it.
     """
     ship_package()
     sliced = rows.withColumn("__slice", F.floor(F.col("t") / slice_seconds))
     pairs = sliced.select("target", "__slice").distinct()
-    forests = nodes.join(pairs, "target").withColumnsRenamed({"target": "__owner", "__slice": "__part"})
+    forests = packed(nodes).join(pairs, "target").withColumnsRenamed({"target": "__owner", "__slice": "__part"})
     schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
     names = rows.columns
 
@@ -141,17 +160,11 @@ def score(rows: DataFrame, nodes: DataFrame, sample: int = V.TREE_SAMPLE, slice_
             return left[names].assign(score=[])
         if not len(right):
             return left[names].assign(score=np.nan)
-        order = np.lexsort((right["node"].to_numpy(), right["tree"].to_numpy()))
-        column = {c: right[c].to_numpy()[order] for c in ("tree", "feature", "split", "left", "right", "size", "depth")}
-        _, roots, sizes = np.unique(column["tree"], return_index=True, return_counts=True)
-        offset = np.repeat(roots, sizes)
-        feature, split = column["feature"], column["split"]
-        below, above = column["left"] + offset, column["right"] + offset
-        ends = column["depth"] + _average_path(column["size"])
-        base = _average_path(np.array([column["size"][roots].max()]))[0]
+        own = right.iloc[0]
+        arrays = [np.frombuffer(own[c], dtype=kind) for c, kind in zip(("roots", "feature", "split", "below", "above", "ends"), _PACKED)]
         points = np.vstack(left["x"].to_numpy())
-        mean = np.concatenate([_walk(points[i : i + 4096], roots, feature, split, below, above, ends) for i in range(0, len(points), 4096)])
-        return left[names].assign(score=np.power(2.0, -mean / base))
+        mean = np.concatenate([_walk(points[i : i + 4096], *arrays) for i in range(0, len(points), 4096)])
+        return left[names].assign(score=np.power(2.0, -mean / own["base"]))
 
     n = _tasks(rows)
     left, right = sliced.repartition(n, "target", "__slice"), forests.repartition(n, "__owner", "__part")

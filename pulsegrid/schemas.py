@@ -63,4 +63,5 @@ PROBE = T.StructType(
         T.StructField("services_ecoute", T.StringType()),
     ]
 )
+PACKED_FORESTS = "target string, roots binary, feature binary, split binary, below binary, above binary, ends binary, base double"
 FOREST_NODES = "target string, tree int, node int, feature int, split double, left int, right int, size long, depth int"
