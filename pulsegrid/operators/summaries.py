@@ -8,17 +8,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import stats as S
+from pulsegrid.session import cut
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 20_000) -> DataFrame:
+#: Shares at which a further round of ``exact_quantiles`` cuts a bracket.
+_CUTS = 256
+
+
+def _located(rows: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every value beside each bracket of its group."""
+    return rows.join(state.select(*keys, "__qs"), list(keys), "inner").select(*keys, "__v", F.explode("__qs").alias("__q"))
+
+
+def _narrowed(rows: DataFrame, state: DataFrame, keys: Sequence[str], accuracy: int, slack: float) -> DataFrame:
+    """Brackets cut once more: exact counts below and inside, and a sketch of the values inside."""
+    value, low, high = F.col("__v"), F.col("__q.lo"), F.col("__q.hi")
+    inside = (value >= low) & (value <= high)
+    points = F.array(*[F.lit(i / _CUTS) for i in range(_CUTS + 1)])
+    found = _located(rows, state, keys).groupBy(*keys, "__q").agg(
+        F.count_if(value < low).alias("__below"), F.count_if(inside).alias("__in"), F.percentile_approx(F.when(inside, value), points, F.lit(accuracy)).alias("__cuts")
+    )
+    first, last = F.floor(F.col("__q.pos")) - F.col("__below"), F.ceil(F.col("__q.pos")) - F.col("__below") + 1
+    a = F.floor((first / F.col("__in") - slack) * _CUTS).cast("int")
+    b = F.ceil((last / F.col("__in") + slack) * _CUTS).cast("int")
+    lo = F.when(a > 0, F.greatest(low, F.get("__cuts", a))).otherwise(low)
+    hi = F.when(b < _CUTS, F.least(high, F.get("__cuts", b))).otherwise(high)
+    cut_once = F.struct(F.col("__q.i").alias("i"), lo.alias("lo"), hi.alias("hi"), F.col("__q.pos").alias("pos"))
+    # a bracket without a value holds no rank itself: its neighbours on either side do, and it stays as it is
+    kept = F.when(F.col("__in") > 0, cut_once).otherwise(F.col("__q"))
+    return found.groupBy(*keys).agg(F.collect_list(kept).alias("__qs")).join(state.select(*keys, "__n"), list(keys))
+
+
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 20_000, most: int = 1_000_000
+) -> DataFrame:
     """Exact quantiles (linear interpolation) of groups of any size, as columns ``q0, q1, ...`` plus ``n``.
 
-    A mergeable sketch brackets each quantile to about ``8 / accuracy`` of its group; only the distinct values in
-    the bracket are then ranked. The bracket is four times the error bound of the sketch, so it holds the wanted
-    ranks (a miss would raise); the same steps serve groups of every size.
+    A mergeable sketch brackets each quantile to about ``8 / accuracy`` of its group; further rounds count and sketch
+    inside the brackets until none can hold more than about ``most`` values off its ends. Only the distinct values in the
+    last bracket are ranked, so the largest task doesn't grow with the group. A bracket is four times the error bound of
+    its sketch, so it holds the wanted ranks (a miss would raise); the same steps serve groups of every size.
     """
     if not keys:
-        whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, accuracy)
+        whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, accuracy, most)
         return whole.drop("__all")
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("__v"))
     slack = 4.0 / accuracy
@@ -36,11 +68,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         )
         for i, q in enumerate(probs)
     ]
-    brackets = sketch.select(*keys, "__n", F.explode(F.array(*bounds)).alias("__q")).select(
+    state = cut(sketch.select(*keys, "__n", F.array(*bounds).alias("__qs")))  # one row per group
+    widest = (state.agg(F.max("__n").alias("n")).first()["n"] or 0) * 2 * slack
+    while widest > most:
+        state = cut(_narrowed(rows, state, keys, accuracy, slack))
+        widest *= 2 / _CUTS + 2 * slack
+    brackets = state.select(*keys, "__n", F.explode("__qs").alias("__q")).select(
         *keys, "__n", F.col("__q.i").alias("__i"), F.col("__q.lo").alias("__lo"), F.col("__q.hi").alias("__hi"), F.col("__q.pos").alias("__pos")
     )
-    packed = sketch.select(*keys, F.array(*bounds).alias("__qs"))
-    located = rows.join(packed, list(keys), "inner").select(*keys, "__v", F.explode("__qs").alias("__q"))
+    located = _located(rows, state, keys)
     # rows outside a bracket only count, and give their value next to it: mergeable, so they never leave the map side whole
     under, over = F.col("__v") < F.col("__q.lo"), F.col("__v") > F.col("__q.hi")
     tagged = located.select(

@@ -55,6 +55,18 @@ def test_exact_quantiles_with_a_hot_group(spark):
     assert got["cold"] == pytest.approx(list(np.quantile(cold, qs)), abs=1e-12)
 
 
+def test_quantiles_in_rounds(spark):
+    """A coarse sketch and a small bound need several rounds; ties, gaps and single rows in the same run."""
+    rng = np.random.default_rng(2)
+    groups = {"hot": np.concatenate([rng.exponential(50, 60_000), np.full(20_000, 3.0)]), "two": np.repeat([1.0, 9.0], 4000), "one": np.array([7.0]),
+              "gap": np.concatenate([rng.normal(-1e6, 1, 3000), rng.normal(1e6, 1, 3000)])}
+    pdf = pd.DataFrame([(k, v) for k, vs in groups.items() for v in vs], columns=["k", "v"])
+    qs = [0.0, 0.02, 0.5, 0.9, 0.999, 1.0]
+    got = {r.k: r for r in summaries.exact_quantiles(spark.createDataFrame(pdf).repartition(6), ["k"], "v", qs, accuracy=100, most=200).collect()}
+    for k, vs in groups.items():
+        assert [got[k][f"q{i}"] for i in range(len(qs))] == pytest.approx(list(np.quantile(vs, qs)), abs=1e-9) and got[k].n == len(vs)
+
+
 def test_psi_levels(spark):
     rng = np.random.default_rng(1)
     frame = lambda x: spark.createDataFrame(pd.DataFrame({"target": "a", "score": x}))
