@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pulsegrid import vocabulary as V
 from pulsegrid.operators import blocks
 from pulsegrid.operators.blocks import Run
+from pulsegrid.session import cut
 
 
 def _column(x) -> Column:
@@ -185,6 +188,19 @@ def first_run(df: DataFrame, keys: Sequence[str], rules: Sequence[tuple[str, flo
     return blocks.own_rows(haloed.withColumn("__hit", hit)).where("__hit").groupBy(*keys).agg(F.min(ts).alias("first_run"))
 
 
+def time_line(rows: DataFrame, keep: Sequence[str], marks: Sequence[tuple[Column, dict[str, Column]]]) -> DataFrame:
+    """All sides of a sweep from one scan: a row stands on the line once for every mark whose condition it meets.
+
+    A mark is a condition and the columns it fills; columns that only other marks fill are null. The line is cut,
+    because an ordered step reads it twice and its block width is measured on it: the raw table is read once.
+    """
+    known = {name: value for _, values in marks for name, value in values.items()}
+    blank = {name: F.when(F.lit(False), value) for name, value in known.items()}
+    placed = [F.when(on, F.struct(*[values.get(n, blank[n]).alias(n) for n in known])) for on, values in marks]
+    wanted = functools.reduce(operator.or_, [on for on, _ in marks])
+    return cut(rows.where(wanted).select(*keep, F.inline(F.array_compact(F.array(*placed)))))
+
+
 def first_in_window(
     windows: DataFrame, hits: DataFrame, keys: Sequence[str], start: str, end: str, ts: str = "t", width: int = blocks.DEFAULT_WIDTH
 ) -> DataFrame:
@@ -196,11 +212,34 @@ def first_in_window(
     line = windows.select(*keys, (-F.col(start)).alias("__p"), F.lit(1).alias("__side"), F.struct(*cols).alias("__win")).unionByName(
         hits.select(*keys, (-F.col(ts)).alias("__p"), F.lit(0).alias("__side"), F.col(ts).alias("__hit")), allowMissingColumns=True
     )
+    return _first_hits(line, keys, end, width)
+
+
+def _first_hits(line: DataFrame, keys: Sequence[str], end: str, width: int) -> DataFrame:
     near = blocks.running(line, keys, ["__p", "__side"], {"__next": Run("last", F.col("__hit"))}, width)
     out = near.where("__side = 1").select(*keys, "__win.*", "__next")
     return out.withColumn("first_hit", F.when(F.col("__next") <= F.col(end), F.col("__next"))).drop("__next")
 
 
+def first_in_window_of(
+    rows: DataFrame, keys: Sequence[str], hit: Column, windows: Sequence[tuple[Column, dict[str, Column]]], start: str, end: str, ts: str = "t",
+    by: dict[str, Column] | None = None, probe: int = 3600,
+) -> DataFrame:
+    """``first_in_window`` where hits and windows come from the rows of one table, read once.
+
+    ``windows`` are (condition, columns, among them ``start`` and ``end``); a condition may stand several times. ``by``
+    are further key columns of a hit, which every window gives among its own columns.
+    """
+    by = by or {}
+    marks = [(hit, {"__p": -F.col(ts), "__side": F.lit(0), "__hit": F.col(ts), **by})]
+    for on, columns in windows:
+        own = F.struct(*[v.alias(n) for n, v in columns.items() if n not in by])
+        marks.append((on, {"__p": -columns[start], "__side": F.lit(1), "__win": own, **{n: columns[n] for n in by}}))
+    line = time_line(rows, keys, marks)
+    keys = [*keys, *by]
+    return _first_hits(line, keys, end, blocks.width_for(line, keys, "__p", probe=probe, widest=24 * probe))
+
+
 def covered_by(
     points: DataFrame, windows: DataFrame, keys: Sequence[str], start: str, end: str, ts: str = "t", width: int = blocks.DEFAULT_WIDTH
 ) -> DataFrame:
@@ -209,5 +248,19 @@ def covered_by(
     line = points.select(*keys, F.col(ts).alias("__p"), F.lit(1).alias("__side"), F.struct(*cols).alias("__pt")).unionByName(
         windows.select(*keys, F.col(start).alias("__p"), F.lit(0).alias("__side"), F.col(end).alias("__end")), allowMissingColumns=True
     )
+    return _covered(line, keys, width)
+
+
+def covered_by_of(
+    rows: DataFrame, keys: Sequence[str], point: Column, columns: dict[str, Column], window: Column, start: Column, end: Column, ts: str = "t", probe: int = 3600
+) -> DataFrame:
+    """``covered_by`` where points and windows come from the rows of one table, read once; a row may be both."""
+    own = F.struct(F.col(ts).alias(ts), *[v.alias(n) for n, v in columns.items()])
+    sides = [(window, {"__p": start, "__side": F.lit(0), "__end": end}), (point, {"__p": F.col(ts), "__side": F.lit(1), "__pt": own})]
+    line = time_line(rows, keys, sides)
+    return _covered(line, keys, blocks.width_for(line, keys, "__p", probe=probe, widest=24 * probe))
+
+
+def _covered(line: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     swept = blocks.running(line, keys, ["__p", "__side"], {"__max": Run("max", F.col("__end"))}, width)
     return swept.where("__side = 1").select(*keys, "__pt.*", F.coalesce(F.col("__max") >= F.col("__p"), F.lit(False)).alias("covered"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import blocks
+from pulsegrid.operators import blocks, detect
 from pulsegrid.operators.blocks import Run
 from pulsegrid.session import cut
 
@@ -51,6 +51,23 @@ def asof(
     lhs = left.select(*keys, ts, F.lit(1).alias("__side"), F.struct(*left_cols).alias("__left") if left_cols else F.lit(1).alias("__left"))
     rhs = right.select(*keys, ts, F.lit(0).alias("__side"), F.struct(F.col(ts).alias("__t"), *values).alias("__right"))
     line = lhs.unionByName(rhs, allowMissingColumns=True)
+    return _carried(line, keys, left_cols, values, lookback, ts, width)
+
+
+def asof_of(
+    rows: DataFrame, keys: Sequence[str], left: Column, columns: dict[str, Column], right: Column, values: dict[str, Column],
+    lookback: int | None = None, ts: str = "t", probe: int = 3600,
+) -> DataFrame:
+    """``asof`` where both sides come from the rows of one table, read once; a row may be on both sides."""
+    mine = F.struct(*[v.alias(n) for n, v in columns.items()])
+    theirs = F.struct(F.col(ts).alias("__t"), *[v.alias(n) for n, v in values.items()])
+    sides = [(left, {ts: F.col(ts), "__side": F.lit(1), "__left": mine}), (right, {ts: F.col(ts), "__side": F.lit(0), "__right": theirs})]
+    line = detect.time_line(rows, keys, sides)
+    width = blocks.width_for(line, keys, ts, probe=probe, widest=24 * probe)
+    return _carried(line, keys, list(columns), list(values), lookback, ts, width)
+
+
+def _carried(line: DataFrame, keys: Sequence[str], left_cols: Sequence[str], values: Sequence[str], lookback: int | None, ts: str, width: int) -> DataFrame:
     carried = blocks.running(line, keys, [ts, "__side"], {"__hit": Run("last", F.col("__right"))}, width)
     age = F.col(ts) - F.col("__hit.__t")
     fresh = F.lit(True) if lookback is None else age < F.lit(lookback)

@@ -430,17 +430,15 @@ _WINDOWS = f"{EV}, e AS (SELECT user_id, t, event_id FROM ev WHERE feature = 'er
 @query("J7_interval_join", f"WITH {_WINDOWS} SELECT event_id, user_id, t, EXISTS (SELECT 1 FROM w WHERE w.user_id = e.user_id AND e.t BETWEEN w.t0 - 15 AND w.t1 + 600) AS covered FROM e")
 def _(spark, sf):
     ev = T.events(spark, sf)
-    points = ev.where("feature = 'error'").select("user_id", "t", "event_id")
-    spans = ev.where("feature = 'purchase'").select("user_id", (F.col("t") - 15).alias("a"), (F.col("t") + 7800).alias("b"))
-    return detect.covered_by(points, spans, ["user_id"], "a", "b", width=T.width(ev, ["user_id"]))
+    error, purchase = F.col("feature") == "error", F.col("feature") == "purchase"
+    return detect.covered_by_of(ev, ["user_id"], error, {"event_id": F.col("event_id")}, purchase, F.col("t") - 15, F.col("t") + 7800)
 
 
 @query("J8_first_hit", f"""WITH {_WINDOWS} SELECT user_id, t0, (SELECT min(e.t) FROM e WHERE e.user_id = w.user_id AND e.t BETWEEN w.t0 AND w.t1 + 3600) - t0 AS delay FROM w""")
 def _(spark, sf):
     ev = T.events(spark, sf)
-    hits = ev.where("feature = 'error'").select("user_id", "t")
-    spans = ev.where("feature = 'purchase'").select("user_id", F.col("t").alias("t0"), (F.col("t") + 7200 + HOUR).alias("t1"))
-    found = detect.first_in_window(spans, hits, ["user_id"], "t0", "t1", width=T.width(ev, ["user_id"]))
+    spans = (F.col("feature") == "purchase", {"t0": F.col("t"), "t1": F.col("t") + 7200 + HOUR})
+    found = detect.first_in_window_of(ev, ["user_id"], F.col("feature") == "error", [spans], "t0", "t1")
     return found.select("user_id", "t0", (F.col("first_hit") - F.col("t0")).alias("delay"))
 
 
@@ -509,9 +507,8 @@ def _(spark, sf):
   SELECT a.event_id, coalesce(d.top_feature, '') AS feature, d.z FROM a ASOF LEFT JOIN d USING (user_id, t)""")
 def _(spark, sf):
     ev = T.events(spark, sf).select("event_id", "user_id", F.col("us").alias("t"), "feature", "value")
-    alerts = ev.where("feature = 'error'").select("event_id", "user_id", "t")
-    found = ev.where("feature <> 'error'").select("user_id", "t", F.col("feature").alias("top_feature"), F.col("value").alias("z"))
-    out = series.asof(alerts, found, ["user_id"], ["top_feature", "z"], width=T.width(ev, ["user_id"], hour=HOUR * 1_000_000))
+    alert, found = F.col("feature") == "error", {"top_feature": F.col("feature"), "z": F.col("value")}
+    out = series.asof_of(ev, ["user_id"], alert, {"event_id": F.col("event_id")}, ~alert, found, probe=HOUR * 1_000_000)
     return out.select("event_id", F.coalesce("top_feature", F.lit("")).alias("feature"), "z")
 
 

@@ -202,11 +202,9 @@ def _(spark, sf):
   SELECT event_id, detector, (SELECT min(t) FROM h WHERE h.user_id = w.user_id AND h.feature = d.detector AND h.t BETWEEN t0 AND t1 + 120) - t0 AS delay FROM w, d""")
 def _(spark, sf):
     ev = T.events(spark, sf)
-    hits = ev.where(F.col("feature").isin("error", "click", "view")).select("user_id", F.col("feature").alias("detector"), "t")
-    spans = ev.where("feature = 'purchase'").select(
-        "user_id", F.explode(F.array(F.lit("error"), F.lit("click"), F.lit("view"))).alias("detector"), "event_id", F.col("t").alias("t0"), (F.col("t") + 3720).alias("t1")
-    )
-    found = detect.first_in_window(spans, hits, ["user_id", "detector"], "t0", "t1", width=T.width(ev, ["user_id"]))
+    detectors, window = ("error", "click", "view"), {"event_id": F.col("event_id"), "t0": F.col("t"), "t1": F.col("t") + 3720}
+    spans = [(F.col("feature") == "purchase", {**window, "detector": F.lit(d)}) for d in detectors]
+    found = detect.first_in_window_of(ev, ["user_id"], F.col("feature").isin(*detectors), spans, "t0", "t1", by={"detector": F.col("feature")})
     return found.select("event_id", "detector", (F.col("first_hit") - F.col("t0")).alias("delay"))
 
 

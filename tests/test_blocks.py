@@ -120,6 +120,36 @@ def test_first_hit_and_cover(spark):
         assert r.first_hit == (min(hits) if hits else None)
 
 
+def test_both_sides_of_a_sweep_from_one_table(spark):
+    """Points, hits and windows of one table, rows that are both, null kinds, a hot key; the raw table is not read again."""
+    rnd = random.Random(9)
+    rows = [("a" if rnd.random() < 0.8 else "b", rnd.randint(0, 9000), rnd.choice(["p", "w", "both", "x", None]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, t long, kind string, i int")
+    point, window = F.col("kind").isin("p", "both"), F.col("kind").isin("w", "both")
+    points = [(k, t, i) for k, t, kind, i in rows if kind in ("p", "both")]
+    spans = [(k, t, i) for k, t, kind, i in rows if kind in ("w", "both")]
+
+    covered = detect.covered_by_of(df, ["k"], point, {"i": F.col("i")}, window, F.col("t") + 1, F.col("t") + 40, probe=300)
+    got = {r.i: r.covered for r in covered.collect()}
+    assert got == {i: any(k == sk and st + 1 <= t <= st + 40 for sk, st, _ in spans) for k, t, i in points}
+    assert "kind" not in covered._jdf.queryExecution().optimizedPlan().toString()
+
+    windows = [(window, {"i": F.col("i"), "a": F.col("t"), "b": F.col("t") + d, "name": F.lit(n)}) for n, d in (("p", 90), ("both", 300))]
+    first = detect.first_in_window_of(df, ["k"], point, windows, "a", "b", by={"name": F.col("kind")}, probe=300)
+    want = {}
+    for k, t, i in spans:
+        for n, d in (("p", 90), ("both", 300)):
+            hits = [pt for pk, pt, kind, _ in rows if pk == k and kind == n and t <= pt <= t + d]
+            want[i, n] = min(hits) if hits else None
+    assert {(r.i, r["name"]): r.first_hit for r in first.collect()} == want
+
+    near = series.asof_of(df, ["k"], point, {"i": F.col("i")}, window, {"at": F.col("t")}, 200, probe=300)
+    for r in near.collect():
+        before = [st for sk, st, _ in spans if sk == r.k and st <= r.t]
+        at = max(before) if before and r.t - max(before) < 200 else None
+        assert (r["at"], r.age) == (at, None if at is None else r.t - at)
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     values=st.lists(st.sampled_from([0.0, 0.5, 1.0, 2.0, 3.0, 4.0, 9.0]), min_size=1, max_size=120),
