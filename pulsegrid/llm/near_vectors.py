@@ -47,10 +47,21 @@ SLACK = 0.04
 # ---- one shard's graph
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors with their largest component between a half and one, by powers of two: squares neither vanish nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each row of ``a`` and the same row of ``b`` (both :func:`scaled`): the one formula that decides a link."""
+    return np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
+
+
 def robust_prune(x: np.ndarray, of: np.ndarray, pool: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
     """For each node in ``of`` the kept ones of its candidates (rows of ``pool``, nearest first, -1 for none)."""
     near = x[pool]
@@ -195,9 +206,9 @@ def dealt(classes: DataFrame, centres: dict[int, np.ndarray], overlap: int) -> D
         for b in batches:
             out: list[tuple] = []
             for label, rep, n, v in zip(*(b.column(c).to_pylist() for c in ("label", "rep", "n", "embedding"))):
-                x = np.array(v)
+                x = unit(np.array([v]))[0]
                 own = centres.get(label)
-                near = [0] if own is None else np.argsort(-(own @ (x / np.linalg.norm(x))), kind="stable")[:overlap].tolist()
+                near = [0] if own is None else np.argsort(-(own @ x), kind="stable")[:overlap].tolist()
                 out += [(label, s, rep, n, v, sorted(near)) for s in near]
             cols = list(zip(*out)) or [()] * 6
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32())]
@@ -224,7 +235,7 @@ def shard_search(threshold: float):
         order = np.argsort(reps)
         reps = reps[order]
         here = group.column("shard")[0].as_py()
-        raw = _matrix(group.column("embedding"))[order]
+        raw = scaled(_matrix(group.column("embedding"))[order])
         n = np.array(group.column("n").to_pylist(), dtype=np.int64)[order]
         shards, near = ([group.column(c)[int(i)].as_py() or [] for i in order] for c in ("shards", "near"))
         x = unit(raw)
@@ -245,7 +256,7 @@ def shard_search(threshold: float):
                 i = root[i]
             return i
 
-        squares, g = (raw**2).sum(axis=1), len(reps)
+        g = len(reps)
         met = np.zeros(g * g // 8 + 1, dtype=np.uint8)  # a bit for each pair: found from either side, it counts once
         for a, b in range_search(single, links, np.arange(g), threshold - 1e-4):
             keep = a != b
@@ -254,7 +265,7 @@ def shard_search(threshold: float):
             np.bitwise_or.at(met, pairs >> 3, np.uint8(1) << (pairs & 7).astype(np.uint8))
             for at in range(0, len(pairs), PAIRS):
                 lows, highs = pairs[at : at + PAIRS] // g, pairs[at : at + PAIRS] % g
-                exact = np.einsum("ij,ij->i", raw[lows], raw[highs]) / np.sqrt(squares[lows] * squares[highs]) >= threshold
+                exact = cosines(raw[lows], raw[highs]) >= threshold
                 lows, highs = lows[exact], highs[exact]
                 common = (of_shards[lows][:, :, None] == of_shards[highs][:, None, :]).any(axis=2)
                 own = of_shards[lows, common.argmax(axis=1)] == here  # the first shard that both are in
@@ -291,7 +302,7 @@ def failing_labels(classes: DataFrame, found: DataFrame, threshold: float, least
     if not asked:
         return []
     ids, labels = np.array([r["rep"] for r in asked]), np.array([r["label"] for r in asked])
-    vectors = [np.array(r["embedding"], dtype=np.float64) for r in asked]
+    vectors = unit(np.array([r["embedding"] for r in asked], dtype=np.float64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ids), dtype=np.int64)
@@ -301,7 +312,7 @@ def failing_labels(classes: DataFrame, found: DataFrame, threshold: float, least
             x = unit(_matrix(b.column("embedding")))
             n, lab, rep = (np.array(b.column(c).to_pylist()) for c in ("n", "label", "rep"))
             for i, v in enumerate(vectors):
-                total[i] += int(n[(x @ (v / np.linalg.norm(v)) >= threshold) & (lab == labels[i]) & (rep != ids[i])].sum())
+                total[i] += int(n[(x @ v >= threshold) & (lab == labels[i]) & (rep != ids[i])].sum())
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["rep", "true"])
 
     true = classes.select("rep", "label", "n", "embedding").mapInArrow(run, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
@@ -321,12 +332,16 @@ def tile_links(threshold: float):
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         group = group.sort_by("rep")
         reps, n, block = (np.array(group.column(c).to_pylist(), dtype=np.int64) for c in ("rep", "n", "block"))
-        x = unit(_matrix(group.column("embedding")))
+        raw = scaled(_matrix(group.column("embedding")))
+        x = unit(raw)
         counts, root = np.zeros(len(reps), dtype=np.int64), np.arange(len(reps))
         first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
         for at in range(0, len(first), BLOCK):
             own = first[at : at + BLOCK]
-            hit = (x[own] @ x[second].T >= threshold) & (own[:, None] != second[None, :])
+            like = x[own] @ x[second].T
+            close = np.nonzero(np.abs(like - threshold) < 1e-9)  # rounding may decide: by the formula of the search
+            like[close] = cosines(raw[own[close[0]]], raw[second[close[1]]])
+            hit = (like >= threshold) & (own[:, None] != second[None, :])
             counts[own] += hit @ n[second]
             if i != j:
                 counts[second] += n[own] @ hit

@@ -240,3 +240,22 @@ def test_labels_that_fail_the_audit_are_compared_whole(spark):
     classes = df.select("label", "embedding", F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("n"))
     whole = near_vectors_module.compared(classes, 0.93, block=30).groupBy("rep").agg(F.sum("links").alias("n")).collect()
     assert {r["rep"]: r["n"] for r in whole} == {i: int(k) for i, k in enumerate(near.sum(axis=1) - 1) if k}
+
+
+def test_vectors_of_any_magnitude(spark):
+    """The smallest and largest doubles, signs, and pairs on either side of the threshold; both routes decide alike."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(60, 6))
+    near = base[:20] + rng.normal(size=(20, 6)) * 0.2
+    at = np.array([[1.0, 0, 0, 0, 0, 0], [0.93, np.sqrt(1 - 0.93**2), 0, 0, 0, 0], [0.9299, np.sqrt(1 - 0.9299**2), 0, 0, 0, 0]])
+    plain = np.concatenate([base, near, at])
+    power = rng.integers(-900, 900, len(plain))
+    table = lambda m: spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(m)], "vec_id long, label int, embedding array<double>")
+    want = near_vectors_module.cosines(np.repeat(plain, len(plain), axis=0), np.tile(plain, (len(plain), 1))).reshape(len(plain), -1) >= 0.93
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(table(np.ldexp(plain, power[:, None])), shard=30).collect()}
+    assert [got[i] for i in range(len(plain))] == (want.sum(axis=1) - 1).tolist() and sum(got.values()) > 20
+    tiny = near_vectors(table(np.array([[1e-200, 0.0], [0.9e-200, 0.1e-200], [1e300, 1e299], [-1e300, 0.0]]))).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in tiny} == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3)}
+    classes = table(np.ldexp(plain, power[:, None])).selectExpr("label", "vec_id as rep", "1L as n", "embedding")
+    whole = near_vectors_module.compared(classes, 0.93, block=25).groupBy("rep").agg(F.sum("links").alias("n")).collect()
+    assert {r["rep"]: r["n"] for r in whole} == {i: int(w) for i, w in enumerate(want.sum(axis=1) - 1) if w}
