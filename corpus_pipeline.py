@@ -32,11 +32,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest id stays."""
+    """Of each group of near copies the smallest id stays.
+
+    Texts link whose SimHash fingerprints differ in 3 or fewer bits (as in op10), and texts whose five-word shingles have
+    a similarity of 0.8, which differ in more bits as a rule. A group goes over links of both kinds.
+    """
     from pulsegrid.llm.simhash import similar_components
 
     ship_package()
-    lost = similar_components(docs, words=5).where("doc_id <> component_id").select(F.col("doc_id").alias(fresh("_lost", docs.columns)))
+    lost = similar_components(docs, words=5, distance=3).where("doc_id <> component_id").select(F.col("doc_id").alias(fresh("_lost", docs.columns)))
     return docs.join(lost, docs["doc_id"] == lost[lost.columns[0]], "left_anti")
 
 
@@ -55,7 +59,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.byte_bpe import encode_decode, tokenizer_json
 
     ship_package()
-    return encode_decode(docs.select("doc_id", "text"), tokenizer_json(tokenizer_file("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    rows = encode_decode(docs.select("doc_id", "text"), tokenizer_json(tokenizer_file("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    return rows.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("simhash", drop_near_copies), ("mixing", mix_sources), ("byte_bpe", encode)]

@@ -298,7 +298,7 @@ def verified_links(rows: DataFrame) -> DataFrame:
     return rows.select("key", "id", *RINGS, "shingles").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def similar_components(docs: DataFrame, words: int = 5, text: str = "text") -> DataFrame:
+def similar_components(docs: DataFrame, words: int = 5, text: str = "text", distance: int | None = None) -> DataFrame:
     """doc_id, component_id of every row: groups of texts linked by a Jaccard similarity of their shingles of 0.8 or more.
 
     Texts that share 0.8 of their shingles differ in about ten bits of 64, too many for chains of bits. Candidates
@@ -307,6 +307,9 @@ def similar_components(docs: DataFrame, words: int = 5, text: str = "text") -> D
     are the key, at least ``AGREE`` equal segments and sizes within 0.8 make a candidate; a pair of similarity 0.8 is none in
     5 of 100,000 cases. Then the shingle sets themselves decide, inside the buckets, so that links stay trees. Texts of
     equal sets are one node.
+
+    With ``distance`` (up to 3) texts also link by their fingerprints, as in :func:`near_components`, and components go
+    over links of both kinds. A text stands between the node of its set and the node of its fingerprint.
     """
 
     def make(shingles: bool) -> Callable:
@@ -315,27 +318,43 @@ def similar_components(docs: DataFrame, words: int = 5, text: str = "text") -> D
             sums = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype="<i8") for s in sets]).reshape(-1, 2)
             rings = np.array([ring_of(s) for s in sets], dtype="<u2").reshape(-1, RING).view("<i8")
             out = [*np.ascontiguousarray(sums.T), *np.ascontiguousarray(rings.T)]
-            return [*out, [s.tobytes() for s in sets]] if shingles else [*out, np.array([len(s) for s in sets], dtype=np.int64)]
+            if shingles:
+                return [*out, [s.tobytes() for s in sets]]
+            fps = np.zeros(len(texts), dtype=np.uint64) if distance is None else np.array([fingerprint(x, 3) for x in texts], dtype=np.uint64)
+            return [*out, np.array([len(s) for s in sets], dtype=np.int64), fps.view(np.int64)]
 
         return work
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     fields = [T.StructField(c, T.LongType()) for c in ("s1", "s2", *RINGS)]
-    own = stored(with_columns(source, lambda: make(False), [*fields, T.StructField("n", T.LongType())], keep=["doc_id"]), "sketches")
+    own = stored(with_columns(source, lambda: make(False), [*fields, T.StructField("n", T.LongType()), T.StructField("fp", T.LongType())], keep=["doc_id"]), "sketches")
     nodes = stored(own.groupBy("s1", "s2", "n", *RINGS).agg(F.min("doc_id").alias("id")), "sketch-nodes")
     buckets = ring_buckets(nodes.where("id is not null"))
     wanted = stored(buckets.select("id").distinct(), "sketch-wanted")
     texts = source.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
     sets = stored(with_columns(texts, lambda: make(True), [*fields, T.StructField("shingles", T.BinaryType())], keep=["doc_id"]).withColumnRenamed("doc_id", "id"), "shingles")
     links = stored(verified_links(buckets.join(sets, ["id", "s1", "s2"])).distinct(), "sketch-links")
-    of = nodes.join(components(links), "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
-    return own.join(stored(of, "sketch-components"), ["s1", "s2"]).select("doc_id", "component_id")
+    if distance is None:
+        of = nodes.join(components(links), "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component_id"))
+        return own.join(stored(of, "sketch-components"), ["s1", "s2"]).select("doc_id", "component_id")
+    prints = fingerprint_nodes(own)
+    both = own.select("s1", "s2", "fp").distinct().join(nodes.select("s1", "s2", F.col("id").alias("a")), ["s1", "s2"])
+    both = stored(both.join(prints.select("fp", F.col("id").alias("b")), "fp"), "sketch-prints")
+    near = fingerprint_links(prints.where("id is not null"), distance)
+    found = components(links.unionByName(near).unionByName(both.where("a <> b").select("a", "b")))
+    of = both.join(found, F.coalesce("a", "b") == F.col("id"), "left").select("s1", "s2", "fp", F.coalesce("component", "a", "b").alias("component_id"))
+    return own.join(stored(of, "sketch-components"), ["s1", "s2", "fp"]).select("doc_id", "component_id")
+
+
+def fingerprint_nodes(own: DataFrame) -> DataFrame:
+    """(fp, id): the smallest id of every fingerprint."""
+    return stored(own.groupBy("fp").agg(F.min("doc_id").alias("id")), "fingerprint-nodes")
 
 
 def near_components(docs: DataFrame, words: int = 3, distance: int = 3, text: str = "text") -> DataFrame:
     """doc_id, fp, component_id of every row."""
     own = stored(fingerprints(docs, words, text), "fingerprints")
-    nodes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("id")), "fingerprint-nodes")
+    nodes = fingerprint_nodes(own)
     found = components(fingerprint_links(nodes.where("id is not null"), distance))
     of = stored(nodes.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id")), "fingerprint-components")
     return own.join(of, "fp").select("doc_id", "fp", "component_id")
