@@ -24,10 +24,12 @@ def keyed(rows: DataFrame, keys: list[str], processor: DocumentProcessor, event_
     spark = rows.sparkSession
     ship_package()
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    if event_time is None:
-        return rows.groupBy(*keys).transformWithStateInPandas(processor, processor.schema, "Append", "None")
-    timed = rows.withColumn("event_time", F.timestamp_seconds(event_time)).withWatermark("event_time", delay)
-    return timed.groupBy(*keys).transformWithStateInPandas(processor, processor.schema, "Append", "EventTime")
+    mode = "None" if event_time is None else "EventTime"
+    if event_time is not None:
+        rows = rows.withColumn("event_time", F.timestamp_seconds(event_time)).withWatermark("event_time", delay)
+    groups = rows.groupBy(*keys)
+    transform = groups.transformWithState if processor.rowwise else groups.transformWithStateInPandas
+    return transform(processor, processor.schema, "Append", mode)
 
 
 def accepted(rows: DataFrame, ts: str = "ts", delay: str = "120 seconds") -> DataFrame:

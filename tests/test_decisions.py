@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pulsegrid import vocabulary as V
@@ -166,3 +167,30 @@ def test_only_actions_are_verified_and_unread_alerts_are_unknown(spark):
 def test_maintenance_is_three_valued(spark):
     cols = [decisions.pre_guard(F.lit("x"), decisions.in_maintenance(F.lit(a), F.lit(b), F.lit(c))) for a, b, c in ((True, None, True), (False, None, True), (None, None, False))]
     assert tuple(spark.range(1).select(*[c.alias(str(i)) for i, c in enumerate(cols)]).first()) == ("maintenance", None, "contexte_indisponible")
+
+
+@pytest.mark.parametrize("processor", [processors.OncePerIncident(), processors.Guard()], ids=["once", "guard"])
+def test_many_small_keys_need_no_frames(processor):
+    """Processors with a key per user take rows and give rows; the state goes on from batch to batch."""
+
+    class State:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def exists(self):
+            return self.held is not None
+
+        def update(self, value):
+            self.held = value
+
+    processor.document = State()
+    made = Row("t", "row_id", "incident", "action_key", "code")
+    batches = [[made(9, 2, "i", "a", None), made(5, 1, "i", "a", 0)], [made(86_405, 4, "i", "b", 3), made(100, 3, "i", "b", None)]]
+    out = [r for b in batches for r in processor.handleInputRows(("k",), iter(b), None)]
+    assert all(isinstance(r, Row) for r in out)
+    if isinstance(processor, processors.Guard):
+        assert [(r.t, r.row_id, r.decision) for r in out] == [(5, 1, "executee"), (9, 2, "pause"), (100, 3, "simulee"), (86_405, 4, "escalade")]
+    else:
+        assert [tuple(r) for r in out] == [("k", 5, 1), ("k", 86_405, 4)]
