@@ -22,6 +22,7 @@ import json
 import re
 import sys
 import types
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -81,6 +82,20 @@ def memo(key: str, make: Callable[[], object]) -> object:
     return held[key]
 
 
+class Kept(dict):
+    """A bounded table of what ``make`` gives for words; words that it doesn't hold are made each time."""
+
+    def __init__(self, make: Callable[[str], object]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> object:
+        found = self.make(word)
+        if len(self) < KEPT_WORDS and len(word) <= KEPT_LENGTH:
+            self[word] = found
+        return found
+
+
 class Codec:
     """Encodes and decodes texts by one vocabulary."""
 
@@ -94,6 +109,8 @@ class Codec:
         t = Tokenizer.from_str(source)
         self.model = t.model
         self.split = regex.compile(pattern).findall
+        letters = " " + "".join(filter(str.isalpha, map(chr, range(sys.maxunicode + 1))))
+        self.by_letters = self.split(letters) == [letters]
         table = byte_table()
         self.shown = {b: table[b] for b in range(256)}
         back = {c: b for b, c in enumerate(table)}
@@ -109,37 +126,33 @@ class Codec:
         if added and any(a.single_word or a.lstrip or a.rstrip or a.normalized for a in t.get_added_tokens_decoder().values()):
             raise ValueError("added tokens that look at their surroundings aren't supported")
         self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=lambda x: -len(x))) + ")") if self.added else None
-        self.spaced: dict[str, bytes] = {}  # a word after a space: its ids
-        self.matches: dict[str, bytes] = {}  # a match of the pattern: its ids
+        self.code = "H" if self.ids is np.uint16 else "I"
+        self.spaced = Kept(self.unit)  # a word after a space: its ids
+        self.matches = Kept(self._match)  # a match of the pattern: its ids
 
     def _match(self, match: str) -> bytes:
-        found = self.matches.get(match)
-        if found is None:
-            mapped = match.encode().decode("latin-1").translate(self.shown)
-            found = np.array([t.id for t in self.model.tokenize(mapped)], dtype=self.ids).tobytes()
-            if len(self.matches) < KEPT_WORDS and len(match) <= KEPT_LENGTH:
-                self.matches[match] = found
-        return found
+        mapped = match.encode().decode("latin-1").translate(self.shown)
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _part(self, text: str) -> bytes:
-        return b"".join([self._match(m) for m in self.split(text)])
+        return b"".join(map(self.matches.__getitem__, self.split(text)))
+
+    def unit(self, word: str) -> bytes:
+        """Ids of a word after a space; letters alone are one match."""
+        return self.matches[" " + word] if self.by_letters and word.isalpha() else self._part(" " + word)
+
+    def units(self, body: str) -> list[str] | None:
+        """``body`` cut at its spaces, or None where white space follows a space."""
+        return None if self._double_space.search(body) else body.split(" ")
 
     def encode(self, text: bytes) -> np.ndarray:
         body = text.decode()
         if self.cut and self.cut.search(body):
             return np.frombuffer(b"".join([self.added[x] if x in self.added else self._part(x) for x in self.cut.split(body)]), dtype=self.ids)
-        if self._double_space.search(body):
+        units = self.units(body)
+        if units is None:
             return np.frombuffer(self._part(body), dtype=self.ids)
-        first, *words = body.split(" ")
-        out, spaced = [self._part(first)], self.spaced
-        for word in words:
-            found = spaced.get(word)
-            if found is None:
-                found = self._part(" " + word)
-                if len(spaced) < KEPT_WORDS and len(word) <= KEPT_LENGTH:
-                    spaced[word] = found
-            out.append(found)
-        return np.frombuffer(b"".join(out), dtype=self.ids)
+        return np.frombuffer(self._part(units[0]) + b"".join(map(self.spaced.__getitem__, units[1:])), dtype=self.ids)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))

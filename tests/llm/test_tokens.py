@@ -132,3 +132,14 @@ def test_token_files_against_the_library(spark):
 def test_added_tokens_are_cut_as_in_the_library(as_it_comes, text):
     c, t = as_it_comes
     assert c.encode(text.encode()).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_letters_are_one_match_without_the_pattern():
+    """A word of letters is tokenized as it stands, with the library's ids; other words still go through the pattern."""
+    source = tokenizer_json(P.path("byte_bpe_50k.json"))
+    c, library, seen = Codec(source, P.PATTERN), Tokenizer.from_str(source), []
+    split = c.split
+    c.split = lambda text: (seen.append(text), split(text))[1]
+    text = "one Straße 中文 ªº it's 12 word. x́y ½ two\nthree one"
+    assert c.encode(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert seen == ["one", " it's", " 12", " word.", " x́y", " ½", " two\nthree"]
