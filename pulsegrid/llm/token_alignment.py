@@ -12,8 +12,9 @@ group, which ends where both sides end a token.
   found, and each batch gets the counts of its own pairs back. What travels is one row for each batch and pair, and
   one packed row of links for each batch; no table of pairs is broadcast or held by one task.
 
-Most words come again, so a worker keeps the ids of words seen (bounded tables). That is right for B because no piece
-of its vocabulary goes on with a space after another character (checked when it is loaded; else texts are encoded whole).
+Most words come again, so a worker keeps both sides' ids of words seen (a bounded table), and whether their bytes are the
+word's. That is right for B because no piece of its vocabulary goes on with a space after another character (checked when
+it is loaded). Texts that can't be cut so, or with a word whose bytes differ, are encoded whole.
 
 Defined cases: null and empty texts, and texts whose joined tokens of a side differ from space and text (a text with
 U+2581 in it), have no tokens: zeros and an empty string. Rows that repeat a ``doc_id`` count each for itself, also in
@@ -23,16 +24,18 @@ the corpus counts. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.byte_bpe import KEPT_LENGTH, KEPT_WORDS, Codec, memo
+from pulsegrid.llm.byte_bpe import Codec, Kept, memo
 from pulsegrid.llm.common import pieces, stored
 
 #: An id pair is ``id of A * SIDE + id of B``.
@@ -56,23 +59,9 @@ class Pieces:
         shown = [self.model.id_to_piece(i) for i in ids]
         self.bytes_of = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(ids, shown)]
         self.by_word = not any("▁" in p.lstrip("▁") for p in shown)
-        self.words: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.model.encode(text), dtype=np.uint16).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.by_word or "  " in text or "▁" in text or text[:1] == " " or text[-1:] == " ":
-            return np.frombuffer(self._ids(text), dtype=np.uint16)
-        out, words = [], self.words
-        for word in text.split(" "):
-            found = words.get(word)
-            if found is None:
-                found = self._ids(word)
-                if len(words) < KEPT_WORDS and len(word) <= KEPT_LENGTH:
-                    words[word] = found
-            out.append(found)
-        return np.frombuffer(b"".join(out), dtype=np.uint16)
+        return np.array(self.model.encode(text), dtype=np.uint16)
 
 
 class Pair:
@@ -83,13 +72,26 @@ class Pair:
         self.a_length, self.b_length = (np.array([len(x) for x in side.bytes_of], dtype=np.int64) for side in (self.a, self.b))
         self.size = max(len(self.a_length), len(self.b_length))
         self.shown = [f"{i}{mark}" for mark in ",|;" for i in range(self.size)]
+        self.words = Kept(self._unit)
+
+    def _unit(self, word: str) -> tuple[bytes, bytes] | None:
+        """Ids of both sides of a word after a space, or None if a side's bytes are others."""
+        body = b" " + word.encode()
+        a, b = self.a.unit(word), self.b.model.encode(word)
+        same = all(b"".join(map(side.bytes_of.__getitem__, ids)) == body for side, ids in ((self.a, array(self.a.code, a)), (self.b, b)))
+        return (a, array("H", b).tobytes()) if same else None
 
     def tokens(self, raw: bytes | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both sides, or None where the text has no tokens."""
         if not raw:
             return None
-        body = b" " + raw
-        a, b = self.a.encode(body), self.b.encode(raw.decode())
+        body, text = b" " + raw, raw.decode()
+        units = self.a.units(" " + text) if self.b.by_word and "▁" not in text and text[-1] != " " else None
+        if units:
+            found = list(map(self.words.__getitem__, units[1:]))
+            if None not in found:
+                return np.frombuffer(b"".join([x for x, _ in found]), dtype=self.a.ids), np.frombuffer(b"".join([x for _, x in found]), dtype=np.uint16)
+        a, b = self.a.encode(body), self.b.encode(text)
         same = all(b"".join(map(side.bytes_of.__getitem__, ids.tolist())) == body for side, ids in ((self.a, a), (self.b, b)))
         return (a, b) if same else None
 
@@ -145,7 +147,7 @@ def aligned_piece(pair: Pair, texts: list[bytes | None], keep: bool) -> tuple[li
     link_stop = np.searchsorted(ends, a_ends[a_stop - 1], side="right")
     n_links = np.diff(link_stop, prepend=0)
     codes = a[a_before[ends]] * SIDE + b[b_before[ends]]
-    pairs, place = np.unique(codes, return_inverse=True)
+    place, pairs = pd.factorize(codes, sort=True)
     doc = np.repeat(np.arange(len(having)), n_links)
     entries, times = np.unique(doc * len(pairs) + place, return_counts=True)
     n_pairs = np.bincount(entries // len(pairs), minlength=len(having))

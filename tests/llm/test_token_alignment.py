@@ -118,3 +118,22 @@ def test_words_are_encoded_like_whole_texts(word_pieces, text):
 def test_packed_links():
     place, times = np.array([0, 7, 900_000, 3, 4, 5, 0]), np.array([1, 2, 70_000, 1, 1, 300, 9])
     assert [x.tolist() for x in unpacked(packed(place, times), 7)] == [place.tolist(), times.tolist()]
+
+
+@pytest.fixture(scope="module")
+def pair(files):
+    return token_alignment.Pair(*files)
+
+
+def test_both_sides_of_a_word_are_kept_together(pair):
+    a, b = pair.tokens("the same wörd, the same\nwörd, the end".encode())
+    assert set(pair.words) >= {"the", "same", "wörd,", "same\nwörd,", "end"}
+
+
+@settings(max_examples=500, deadline=None)
+@given(text=st.text(alphabet=st.one_of(st.sampled_from(" \t\n\u2581abcdetr'.,0é中"), st.characters(exclude_categories=["Cs"])), max_size=40))
+def test_tokens_of_words_are_those_of_whole_texts(pair, text):
+    found, body = pair.tokens(text.encode()), b" " + text.encode()
+    whole = (pair.a.encode(body).tolist(), pair.b.model.encode(text))
+    same = bool(text) and all(b"".join(side.bytes_of[i] for i in ids) == body for side, ids in zip((pair.a, pair.b), whole))
+    assert (found is not None) == same and (not same or (found[0].tolist(), found[1].tolist()) == whole)
