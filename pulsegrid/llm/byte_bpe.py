@@ -5,9 +5,10 @@ merged on its own by the library's model. Decoding looks every id's characters u
 are joined before they are read as UTF-8, so characters that are split over ids come back whole. The byte lengths of
 the ids and the first bytes of the characters give the code points that every id covers.
 
-Most words come again, so a worker keeps the ids of words seen (a bounded table). A text is cut at single spaces
+Most words come again, so a worker keeps the ids of words seen (bounded tables). A text is cut at single spaces
 followed by a non-space first: the pattern never matches across such a place, because it takes a space only together
-with what follows. Texts with runs of white space are cut by the pattern alone.
+with what follows. Texts with runs of white space are cut by the pattern alone. Letters with ASCII marks behind them are
+two matches if the pattern cuts the first word with these marks so, and share the entry of the letters.
 
 Letters and numbers are those of the ``regex`` library; in scripts that the newest Unicode versions have added (from
 U+10E00 on) libraries class a few characters differently. Defined cases: a null text counts as empty and has no ids; special
@@ -17,9 +18,11 @@ tokens' strings in a text are ordinary text, unless a codec is asked to take the
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import json
 import re
+import string
 import sys
 import types
 from array import array
@@ -32,9 +35,11 @@ from pyspark.sql import types as T
 
 from pulsegrid.llm.common import with_columns
 
-#: Entries that a worker's table of words holds at most, and the longest word it keeps.
-KEPT_WORDS = 400_000
+#: Entries that a worker's tables of words, of matches and of marks hold at most, and the longest word they keep.
+KEPT_WORDS, KEPT_MATCHES, KEPT_TAILS = 500_000, 300_000, 10_000
 KEPT_LENGTH = 40
+#: Marks that may follow a word's letters.
+TAIL = string.punctuation
 
 
 def byte_table() -> list[str]:
@@ -85,13 +90,13 @@ def memo(key: str, make: Callable[[], object]) -> object:
 class Kept(dict):
     """A bounded table of what ``make`` gives for words; words that it doesn't hold are made each time."""
 
-    def __init__(self, make: Callable[[str], object]) -> None:
+    def __init__(self, make: Callable[[str], object], limit: int) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.limit = make, limit
 
     def __missing__(self, word: str) -> object:
         found = self.make(word)
-        if len(self) < KEPT_WORDS and len(word) <= KEPT_LENGTH:
+        if len(self) < self.limit and len(word) <= KEPT_LENGTH:
             self[word] = found
         return found
 
@@ -101,8 +106,9 @@ class Codec:
 
     _double_space = re.compile(r" \s")
 
-    def __init__(self, source: str, pattern: str, added: bool = False) -> None:
-        """``added``: the file's added tokens are cut out of a text first, as the library's own ``encode`` does."""
+    def __init__(self, source: str, pattern: str, added: bool = False, words: int = KEPT_WORDS, matches: int = KEPT_MATCHES) -> None:
+        """``added``: the file's added tokens are cut out of a text first, as the library's own ``encode`` does.
+        ``words``, ``matches``: entries that the tables hold at most."""
         import regex
         from tokenizers import Tokenizer
 
@@ -111,8 +117,9 @@ class Codec:
         self.split = regex.compile(pattern).findall
         letters = " " + "".join(filter(str.isalpha, map(chr, range(sys.maxunicode + 1))))
         self.by_letters = self.split(letters) == [letters]
+        self.tails: dict[str, bool] = {}  # marks behind letters: whether they are a match of their own
         table = byte_table()
-        self.shown = {b: table[b] for b in range(256)}
+        self.shown = "".join(table)
         back = {c: b for b, c in enumerate(table)}
         vocab = t.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
@@ -127,19 +134,29 @@ class Codec:
             raise ValueError("added tokens that look at their surroundings aren't supported")
         self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=lambda x: -len(x))) + ")") if self.added else None
         self.code = "H" if self.ids is np.uint16 else "I"
-        self.spaced = Kept(self.unit)  # a word after a space: its ids
-        self.matches = Kept(self._match)  # a match of the pattern: its ids
+        self.spaced = Kept(self.unit, words)  # a word after a space: its ids
+        self.matches = Kept(self._match, matches)  # a match of the pattern: its ids
 
     def _match(self, match: str) -> bytes:
-        mapped = match.encode().decode("latin-1").translate(self.shown)
+        mapped = codecs.charmap_decode(match.encode(), "strict", self.shown)[0]
         return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _part(self, text: str) -> bytes:
         return b"".join(map(self.matches.__getitem__, self.split(text)))
 
     def unit(self, word: str) -> bytes:
-        """Ids of a word after a space; letters alone are one match."""
-        return self.matches[" " + word] if self.by_letters and word.isalpha() else self._part(" " + word)
+        """Ids of a word after a space; letters alone are one match, marks behind them another one."""
+        if self.by_letters and word.isalpha():
+            return self._match(" " + word)
+        letters = word.rstrip(TAIL)
+        tail = word[len(letters) :]
+        if self.by_letters and tail and letters.isalpha():
+            if self.tails.get(tail):
+                return self.spaced[letters] + self.matches[tail]
+            if tail not in self.tails and len(self.tails) < KEPT_TAILS and len(tail) <= KEPT_LENGTH:
+                self.tails[tail] = self.split(" " + word) == [" " + letters, tail]
+                return self.unit(word) if self.tails[tail] else self._part(" " + word)
+        return self._part(" " + word)
 
     def units(self, body: str) -> list[str] | None:
         """``body`` cut at its spaces, or None where white space follows a space."""
@@ -147,7 +164,7 @@ class Codec:
 
     def encode(self, text: bytes) -> np.ndarray:
         body = text.decode()
-        if self.cut and self.cut.search(body):
+        if self.cut and any(map(body.__contains__, self.added)):
             return np.frombuffer(b"".join([self.added[x] if x in self.added else self._part(x) for x in self.cut.split(body)]), dtype=self.ids)
         units = self.units(body)
         if units is None:

@@ -13,7 +13,7 @@ group, which ends where both sides end a token.
   one packed row of links for each batch; no table of pairs is broadcast or held by one task.
 
 Most words come again, so a worker keeps both sides' ids of words seen (a bounded table), and whether their bytes are the
-word's. That is right for B because no piece of its vocabulary goes on with a space after another character (checked when
+word's; words that it lacks are encoded together, once for each piece. That is right for B because no piece of its vocabulary goes on with a space after another character (checked when
 it is loaded). Texts that can't be cut so, or with a word whose bytes differ, are encoded whole.
 
 Defined cases: null and empty texts, and texts whose joined tokens of a side differ from space and text (a text with
@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -35,13 +36,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.byte_bpe import Codec, Kept, memo
+from pulsegrid.llm.byte_bpe import KEPT_LENGTH, Codec, memo
 from pulsegrid.llm.common import pieces, stored
 
 #: An id pair is ``id of A * SIDE + id of B``.
 SIDE = 1 << 16
 #: Bytes of text that are aligned at once, and (document, pair) entries after which a batch is closed.
-PIECE, BATCH_ENTRIES = 4_000_000, 4_000_000
+PIECE, BATCH_ENTRIES = 1_000_000, 2_000_000
+#: Entries that a worker holds at most of words with both sides' ids, and in its codec's two tables.
+KEPT_WORDS, CODEC_WORDS, CODEC_MATCHES = 300_000, 50_000, 50_000
+#: Marks an id as B's in a word's entry.
+B_SIDE = 1 << 31
 
 _DOC = "struct<doc_id:long,n_a:long,n_b:long,n_groups:long,n_links:long,n_pairs:long,groups_sha256:string,groups:string>"
 BATCHES = f"batch long, docs array<{_DOC}>, pairs array<long>, times array<long>, packed binary"
@@ -68,33 +73,55 @@ class Pair:
     """Both tokenizers of a worker, the lengths of their tokens in bytes and the decimals of their ids."""
 
     def __init__(self, source: str, pattern: str, model: bytes) -> None:
-        self.a, self.b = Codec(source, pattern), Pieces(model)
+        self.a, self.b = Codec(source, pattern, words=CODEC_WORDS, matches=CODEC_MATCHES), Pieces(model)
         self.a_length, self.b_length = (np.array([len(x) for x in side.bytes_of], dtype=np.int64) for side in (self.a, self.b))
         self.size = max(len(self.a_length), len(self.b_length))
         self.shown = [f"{i}{mark}" for mark in ",|;" for i in range(self.size)]
-        self.words = Kept(self._unit)
-
-    def _unit(self, word: str) -> tuple[bytes, bytes] | None:
-        """Ids of both sides of a word after a space, or None if a side's bytes are others."""
-        body = b" " + word.encode()
-        a, b = self.a.unit(word), self.b.model.encode(word)
-        same = all(b"".join(map(side.bytes_of.__getitem__, ids)) == body for side, ids in ((self.a, array(self.a.code, a)), (self.b, b)))
-        return (a, array("H", b).tobytes()) if same else None
-
-    def tokens(self, raw: bytes | None) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both sides, or None where the text has no tokens."""
-        if not raw:
-            return None
+        self.words: dict[str, bytes] = {}
+
+    def _made(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of both sides (B's with ``B_SIDE``) of words after a space; nothing where a side's bytes are others."""
+        made = {}
+        for word, b in zip(words, self.b.model.encode(words, num_threads=1)):
+            body, a = b" " + word.encode(), array(self.a.code, self.a.unit(word))
+            same = all(b"".join(map(side.bytes_of.__getitem__, ids)) == body for side, ids in ((self.a, a), (self.b, b)))
+            made[word] = array("I", [*a, *[i | B_SIDE for i in b]]).tobytes() if same else b""
+        short = [w for w in words if len(w) <= KEPT_LENGTH][: max(0, KEPT_WORDS - len(self.words))]
+        self.words.update((w, made[w]) for w in short)
+        return made
+
+    def _whole(self, raw: bytes) -> tuple[np.ndarray, np.ndarray] | None:
         body, text = b" " + raw, raw.decode()
-        units = self.a.units(" " + text) if self.b.by_word and "▁" not in text and text[-1] != " " else None
-        if units:
-            found = list(map(self.words.__getitem__, units[1:]))
-            if None not in found:
-                return np.frombuffer(b"".join([x for x, _ in found]), dtype=self.a.ids), np.frombuffer(b"".join([x for _, x in found]), dtype=np.uint16)
         a, b = self.a.encode(body), self.b.encode(text)
         same = all(b"".join(map(side.bytes_of.__getitem__, ids.tolist())) == body for side, ids in ((self.a, a), (self.b, b)))
         return (a, b) if same else None
 
+    def _cut(self, raw: bytes | None) -> list[str] | None:
+        text = raw.decode() if raw and self.b.by_word else ""
+        units = self.a.units(" " + text) if text and "▁" not in text and text[-1] != " " else None
+        return units and units[1:]
+
+    def tokens(self, raw: bytes | None) -> tuple[np.ndarray, np.ndarray] | None:
+        return self.tokens_all([raw])[0]
+
+    def tokens_all(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of both sides of each text, or None where it has no tokens."""
+        cut = [self._cut(raw) for raw in texts]
+        kept = [words and list(map(self.words.get, words)) for words in cut]
+        lacking = dict.fromkeys(w for words, ids in zip(cut, kept) if ids and None in ids for w in compress(words, [x is None for x in ids]))
+        made = self._made(list(lacking))
+        found: list[tuple[np.ndarray, np.ndarray] | None] = []
+        for raw, words, ids in zip(texts, cut, kept):
+            if ids and None in ids:
+                ids = [made[w] if x is None else x for w, x in zip(words, ids)]
+            if ids and b"" not in ids:
+                both = np.frombuffer(b"".join(ids), dtype=np.uint32)
+                of_b = both >= B_SIDE
+                found.append((both[~of_b].astype(self.a.ids), (both[of_b] ^ np.uint32(B_SIDE)).astype(np.uint16)))
+            else:
+                found.append(self._whole(raw) if raw else None)
+        return found
+
 
 def labels(a_ends: np.ndarray, b_ends: np.ndarray, a_before: np.ndarray, b_before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each token of A and of B the number of its group's terminal token of A, by doubling of successors.
@@ -117,13 +144,14 @@ def labels(a_ends: np.ndarray, b_ends: np.ndarray, a_before: np.ndarray, b_befor
 def aligned_piece(pair: Pair, texts: list[bytes | None], keep: bool) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
     """Rows of a piece's documents, its id pairs (sorted), and for each document in turn its different pairs by their
     places in that list and how many links hold them."""
-    found = [pair.tokens(x) for x in texts]
+    found = pair.tokens_all(texts)
     having = [i for i, f in enumerate(found) if f]
     rows: list[tuple] = [(0, 0, 0, 0, 0, "", "" if keep else None)] * len(texts)
     if not having:
-        return rows, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return rows, np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
     n_a, n_b = (np.array([len(found[i][side]) for i in having]) for side in (0, 1))
     a, b = (np.concatenate([found[i][side] for i in having]).astype(np.int64) for side in (0, 1))
+    del found
     a_ends, b_ends = np.cumsum(pair.a_length[a]), np.cumsum(pair.b_length[b])
     marks_a, marks_b = (np.zeros(int(a_ends[-1]) + 1, dtype=np.int32) for _ in "ab")
     marks_a[a_ends], marks_b[b_ends] = 1, 1
@@ -155,7 +183,7 @@ def aligned_piece(pair: Pair, texts: list[bytes | None], keep: bool) -> tuple[li
         stop = a_stop[k] + b_stop[k]
         text = "".join(marks[stop - n_a[k] - n_b[k] : stop])[:-1]
         rows[i] = (int(n_a[k]), int(n_b[k]), int(n_groups[k]), int(n_links[k]), int(n_pairs[k]), hashlib.sha256(text.encode()).hexdigest(), text if keep else None)
-    return rows, pairs, entries % len(pairs), times
+    return rows, pairs, (entries % len(pairs)).astype(np.uint32), times.astype(np.uint32)
 
 
 def packed(place: np.ndarray, times: np.ndarray) -> bytes:
@@ -187,7 +215,7 @@ def aligned(docs: DataFrame, source: str, pattern: str, model: bytes, text: str
 
         def batch() -> pa.RecordBatch:
             pairs = np.unique(np.concatenate([p for p, _, _ in parts]))
-            place = np.concatenate([np.searchsorted(pairs, p)[at] for p, at, _ in parts])
+            place = np.concatenate([np.searchsorted(pairs, p).astype(np.uint32)[at] for p, at, _ in parts])
             times = np.concatenate([t for _, _, t in parts])
             total = np.bincount(place, weights=times, minlength=len(pairs)).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number, rows, pairs, total, packed(place, times)), schema.types)], names=schema.names)

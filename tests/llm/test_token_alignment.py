@@ -137,3 +137,24 @@ def test_tokens_of_words_are_those_of_whole_texts(pair, text):
     whole = (pair.a.encode(body).tolist(), pair.b.model.encode(text))
     same = bool(text) and all(b"".join(side.bytes_of[i] for i in ids) == body for side, ids in zip((pair.a, pair.b), whole))
     assert (found is not None) == same and (not same or (found[0].tolist(), found[1].tolist()) == whole)
+
+
+def test_words_beyond_the_table_are_made_once_a_piece(files, monkeypatch):
+    """The table stays within its bound, words beyond it are encoded together, and the ids are the same."""
+    monkeypatch.setattr(token_alignment, "KEPT_WORDS", 3)
+    small, asked = token_alignment.Pair(*files), []
+    made = small._made
+    monkeypatch.setattr(small, "_made", lambda words: (asked.append(words), made(words))[1])
+    texts = [b"one two three four five", b"five four " + b"x" * 60 + " ﬁve four".encode(), None, "four a▁b".encode(), b"four "]
+    found, again = small.tokens_all(texts), small.tokens_all(texts)
+    assert len(small.words) == 3 and asked[1] == ["four", "five", "x" * 60, "ﬁve"]
+    for text, pair_ids, same in zip(texts, found, again):
+        whole = small._whole(text) if text else None
+        assert (pair_ids is None) == (same is None) == (whole is None)
+        assert whole is None or all((x == y).all() and (x == z).all() and len(x) == len(y) == len(z) for x, y, z in zip(whole, pair_ids, same))
+
+
+def test_entries_of_a_piece_take_few_bytes(files):
+    """What a batch gathers before it closes: eight bytes an entry."""
+    *_, place, times = token_alignment.aligned_piece(token_alignment.Pair(*files), [b"some words of a text"] * 50, False)
+    assert place.itemsize + times.itemsize == 8 and len(place) == len(times) > 50
