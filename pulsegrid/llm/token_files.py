@@ -30,6 +30,8 @@ from pulsegrid.llm.common import pieces, scratch
 SCHEMA = "part int, first long, bits int, n_ids long, doc_ids array<long>, ends array<long>, payload binary"
 BLOCK_IDS = 1 << 18
 END_ID = 2
+#: Widths whose packed ids are plain little-endian integers.
+WORDS = {8: "u1", 16: "<u2", 32: "<u4"}
 
 
 def bits_for(vocabulary: int) -> int:
@@ -38,6 +40,8 @@ def bits_for(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """``ids`` at ``bits`` (at most 32) bits each, padded to whole groups of eight."""
+    if bits in WORDS:
+        return np.pad(ids.astype(WORDS[bits]), (0, -len(ids) % 8)).tobytes()
     lanes = np.zeros((-(-len(ids) // 8), 8), dtype=np.uint64)
     lanes.reshape(-1)[: len(ids)] = ids
     out = np.zeros((len(lanes), bits), dtype=np.uint8)
@@ -51,6 +55,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     """Ids ``start`` to ``stop`` of a packed block, reading only the groups that hold them."""
+    if bits in WORDS:
+        return np.frombuffer(payload, dtype=WORDS[bits], count=stop - start, offset=start * bits // 8).astype(np.uint32)
     group, end = start // 8, -(-stop // 8)
     data = np.frombuffer(payload, dtype=np.uint8, count=(end - group) * bits, offset=group * bits).reshape(-1, bits)
     out = np.zeros((len(data), 8), dtype=np.uint32)
@@ -119,7 +125,7 @@ def documents_of(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 part, first, bits, n, doc_ids, ends, payload = (batch.column(c)[row].as_py() for c in ("part", "first", "bits", "n_ids", "doc_ids", "ends", "payload"))
-                ids = unpack(payload, bits, 0, n).astype("<u4")
+                ids = unpack(payload, bits, 0, n).astype("<u4", copy=False)
                 begins = [0, *ends[:-1]]
                 sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins, ends)]
                 columns = (doc_ids, [first + a for a in begins], [b - a for a, b in zip(begins, ends)], sums)

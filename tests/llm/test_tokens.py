@@ -143,3 +143,26 @@ def test_letters_are_one_match_without_the_pattern():
     text = "one Straße 中文 ªº it's 12 word. x́y ½ two\nthree one"
     assert c.encode(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
     assert seen == ["one", " it's", " 12", " word.", " x́y", " ½", " two\nthree"]
+
+
+def test_marks_behind_letters_share_the_letters_entry(plain):
+    """Only the first word with some marks goes through the pattern; letters are kept once for all marks behind them."""
+    source = tokenizer_json(P.path("byte_bpe_50k.json"))
+    c, library, seen = Codec(source, P.PATTERN), plain[1], []
+    split = c.split
+    c.split = lambda text: (seen.append(text), split(text))[1]
+    text = "a word. other. word.\" others.\" it's word's word, 'word' w'd x.y. third. third.\""
+    assert c.encode(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert " word." in seen and not {" other.", " others.\"", " third.", " third.\""} & set(seen)
+    assert {"word", "other", "third"} <= c.spaced.keys()
+    apart = Codec(source, r" ?\p{L}+[.]?|[^\p{L}]")  # a pattern that takes a mark with the letters
+    assert apart.split(" word.") == [" word."] and apart.encode(b"a word. other.").tolist() == apart.encode(b"a word.").tolist() + np.frombuffer(apart._part(" other."), apart.ids).tolist()
+
+
+@pytest.mark.parametrize("bits", [8, 16, 32])
+def test_plain_widths_are_packed_as_bit_by_bit(bits, monkeypatch):
+    ids = np.random.default_rng(bits).integers(0, 1 << bits, 1003, dtype=np.uint64).astype(np.uint32)
+    quick = token_files.pack(ids, bits)
+    assert all((token_files.unpack(quick, bits, a, b) == ids[a:b]).all() for a, b in ((0, 1003), (5, 9), (8, 16), (1002, 1003), (7, 7)))
+    monkeypatch.setattr(token_files, "WORDS", {})
+    assert token_files.pack(ids, bits) == quick
